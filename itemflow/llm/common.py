@@ -22,6 +22,8 @@ SLICE_BYTES = 2 << 20
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_OTHER = np.ones(256, dtype=bool)
+_OTHER[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BASE = 0x9E3779B97F4A7C15
@@ -96,25 +98,35 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def span_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
     """Hash of values[starts:ends] for each span, whatever stands before it."""
-    p, q = powers(base, len(values) + 1)
+    return cut_hash(running_hash(values, base), starts, ends, base)
+
+
+def running_hash(values: np.ndarray, base: int) -> np.ndarray:
     total = np.zeros(len(values) + 1, dtype=np.uint64)
-    np.cumsum(values * p[: len(values)], out=total[1:])
-    out = (total[ends] - total[starts]) * q[starts]
+    np.cumsum(values * powers(base, len(values) + 1)[0][: len(values)], out=total[1:])
+    return total
+
+
+def cut_hash(total: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
+    out = (total[ends] - total[starts]) * powers(base, len(total))[1][starts]
     out += (ends - starts).astype(np.uint64) * U(0xA0761D6478BD642F)
     return mix(out)
 
 
 class Words:
-    """Words ``[^\\x20\\x09-\\x0D]+`` of some documents: hash, document (index in the batch) and byte range of each."""
+    """Words ``[^\\x20\\x09-\\x0D]+`` of some documents: hash, document (index in the batch) and byte range of each.
 
-    def __init__(self, text: pa.Array, lower: bool = False):
+    lower: A-Z to lower case.  letters: runs of letters, digits and bytes above 127 instead.
+    """
+
+    def __init__(self, text: pa.Array, lower: bool = False, letters: bool = False):
         text = pc.fill_null(text, "").cast(pa.large_string())
         n = len(text)
         off = np.frombuffer(text.buffers()[1], dtype=np.int64)[text.offset : text.offset + n + 1] if n else np.zeros(1, np.int64)
         raw = np.frombuffer(text.buffers()[2], dtype=np.uint8)[off[0] : off[-1]] if n and text.buffers()[2] is not None else np.zeros(0, np.uint8)
         self.n_docs, self.doc_off = n, off - off[0]
         self.data = _LOWER[raw] if lower else raw
-        word = ~_SPACE[self.data]
+        word = ~(_OTHER if letters else _SPACE)[self.data]
         m = len(raw)
         if not m:
             self.start = self.end = np.zeros(0, np.int64)
@@ -126,7 +138,8 @@ class Words:
             stop = word.copy()
             stop[:-1] &= ~word[1:] | first[1:m]
             self.start, self.end = np.flatnonzero(begin), np.flatnonzero(stop) + 1
-        self.hash = span_hash(self.data.astype(np.uint64) + U(1), self.start, self.end, _BASE) if m else np.zeros(0, np.uint64)
+        self._running = running_hash(self.data.astype(np.uint64) + U(1), _BASE) if m else np.zeros(1, np.uint64)
+        self.hash = cut_hash(self._running, self.start, self.end, _BASE) if m else np.zeros(0, np.uint64)
         #: Words of document i are word_off[i] to word_off[i + 1].
         self.word_off = np.searchsorted(self.start, self.doc_off)
         self.counts = np.diff(self.word_off)
@@ -135,6 +148,11 @@ class Words:
     def doc(self) -> np.ndarray:
         return np.repeat(np.arange(self.n_docs), self.counts)
 
+    def prefixes(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Words of more than k bytes, and the hash of their first k bytes."""
+        at = np.flatnonzero(self.end - self.start > k)
+        return at, cut_hash(self._running, self.start[at], self.start[at] + k, _BASE)
+
     def grams(self, k: int) -> np.ndarray:
         """Hash of the k words from each word on; meaningless where the document ends before."""
         return gram_hash(self.hash, k)
@@ -176,6 +194,16 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(m[:n], m[width - step : width - step + n])
 
 
+def distinct_per_doc(doc: np.ndarray, value: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct values of each document, one after the other, and n + 1 bounds.  doc ascends; value is overwritten."""
+    off = np.searchsorted(doc, np.arange(n + 1))
+    for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True):
+        value[a:b].sort()
+    new = np.ones(len(value), dtype=bool)
+    new[1:] = (value[1:] != value[:-1]) | (doc[1:] != doc[:-1])
+    return value[new], np.concatenate([[0], np.cumsum(new)])[off]
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The rows in batches of at most ``limit`` bytes of text (a longer single text stands alone)."""
     for batch in batches:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U, Words, long_array, materialize, mix, slices
+from .common import U, Words, distinct_per_doc, long_array, materialize, mix, slices
 
 SHINGLE = 5
 BANDS, ROWS = 25, 5
@@ -48,12 +48,7 @@ def shingle_sets(words: Words) -> tuple[np.ndarray, np.ndarray]:
         for w in words.hash[a:b]:
             h = mix(h * U(0x9E3779B97F4A7C15) + w)
         grams[a], use[a] = h[0], True
-    doc, value = words.doc[use], grams[use]
-    order = np.lexsort((value, doc))
-    doc, value = doc[order], value[order]
-    fresh = np.ones(len(value), dtype=bool)
-    fresh[1:] = (value[1:] != value[:-1]) | (doc[1:] != doc[:-1])
-    return value[fresh], np.searchsorted(doc[fresh], np.arange(words.n_docs + 1))
+    return distinct_per_doc(words.doc[use], grams[use], words.n_docs)
 
 
 SKETCH = "doc_id long, n_shingles long, set1 long, set2 long, signature binary, bands array<long>"
