@@ -19,10 +19,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, distinct_per_doc, slices
+from .common import Words, distinct_per_doc, long_array, materialize, slices
 
 SAMPLE = 20_000
 TERMS = 4_096
@@ -68,42 +69,26 @@ class FactorizationMachine:
             out += 0.5 * (np.bincount(doc, weights=x, minlength=n) ** 2 - np.bincount(doc, weights=x * x, minlength=n))
         return out
 
-    def score(self, text: pa.Array) -> np.ndarray:
+    def distinct_features(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         doc, h, _ = terms(text)
         doc, at = self.features(doc, h)
-        pairs = np.unique(doc * max(1, len(self.known)) + at)
-        doc, at = np.divmod(pairs, max(1, len(self.known)))
-        return 1 / (1 + np.exp(-np.clip(self.logits(len(text), doc, at), -40, 40)))
-
+        return np.divmod(np.unique(doc * max(1, len(self.known)) + at), max(1, len(self.known)))
 
-def choose_terms(doc: np.ndarray, h: np.ndarray, label: np.ndarray, most: int = TERMS, least_z: float = 4.0) -> np.ndarray:
-    value, inverse = np.unique(h, return_inverse=True)
-    pos, n = label.sum(), len(label)
-    neg = n - pos
-    if not pos or not neg:
-        return value[:0]
-    p = np.bincount(inverse, weights=label[doc], minlength=len(value))
-    q = np.bincount(inverse, weights=1 - label[doc], minlength=len(value))
-    share = (p + q + 0.5) / (n + 1)
-    z = np.abs(p / pos - q / neg) / np.sqrt(share * (1 - share) * (1 / pos + 1 / neg))
-    z[p + q < 3] = 0
-    best = np.argsort(-z, kind="stable")[:most]
-    return np.sort(value[best[z[best] >= least_z]])
+    def score(self, text: pa.Array) -> np.ndarray:
+        doc, at = self.distinct_features(text)
+        return 1 / (1 + np.exp(-np.clip(self.logits(len(text), doc, at), -40, 40)))
 
 
-def fit(doc: np.ndarray, h: np.ndarray, label: np.ndarray, factors: int = FACTORS, epochs: int = 40, rate: float = 0.05, decay: float = 1e-4, most: int = TERMS) -> FactorizationMachine:
-    """doc, h: distinct terms of the labelled texts.  label: 0 or 1 for each text."""
+def fit(known: np.ndarray, at_doc: np.ndarray, at: np.ndarray, label: np.ndarray, factors: int = FACTORS, epochs: int = 40, rate: float = 0.05, decay: float = 1e-4) -> FactorizationMachine:
+    """known: hashes of the model's terms, sorted.  at_doc, at: text (ascending) and place in ``known`` of each
+    distinct term.  label: 0 or 1 for each text."""
     label = label.astype(np.float64)
     n = len(label)
     prior = (label.sum() + 0.5) / (n + 1)
     rng = np.random.default_rng(11)
-    known = choose_terms(doc, h, label, most)
     m = FactorizationMachine(known, float(np.log(prior / (1 - prior))), np.zeros(len(known)), rng.normal(0, 0.05, (len(known), factors)))
     if not len(known):
         return m
-    at_doc, at = m.features(doc, h)
-    order = np.argsort(at_doc, kind="stable")
-    at_doc, at = at_doc[order], at[order]
     off = np.searchsorted(at_doc, np.arange(n + 1))
     shape = np.concatenate([[0.0], m.w, m.v.ravel()])
     first, second, step = np.zeros_like(shape), np.zeros_like(shape), 0
@@ -131,31 +116,56 @@ def fit(doc: np.ndarray, h: np.ndarray, label: np.ndarray, factors: int = FACTOR
     return m
 
 
-def _collected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(text, label) to the number of texts of either label that have a term."""
     for batch in slices(batches):
-        doc, h, n = terms(batch.column(1))
+        doc, h, n = terms(batch.column(0))
+        label = batch.column(1).to_numpy(zero_copy_only=False)
         order = np.argsort(doc, kind="stable")
         h, off = distinct_per_doc(doc[order], h[order], n)
-        lists = pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(h.view(np.int64)))
-        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), lists, batch.column(2).cast(pa.int32())], names=["doc_id", "terms", "label"])
+        values, inverse = np.unique(h, return_inverse=True)
+        toxic = np.bincount(inverse, weights=np.repeat(label, np.diff(off)), minlength=len(values)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([long_array(values), pa.array(toxic), pa.array(np.bincount(inverse, minlength=len(values)) - toxic)], names=["term", "toxic", "other"])
+
+
+def choose_terms(labelled: DataFrame, most: int = TERMS, least_z: float = 4.0) -> np.ndarray:
+    """Hashes of the terms whose frequencies in toxic and other texts differ most; labelled: (text, label)."""
+    n = {r.label: r["count"] for r in labelled.groupBy("label").count().collect()}
+    if len(n) < 2:
+        return np.zeros(0, np.uint64)
+    counted = labelled.select("text", "label").mapInArrow(_frequencies, "term long, toxic long, other long").groupBy("term").agg(F.sum("toxic").alias("p"), F.sum("other").alias("q"))
+    share = (F.col("p") + F.col("q") + 0.5) / (n[0] + n[1] + 1)
+    z = F.abs(F.col("p") / n[1] - F.col("q") / n[0]) / F.sqrt(share * (1 - share) * (1 / n[1] + 1 / n[0]))
+    best = counted.where("p + q >= 3").select("term", z.alias("z")).where(F.col("z") >= least_z).orderBy(F.desc("z"), "term").limit(most).collect()
+    return np.sort(np.array([r.term for r in best], dtype=np.int64).view(np.uint64))
 
 
 def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None, sample: int = SAMPLE) -> FactorizationMachine:
-    """Fit on the labelled documents; usable: which rows of labels (doc_id, toxic) may be seen."""
+    """Fit on the labelled documents; usable: which rows of labels (doc_id, toxic) may be seen.
+
+    The driver gets the chosen terms, ``TERMS`` at most, and which of them each of the sample's texts has.
+    """
     known = labels.where("doc_id is not null and toxic in (0, 1)")
     known = known.where(usable) if usable is not None else known
     chosen = known.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(sample).dropDuplicates(["doc_id"])
     # at most ``sample`` rows of 12 bytes: small enough to send to every task
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label").mapInArrow(_collected, "doc_id long, terms array<long>, label int").toArrow()
-    rows = rows.combine_chunks().sort_by("doc_id") if rows.num_rows else rows
-    label = rows.column("label").to_numpy().astype(np.int64) if rows.num_rows else np.zeros(0, np.int64)
-    values = rows.column("terms").combine_chunks() if rows.num_rows else None
-    if values is None:
-        return FactorizationMachine(np.zeros(0, np.uint64), 0.0, np.zeros(0), np.zeros((0, FACTORS)))
-    if isinstance(values, pa.ChunkedArray):
-        values = pa.concat_arrays(values.chunks)
-    counts = np.diff(values.offsets.to_numpy())
-    return fit(np.repeat(np.arange(len(label)), counts), values.flatten().to_numpy().view(np.uint64), label)
+    chosen = materialize(chosen, "sample")
+    labelled = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")
+    hashes = choose_terms(labelled)
+    blank = FactorizationMachine(hashes, 0.0, np.zeros(len(hashes)), np.zeros((len(hashes), FACTORS)))
+
+    def known_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            doc, at = blank.distinct_features(batch.column(1))
+            lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(batch.num_rows + 1)), pa.int32()), pa.array(at, pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists, batch.column(2)], names=["doc_id", "terms", "label"])
+
+    rows = labelled.mapInArrow(known_terms, "doc_id long, terms array<int>, label int").toArrow().sort_by("doc_id")
+    if not rows.num_rows:
+        return blank
+    label = rows["label"].to_numpy()
+    lengths = pc.list_value_length(rows["terms"]).to_numpy()
+    return fit(hashes, np.repeat(np.arange(len(label)), lengths), pc.list_flatten(rows["terms"]).to_numpy().astype(np.int64), label)
 
 
 def score(docs: DataFrame, model: FactorizationMachine, threshold: float = THRESHOLD) -> DataFrame:
