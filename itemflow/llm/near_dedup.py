@@ -1,17 +1,18 @@
 """MinHash near-dedup: universal hash minima, banding, verification, components by alternating stars.
 
-1. Each text gives its set of 5-word shingles (64-bit hashes), 125 minima under universal hash functions (a
-   byte of each is kept as signature) and 25 bands of five minima.
+1. Each text gives its set of 5-word shingles (64-bit hashes), 125 minima under universal hash functions, 25 bands
+   of five minima, and a bit of each minimum as signature (two longs).
 2. Equal sets are one class; its smallest document represents it, so exact copies cost one row each.
-3. Within a bucket, members meet a leader chosen at random for each band, never each other, so candidates are
-   linear in the bucket.  Candidates pass the signature, then the exact sets decide.
-4. Components by alternating large-star and small-star.  Buckets of at most ``crowd`` members that still hold
-   several components then compare all their members across components; larger ones, in each of ``rounds``
-   further rounds, their members with a newly drawn head of each component, so work stays linear in them.
-
-Two texts with similarity 0.85 share no band with probability (1 - 0.85**5)**25 < 1e-6.
-Nulls, empty texts: no shingles, alone.  Fewer than five words: one shingle of all words.  Repeated rows of one
-doc_id are one document per distinct text and get the same component.
+3. Members of a bucket meet a leader, never each other, so candidates are linear in the bucket.  Leaders are drawn
+   by one order for all bands, so most bands give the same pairs.  The signatures must agree, then the sets decide.
+4. Components by alternating large-star and small-star.  In buckets that still hold several components, members
+   meet across components: all of them in buckets of at most ``crowd`` members; in larger ones ``heads`` newly
+   drawn members of each other component, so work stays linear in the members.
+
+Two texts with similarity 0.85 share no band with probability (1 - 0.85**5)**25 < 1e-6, and their signatures fall
+below the floor with a probability of less than 1e-7.
+Nulls, empty texts: no shingles, alone.  Fewer than five words: one shingle of all words.  Rows that share a
+doc_id are one document each; component ids are doc_ids.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import U, Words, distinct_per_doc, long_array, materialize, mix, slices
@@ -51,7 +52,7 @@ def shingle_sets(words: Words) -> tuple[np.ndarray, np.ndarray]:
     return distinct_per_doc(words.doc[use], grams[use], words.n_docs)
 
 
-SKETCH = "doc_id long, n_shingles long, set1 long, set2 long, signature binary, bands array<long>"
+SKETCH = "doc_id long, n_shingles long, set1 long, set2 long, s1 long, s2 long, bands array<long>"
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,12 +75,11 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = np.zeros((len(some), BANDS), dtype=np.uint64)
         for r in range(ROWS):
             keys = mix((keys + minima[:, r::ROWS]) * U(0x9E3779B97F4A7C15))
-        low = (mix(minima.copy()) & U(255)).astype(np.uint8)
-        at = np.full(len(size), -1)
-        at[some] = np.arange(len(some))
+        bits = np.zeros((len(size), 128), dtype=np.uint8)
+        bits[some, : BANDS * ROWS] = mix(minima.copy()) & U(1)
+        sign = np.packbits(bits, axis=1).view(np.int64).reshape(-1, 2)
         bands = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size > 0)]) * BANDS, pa.int32()), long_array(keys.reshape(-1)))
-        signature = pa.array([low[i].tobytes() if i >= 0 else None for i in at], pa.binary())
-        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), long_array(size), long_array(s1), long_array(s2), signature, bands], names=["doc_id", "n_shingles", "set1", "set2", "signature", "bands"])
+        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), long_array(size), long_array(s1), long_array(s2), pa.array(sign[:, 0].copy()), pa.array(sign[:, 1].copy()), bands], names=["doc_id", "n_shingles", "set1", "set2", "s1", "s2", "bands"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,18 +90,6 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([raw[6 * x : 6 * y] for x, y in zip(off[:-1], off[1:], strict=True)], pa.binary())], names=["doc_id", "shingles"])
 
 
-def _alike(floor: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for i in range(0, batch.num_rows, 4096):
-                x, y = (np.frombuffer(b"".join(batch.column(c).slice(i, 4096).to_pylist()), np.uint8).reshape(-1, BANDS * ROWS) for c in (2, 3))
-                keep.append((x == y).mean(axis=1) >= floor)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(np.concatenate(keep) if keep else np.zeros(0, bool)))
-
-    return run
-
-
 def _linked(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def values(x: bytes) -> np.ndarray:
@@ -124,92 +112,91 @@ def _linked(percent: int):
     return run
 
 
-def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node reachable over ``edges`` (a, b), for each node with an edge.
 
     Alternating large-star and small-star; every round is written to the shared folder.  Each star is an
     aggregation (partial before its shuffle) and a join on the node, which Spark may split where a node is hot.
+    Rounds end when all edges are stars: no node has two edges up, and no centre hangs on another.
     """
     now = materialize(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    state = None
     while True:
+        ends = now.select(F.explode(F.array(F.struct(F.col("u").alias("x"), F.lit(1).alias("up")), F.struct(F.col("v").alias("x"), F.lit(0).alias("up")))).alias("e")).select("e.*")
+        if ends.groupBy("x").agg(F.sum("up").alias("up"), F.min("up").alias("low")).where("up > 1 or (up = 1 and low = 0)").isEmpty():
+            return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        # small star: neighbours below and the node itself go to the smallest of them
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        # small star: the neighbours below a node, and the node, go to the smallest of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(least, "u")
-        small = joined.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         now = materialize(small, "edges")
-        fresh = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if fresh == state:
-            return now.groupBy("u").agg(F.min("v").alias("root")).unionByName(now.select("v").distinct().select(F.col("v").alias("u"), F.col("v").alias("root"))).groupBy(F.col("u").alias("node")).agg(F.min("root").alias("root"))
-        state = fresh
 
 
-def near_links(docs: DataFrame, percent: int = 85, rounds: int = 3, crowd: int = 64) -> tuple[DataFrame, DataFrame]:
+def near_links(docs: DataFrame, percent: int = 85, rounds: int = 1, crowd: int = 64, heads: int = 3) -> tuple[DataFrame, DataFrame]:
     """Classes of documents and confirmed links between class representatives.
 
     The first frame has a row for each row of ``docs``: doc_id, n_shingles, rep (null without shingles).  The
-    second has (a, b).  Links inside a component that are not needed to connect it may be missing.
+    second has (a, b).  Links that are not needed to connect their component may be missing.
     """
-    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    same, key = ["n_shingles", "set1", "set2"], ["band", "key"]
     sketch = materialize(docs.mapInArrow(_sketch, SKETCH), "sketch")
-    reps = sketch.where("n_shingles > 0").groupBy("n_shingles", "set1", "set2").agg(F.min("doc_id").alias("rep"))
-    classes = materialize(sketch.select("doc_id", "n_shingles", "set1", "set2").join(reps, ["n_shingles", "set1", "set2"], "left").select("doc_id", "n_shingles", "rep", "set1", "set2"), "classes")
-    own = sketch.join(classes.where("doc_id = rep").select("doc_id", "n_shingles", "set1", "set2").distinct(), ["doc_id", "n_shingles", "set1", "set2"], "left_semi")
-    own = materialize(own.dropDuplicates(["doc_id", "set1", "set2"]).select(F.col("doc_id").alias("rep"), "signature", "bands"), "reps")
-    buckets = own.select("rep", F.posexplode("bands").alias("band", "key"))
-    signatures = own.select("rep", "signature")
-    floor = percent / 100 - 5.5 * (percent / 100 * (1 - percent / 100) / (BANDS * ROWS)) ** 0.5
+    reps = materialize(sketch.where("n_shingles > 0").groupBy(same).agg(F.min("doc_id").alias("rep")), "reps")
+    classes = sketch.select("doc_id", *same).join(reps, same, "left").select("doc_id", "n_shingles", "rep")
+    own = sketch.join(reps.withColumnRenamed("rep", "doc_id"), ["doc_id", *same], "left_semi").dropDuplicates(["doc_id", *same])
+    buckets = materialize(own.select(F.col("doc_id").alias("rep"), "s1", "s2", F.posexplode("bands").alias("band", "key")), "bands")
+    likely = percent / 100
+    spread = 2 * ((1 + likely) / 2 * (1 - likely) / 2 / (BANDS * ROWS)) ** 0.5
+    differ = int((1 - (likely - 5.3 * spread)) / 2 * BANDS * ROWS)
+
+    def candidates(met: DataFrame) -> DataFrame:
+        """Pairs of (rep, s1, s2) and (rep2, t1, t2) whose signatures agree."""
+        off = F.bit_count(F.col("s1").bitwiseXOR(F.col("t1"))) + F.bit_count(F.col("s2").bitwiseXOR(F.col("t2")))
+        return met.where((F.col("rep") != F.col("rep2")) & (off <= differ)).select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).distinct()
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        """pairs (a, b), a < b, to those whose sets are alike."""
-        passing = pairs.join(signatures.toDF("a", "sa"), "a").join(signatures.toDF("b", "sb"), "b").select("a", "b", "sa", "sb").mapInArrow(_alike(floor), "a long, b long")
-        passing = materialize(passing, "candidates")
-        needed = passing.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        sets = materialize(docs.join(needed, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, shingles binary"), "sets")
-        return materialize(passing.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(_linked(percent), "a long, b long").distinct(), "links")
-
-    # members meet a leader of the bucket, chosen anew for each band
-    pick = lambda r: F.min(F.struct(F.xxhash64("rep", "band", F.lit(r)).alias("h"), "rep"))["rep"]
-    pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    key = ["band", "key"]
-    leaders = materialize(buckets.groupBy(key).agg(pick(0).alias("leader"), F.count("*").alias("n")).where("n > 1"), "leaders")
-    shared = materialize(buckets.join(leaders, key), "buckets")
-    tried = materialize(shared.where("rep != leader").select(*pair("rep", "leader")).distinct(), "tried")
+        """Pairs (a, b) whose sets are alike enough."""
+        needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+        # texts are dealt by id at every size of ``needed``; only those of candidates go on as sets
+        sets = materialize(docs.join(needed.hint("merge"), "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, shingles binary"), "sets")
+        alike = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y")
+        return materialize(alike.mapInArrow(_linked(percent), "a long, b long"), "links")
+
+    draw = lambda *seed: F.min(F.struct(F.xxhash64("rep", *seed).alias("h"), F.col("rep").alias("rep2"), F.col("s1").alias("t1"), F.col("s2").alias("t2")))
+    leaders = buckets.groupBy(key).agg(draw().alias("l"), F.count("*").alias("n")).where("n > 1").select(*key, "n", "l.rep2", "l.t1", "l.t2")
+    met = materialize(buckets.join(leaders, key), "met")
+    tried = materialize(candidates(met), "pairs")
     links = confirmed(tried)
-    left = shared.where("n > 2").select("rep", *key, "n")
+    left = met.where("n > 2").select("rep", "s1", "s2", *key, "n")
     for r in range(rounds):
-        root = components(spark, links)
-        named = left.join(root.select(F.col("node").alias("rep"), "root"), "rep", "left").select("rep", *key, "n", F.coalesce("root", "rep").alias("root"))
-        named = materialize(named, "named")
+        root = components(links)
+        named = materialize(left.join(root.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep")), "named")
         several = named.groupBy(key).agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select(key)
         left = materialize(named.join(several, key), "open")
         if left.isEmpty():
             break
-        small, large = left.where(F.col("n") <= crowd), left.where(F.col("n") > crowd)
-        heads = large.groupBy(*key, "root").agg(pick(r + 1).alias("head")).withColumnRenamed("root", "other")
-        few = heads.groupBy(key).agg(F.count("*").alias("heads")).where(F.col("heads") <= crowd)
-        pairs = large.join(heads.join(few, key), key).where("root != other").select(*pair("rep", "head"))
-        crowded = large.join(few, key, "left_anti")
-        one = crowded.groupBy(key).agg(pick(r + 1).alias("head"))
-        pairs = pairs.unionByName(crowded.join(one, key).where("rep != head").select(*pair("rep", "head")))
+        large = left.where(F.col("n") > crowd)
+        drawn = large.groupBy(*key, "root").agg(F.array(*[draw("band", F.lit(r), F.lit(i)) for i in range(heads)]).alias("hs")).select(*key, F.col("root").alias("root2"), F.explode("hs").alias("h"))
+        # too many components for all heads: the heads of one of them, drawn anew for each bucket
+        ranked = drawn.groupBy(key).agg(F.count("*").alias("drawn"), F.min(F.struct(F.xxhash64("root2", "band", F.lit(r)).alias("h"), "root2")).alias("one"))
+        some = drawn.join(ranked, key).where((F.col("drawn") <= crowd * heads) | (F.col("root2") == F.col("one.root2"))).select(*key, "root2", "h.rep2", "h.t1", "h.t2")
+        pairs = large.join(some, key).where("root != root2")
         if not r:
-            other = small.select(*key, F.col("rep").alias("rep2"), F.col("root").alias("root2"))
-            pairs = pairs.unionByName(small.join(other, key).where("rep < rep2 and root != root2").select(*pair("rep", "rep2")))
-        pairs = materialize(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "tried")
-        if not pairs.isEmpty():
-            tried = tried.unionByName(pairs)
-            links = links.unionByName(confirmed(pairs))
-        left = large.select("rep", *key, "n")
-    return classes.select("doc_id", "n_shingles", "rep"), links
+            small = left.where(F.col("n") <= crowd)
+            other = small.select(*key, F.col("root").alias("root2"), F.col("rep").alias("rep2"), F.col("s1").alias("t1"), F.col("s2").alias("t2"))
+            columns = ["rep", "s1", "s2", "rep2", "t1", "t2"]
+            pairs = pairs.select(columns).unionByName(small.join(other, key).where("rep < rep2 and root != root2").select(columns))
+        pairs = materialize(candidates(pairs).join(tried, ["a", "b"], "left_anti"), "pairs")
+        tried = tried.unionByName(pairs)
+        links = links.unionByName(confirmed(pairs))
+        left = large.select("rep", "s1", "s2", *key, "n")
+    return classes, links
 
 
 def near_dedup(docs: DataFrame, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row of ``docs``."""
     classes, links = near_links(docs, percent)
-    root = components(docs.sparkSession, links)
-    found = classes.join(root.select(F.col("node").alias("rep"), "root"), "rep", "left")
+    root = components(links)
+    found = classes.join(root.withColumnRenamed("node", "rep"), "rep", "left")
     return found.select("doc_id", "n_shingles", F.coalesce("root", "rep", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
