@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import atexit
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -116,7 +116,8 @@ def cut_hash(total: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int)
 class Words:
     """Words ``[^\\x20\\x09-\\x0D]+`` of some documents: hash, document (index in the batch) and byte range of each.
 
-    lower: A-Z to lower case.  letters: runs of letters, digits and bytes above 127 instead.
+    lower: A-Z to lower case.  letters: runs of letters, digits and bytes above 127 instead; lower then also
+    takes À-Þ to lower case.
     """
 
     def __init__(self, text: pa.Array, lower: bool = False, letters: bool = False):
@@ -126,6 +127,10 @@ class Words:
         raw = np.frombuffer(text.buffers()[2], dtype=np.uint8)[off[0] : off[-1]] if n and text.buffers()[2] is not None else np.zeros(0, np.uint8)
         self.n_docs, self.doc_off = n, off - off[0]
         self.data = _LOWER[raw] if lower else raw
+        if lower and letters and len(raw):
+            accented = np.flatnonzero(raw[:-1] == 0xC3) + 1
+            accented = accented[(raw[accented] >= 0x80) & (raw[accented] <= 0x9E) & (raw[accented] != 0x97)]
+            self.data[accented] += 0x20
         word = ~(_OTHER if letters else _SPACE)[self.data]
         m = len(raw)
         if not m:
@@ -221,3 +226,15 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
 
 def long_array(values: np.ndarray) -> pa.Array:
     return pa.array(values.view(np.int64) if values.dtype == np.uint64 else values.astype(np.int64, copy=False))
+
+
+def where_text(docs: DataFrame, keep: Callable[[pa.Array], np.ndarray]) -> DataFrame:
+    """The rows, with all columns, whose text ``keep`` marks; it gets the texts of a slice of rows."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(iter([batch]), "text"):
+                yield part.filter(pa.array(keep(part.column(at))))
+
+    return docs.mapInArrow(run, docs.schema)

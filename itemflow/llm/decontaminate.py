@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, gram_hash, slices
+from .common import Words, gram_hash, slices, where_text
 
 N = 4
 BLOCK_BYTES = 8 << 20
@@ -127,14 +127,11 @@ def passages(block: Block, w: Words, threshold: float) -> Iterator[tuple[int, in
 FOUND = "doc_id long, item_id long, similarity double, n_seeds long"
 
 
-def contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.5, n: int = N, rare: int = 50) -> DataFrame:
-    """doc_id, item_id, similarity, n_seeds for each item that a document holds to ``threshold`` or more."""
-    spark = docs.sparkSession
+def rare_blocks(docs: DataFrame, items: DataFrame, n: int = N, rare: int = 50) -> Iterator[Block]:
+    """Blocks of items with the seeds that are rare in docs."""
     items = items.where("text is not null and item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-size // BLOCK_BYTES))
-    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    result = spark.createDataFrame([], FOUND)
     for k in range(blocks):
         mine = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).distinct()
         block = Block.of(sorted((r.item_id, r.text) for r in mine.collect()), n)  # of the order of BLOCK_BYTES
@@ -151,13 +148,20 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.5, n: i
             some = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["seed", "n"])
 
-        counted = chosen.select("text").mapInArrow(frequencies, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).collect()  # a row for each seed of the block
+        counted = docs.select("text").mapInArrow(frequencies, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).collect()  # a row for each seed of the block
         frequency = np.zeros(len(block.seeds), dtype=np.int64)
         for r in counted:
             frequency[r.seed] = r.n
-        rare_block = block.without_common(frequency, rare)
+        yield block.without_common(frequency, rare)
+
+
+def contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.5, n: int = N, rare: int = 50) -> DataFrame:
+    """doc_id, item_id, similarity, n_seeds for each item that a document holds to ``threshold`` or more."""
+    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    result = None
+    for block in rare_blocks(docs, items, n, rare):
 
-        def match(batches: Iterator[pa.RecordBatch], block: Block = rare_block) -> Iterator[pa.RecordBatch]:
+        def match(batches: Iterator[pa.RecordBatch], block: Block = block) -> Iterator[pa.RecordBatch]:
             for batch in slices(batches):
                 w = Words(batch.column(1), lower=True, letters=True)
                 ids = batch.column(0).to_pylist()
@@ -165,5 +169,20 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.5, n: i
                 cols = list(zip(*rows, strict=True)) or [[]] * 4
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.int64()), strict=True)], names=["doc_id", "item_id", "similarity", "n_seeds"])
 
-        result = result.unionByName(chosen.mapInArrow(match, FOUND))
-    return result
+        found = chosen.mapInArrow(match, FOUND)
+        result = found if result is None else result.unionByName(found)
+    return docs.sparkSession.createDataFrame([], FOUND) if result is None else result
+
+
+def decontaminate(docs: DataFrame, items: DataFrame, threshold: float = 0.5, n: int = N, rare: int = 50) -> DataFrame:
+    """The rows of docs, with all their columns, that hold no item to ``threshold``."""
+    for block in rare_blocks(docs, items, n, rare):
+
+        def clean(text: pa.Array, block: Block = block) -> np.ndarray:
+            keep = np.ones(len(text), dtype=bool)
+            for d, *_ in passages(block, Words(text, lower=True, letters=True), threshold):
+                keep[d] = False
+            return keep
+
+        docs = where_text(docs, clean)
+    return docs

@@ -200,3 +200,10 @@ def near_dedup(docs: DataFrame, percent: int = 85) -> DataFrame:
     root = components(links)
     found = classes.join(root.withColumnRenamed("node", "rep"), "rep", "left")
     return found.select("doc_id", "n_shingles", F.coalesce("root", "rep", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
+def without_near_copies(docs: DataFrame, percent: int = 85) -> DataFrame:
+    """The rows of docs, with all their columns, of the smallest doc_id of each component; rows without an id stay."""
+    gone = near_dedup(docs.where("doc_id is not null"), percent).where("not kept").select("doc_id").distinct()
+    kept = docs.join(gone.withColumnRenamed("doc_id", "__gone"), F.col("doc_id") == F.col("__gone"), "left_anti")
+    return kept.select(*docs.columns)

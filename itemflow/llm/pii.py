@@ -181,36 +181,59 @@ def members(mentions: DataFrame, rounds: int, support: int, pattern_floor: float
     return found.select("instance", "kind")
 
 
-def find_pii(docs: DataFrame, rounds: int = 2, support: int = 5, pattern_floor: float = 0.7, instance_floor: float = 0.7) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans and tkey of each row of ``docs``."""
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tkey"))
+def _added(keyed: DataFrame, rounds: int, support: int, pattern_floor: float, instance_floor: float) -> tuple[DataFrame, DataFrame]:
+    """What ``_find`` gives, and (doc_id, tkey, added) of the documents that gain spans."""
     found = materialize(keyed.mapInArrow(_find, FOUND), "found")
     mentions = found.select("doc_id", "tkey", F.explode("mentions").alias("m")).select("doc_id", "tkey", "m.*")
     more = members(mentions, rounds, support, pattern_floor, instance_floor)
     added = mentions.where("kind < 0").select("doc_id", "tkey", "start", "stop", "instance").join(more, "instance").groupBy("doc_id", "tkey").agg(F.collect_set(F.struct("kind", "start", "stop")).alias("added"))
+    return found, added
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tkey"))
+
+
+def find_pii(docs: DataFrame, rounds: int = 2, support: int = 5, pattern_floor: float = 0.7, instance_floor: float = 0.7) -> DataFrame:
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256 and spans of each row of ``docs``."""
+    found, added = _added(_keyed(docs), rounds, support, pattern_floor, instance_floor)
     counts = [f"n_{k}" for k in KINDS]
-    rows = found.select("doc_id", "tkey", *counts, "base_sha256", "base").join(added, ["doc_id", "tkey"], "left").select("doc_id", *counts, "base_sha256", "tkey", "base", "added")
-    return rows.mapInArrow(_merge, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, tkey long, spans string").select("doc_id", *counts, "base_sha256", "spans", "tkey")
+    rows = found.select("doc_id", "tkey", *counts, "base_sha256", "base").join(added, ["doc_id", "tkey"], "left").select("doc_id", *counts, "base_sha256", "base", "added")
+    return rows.mapInArrow(_merge, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+
 
+def redact(docs: DataFrame, rounds: int = 2, support: int = 5, pattern_floor: float = 0.7, instance_floor: float = 0.7) -> DataFrame:
+    """docs with each span, base and added, replaced by its kind in brackets; a column n_chars follows the text.
 
-def redact(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """docs with each span's text replaced by its kind in brackets; spans: rows of ``find_pii``."""
+    Base spans are found again in place; only added ones are joined, and those are few.
+    """
+    _, added = _added(_keyed(docs), rounds, support, pattern_floor, instance_floor)
     names = docs.columns
-    where = spans.select(F.col("doc_id").alias("__doc"), F.col("tkey").alias("__key"), F.col("spans").alias("__spans")).where("spans != ''").dropDuplicates(["__doc", "__key"])
-    joined_rows = docs.withColumn("__k", F.xxhash64("text")).join(where, (F.col("doc_id") == F.col("__doc")) & (F.col("__k") == F.col("__key")), "left")
+    added = added.select(F.col("doc_id").alias("__doc"), F.col("tkey").alias("__key"), F.col("added").alias("__added"))
+    rows = docs.join(added, (F.col("doc_id") == F.col("__doc")) & (F.xxhash64("text") == F.col("__key")), "left").select(*names, "__added")
+
+    def clean(text: str | None, more: list[dict] | None) -> str | None:
+        if not text:
+            return text
+        spans = sorted({*base_spans(text), *((x["start"], x["kind"], x["stop"]) for x in more or ())})
+        if not spans:
+            return text
+        parts, at = [], 0
+        for a, kind, b in spans:
+            if a >= at:
+                parts += [text[at:a], f"[{KINDS[kind].upper()}]"]
+            at = max(at, b)
+        return "".join([*parts, text[at:]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for text, line in zip(batch.column("text").to_pylist(), batch.column("__spans").to_pylist(), strict=True):
-                if line:
-                    parts, at = [], 0
-                    for kind, a, b in (x.split(":") for x in line.split(",")):
-                        if int(a) >= at:
-                            parts += [text[at : int(a)], f"[{kind.upper()}]"]
-                        at = max(at, int(b))
-                    text = "".join([*parts, text[at:]])
-                out.append(text)
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if n == "text" else batch.column(n) for n in names], names=names)
-
-    return joined_rows.select(*names, "__spans").mapInArrow(run, docs.schema)
+            column = {n: batch.column(i) for i, n in enumerate(names)}
+            text = column["text"].to_pylist()
+            new = [clean(t, m) for t, m in zip(text, batch.column(len(names)).to_pylist(), strict=True)]
+            column["text"] = pa.array(new, column["text"].type)
+            if "n_chars" in column:
+                n = [len(t) if t is not None and t != old else c for t, old, c in zip(new, text, column["n_chars"].to_pylist(), strict=True)]
+                column["n_chars"] = pa.array(n, column["n_chars"].type)
+            yield pa.RecordBatch.from_arrays(list(column.values()), names=names)
+
+    return rows.mapInArrow(run, docs.schema)

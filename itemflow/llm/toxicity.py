@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, distinct_per_doc, long_array, materialize, slices
+from .common import Words, distinct_per_doc, long_array, materialize, slices, where_text
 
 SAMPLE = 20_000
 TERMS = 4_096
@@ -187,3 +187,9 @@ def held_out() -> Column:
 def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted of each row; labels of held-out rows are never read."""
     return score(docs, train(docs, labels, ~held_out(), sample), threshold).select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs, with all their columns, that score below ``threshold``."""
+    model = train(docs, labels, ~held_out(), sample)
+    return where_text(docs, lambda text: model.score(text) < threshold)
