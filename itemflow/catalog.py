@@ -1,21 +1,17 @@
-"""The engine's queries over the test tables, each with SQL for the same rows."""
+"""The engine's queries over the test tables, each with SQL for the same rows where SQL has words for it."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-
-def group_by_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    return orders.groupBy("o_custkey").agg(F.sum("o_totalprice").alias("total"), F.count("*").alias("n")).orderBy(F.desc("total"))
+from . import catalog_columns, catalog_documents, catalog_operators
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"group_by_customer": group_by_customer}
+    return catalog_operators.queries() | catalog_columns.queries() | catalog_documents.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"group_by_customer": "SELECT o_custkey, sum(o_totalprice) AS total, count(*) AS n FROM orders GROUP BY 1"}
+    return catalog_operators.oracle_sql() | catalog_columns.oracle_sql()
