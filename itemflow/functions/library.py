@@ -13,7 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..errors import EngineError, Unsupported
-from ..plans.values import DECIMAL, EMPTY, T, Val, arr, common, duration_text, ebv, number, one, seconds_of, spark_type, text, to
+from ..plans.values import DECIMAL, EMPTY, T, Val, arr, common, ebv, one, seconds_of, spark_type, text, to
 from . import regex, udfs
 
 FUNCTIONS: dict[str, tuple[int, int | None, Callable]] = {}
@@ -724,5 +724,3 @@ fn("parse-json", 1, 2)(lambda c, e, v, *options: Val(F.from_json(string(v), "map
 fn("serialize", 1, 2)(lambda c, e, v, *options: s(F.to_json(one(v)) if v.t.kind in ("map", "struct") else F.to_json(one(v)) if v.t.kind == "array" else F.array_join(F.transform(arr(v), lambda x: text(Val(x, v.t))), " ")))
 fn("generate-id", 0, 1)(lambda c, e, *a: s(F.concat(F.lit("N"), F.hex(F.xxhash64(*[one(v) for v in a])))))
 fn("local-name-from-QName", 1)(lambda c, e, v: s(F.regexp_replace(text(v), "^.*:", "")))
-
-__all__ = ["FUNCTIONS", "duration_text", "number"]

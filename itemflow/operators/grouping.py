@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..engine import Rows
 from ..errors import EngineError
-from ..plans.values import T, Val, arr, ebv, one, spark_type, text
+from ..plans.values import Val, arr, ebv, one, spark_type, text
 
 GROUP = "group_no"
 
@@ -150,5 +150,3 @@ def fold(rows: Rows, partition: list[str], order: list[str], zero: str, step: st
 
     return grouped.select(*partition, F.aggregate("__items", one(start).cast(spark_type(start.t)), combine).alias(name))
 
-
-__all__ = ["T", "aggregate", "fold", "group_adjacent", "group_by", "group_ending_with", "group_starting_with", "rollup", "totals"]
