@@ -1,6 +1,302 @@
-def queries():
-    return {}
+"""Queries on documents: node tables and axes, stylesheets, serialization, streaming."""
 
+from __future__ import annotations
 
-def oracle_sql():
-    return {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .engine import Engine
+from .operators import nodes
+from .streaming import running
+
+_queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_sql: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        _queries[f.__name__] = lambda spark, sf_dir: f(Engine(spark, sf_dir))
+        if sql:
+            _sql[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _pages(e: Engine) -> DataFrame:
+    return e.shred(e.table("pages"), "page_id", "html", "html")
+
+
+def _xml(e: Engine) -> DataFrame:
+    """Parts as XML documents, one for each brand: <parts brand=".."><part id=".." size=".."><name>..</name></part>..</parts>."""
+    part = F.format_string('<part id="p%d" size="%d"><name>%s</name></part>', "p_partkey", "p_size", "p_name")
+    rows = e.table("part").groupBy("p_brand").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", part.alias("x")))), lambda s: s["x"]), "").alias("parts"), F.min("p_partkey").alias("doc_id"))
+    return rows.select("doc_id", F.concat(F.lit('<parts brand="'), "p_brand", F.lit('">'), "parts", F.lit("</parts>")).alias("xml"))
+
+
+def _count(df: DataFrame) -> DataFrame:
+    return df.groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+_BRANDS = "SELECT min(p_partkey) AS doc_id, {} AS n FROM part GROUP BY p_brand"
+
+
+@query("SELECT page_id AS doc_id, len(regexp_extract_all(html, '<a href=')) AS n FROM pages")
+def axis_descendant(e):
+    return _count(nodes.path(_pages(e), ("descendant", "a")))
+
+
+@query("SELECT page_id AS doc_id, len(regexp_extract_all(html, '<a href=')) AS n FROM pages")
+def axis_attribute(e):
+    return _count(nodes.path(_pages(e), ("descendant", "a"), ("attribute", "href")))
+
+
+@query("SELECT page_id AS doc_id, len(regexp_extract_all(html, '<li>')) AS n FROM pages")
+def axis_child(e):
+    return _count(nodes.path(_pages(e), ("descendant", "ul"), ("child", "li")))
+
+
+@query("SELECT page_id AS doc_id, 1 AS n FROM pages")
+def axis_parent(e):
+    return _count(nodes.path(_pages(e), ("descendant", "li"), ("parent", "ul")))
+
+
+@query(_BRANDS.format("count(*) + 1"))
+def axis_ancestor(e):
+    table = e.shred(_xml(e), "doc_id", "xml")
+    return _count(nodes.path(table, ("descendant", "name"), ("ancestor", None)).where("kind = 'element'"))
+
+
+@query(_BRANDS.format("2 * count(*) + 1"))
+def axis_ancestor_or_self(e):
+    table = e.shred(_xml(e), "doc_id", "xml")
+    return _count(nodes.path(table, ("descendant", "name"), ("ancestor-or-self", None)).where("kind = 'element'"))
+
+
+@query(_BRANDS.format("2 * count(*) + 1"))
+def axis_descendant_or_self(e):
+    table = e.shred(_xml(e), "doc_id", "xml")
+    return _count(nodes.path(table, ("child", "parts"), ("descendant-or-self", None)).where("kind = 'element'"))
+
+
+@query("SELECT min(p_partkey) AS doc_id, count(*) - 1 AS n FROM part GROUP BY p_brand HAVING count(*) > 1")
+def axis_following_sibling(e):
+    table = e.shred(_xml(e), "doc_id", "xml")
+    return _count(nodes.path(table, ("descendant", "part"), ("following-sibling", "part")))
+
+
+@query("SELECT min(p_partkey) AS doc_id, count(*) - 1 AS n FROM part GROUP BY p_brand HAVING count(*) > 1")
+def axis_preceding_sibling(e):
+    table = e.shred(_xml(e), "doc_id", "xml")
+    return _count(nodes.path(table, ("descendant", "part"), ("preceding-sibling", "part")))
+
+
+@query("SELECT min(p_partkey) AS doc_id, count(*) - 1 AS n FROM part GROUP BY p_brand HAVING count(*) > 1")
+def axis_following(e):
+    table = e.shred(_xml(e), "doc_id", "xml")
+    return _count(nodes.path(table, ("descendant", "part"), ("following", "name")))
+
+
+@query("SELECT min(p_partkey) AS doc_id, count(*) - 1 AS n FROM part GROUP BY p_brand HAVING count(*) > 1")
+def axis_preceding(e):
+    table = e.shred(_xml(e), "doc_id", "xml")
+    return _count(nodes.path(table, ("descendant", "part"), ("preceding", "name")))
+
+
+@query(_BRANDS.format("count(*)"))
+def axis_self(e):
+    table = e.shred(_xml(e), "doc_id", "xml")
+    return _count(nodes.path(table, ("descendant", "part"), ("self", "part")))
+
+
+@query("SELECT doc_id, p_name AS string FROM (SELECT *, min(p_partkey) OVER (PARTITION BY p_brand) AS doc_id, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS position FROM part) WHERE position = 2")
+def predicate_position(e):
+    table = e.shred(_xml(e), "doc_id", "xml")
+    second = nodes.positioned(nodes.path(table, ("child", "parts")), table, "child", "part").where("position = 2")
+    return nodes.string_value(second.select(*table.columns), table).select("doc_id", "string")
+
+
+@query("SELECT doc_id, p_name AS string FROM (SELECT *, min(p_partkey) OVER (PARTITION BY p_brand) AS doc_id, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey DESC) AS position FROM part) WHERE position = 1")
+def predicate_last(e):
+    table = e.shred(_xml(e), "doc_id", "xml")
+    final = nodes.positioned(nodes.path(table, ("child", "parts")), table, "child", "part").where("position = last")
+    return nodes.string_value(final.select(*table.columns), table).select("doc_id", "string")
+
+
+@query(_BRANDS.format("2 * count(*)"))
+def node_union(e):
+    table = e.shred(_xml(e), "doc_id", "xml")
+    names, parts = nodes.path(table, ("descendant", "name")), nodes.path(table, ("descendant", "part"))
+    return _count(nodes.union(nodes.union(names, parts), names))
+
+
+@query(_BRANDS.format("count(*)"))
+def node_intersect(e):
+    table = e.shred(_xml(e), "doc_id", "xml")
+    return _count(nodes.intersect(nodes.path(table, ("descendant", None)), nodes.path(table, ("descendant", "name"))))
+
+
+@query(_BRANDS.format("count(*) + 1"))
+def node_except(e):
+    table = e.shred(_xml(e), "doc_id", "xml")
+    every = nodes.path(table, ("descendant", None)).where("kind = 'element'")
+    return _count(nodes.except_(every, nodes.path(table, ("descendant", "name"))))
+
+
+@query(_BRANDS.format("count(*)"))
+def node_innermost(e):
+    table = e.shred(_xml(e), "doc_id", "xml")
+    return _count(nodes.innermost(nodes.path(table, ("descendant", None)).where("kind = 'element'")))
+
+
+@query(_BRANDS.format("1"))
+def node_outermost(e):
+    table = e.shred(_xml(e), "doc_id", "xml")
+    return _count(nodes.outermost(nodes.path(table, ("descendant", None)).where("kind = 'element'")))
+
+
+@query("SELECT p_partkey AS doc_id, p_name AS string FROM part WHERE p_partkey IN (SELECT min(p_partkey) FROM part GROUP BY p_brand)")
+def node_id(e):
+    table = e.shred(_xml(e), "doc_id", "xml")
+    refs = table.select("doc_id").distinct().select("doc_id", F.concat(F.lit("p"), "doc_id").alias("ref"))
+    return nodes.string_value(nodes.by_id(table, refs), table).select("doc_id", "string")
+
+
+_HEAD = '<xsl:stylesheet version="3.0" xmlns:xsl="http://www.w3.org/1999/XSL/Transform" xmlns:xs="http://www.w3.org/2001/XMLSchema" xmlns:f="urn:f" xmlns:map="http://www.w3.org/2005/xpath-functions/map" exclude-result-prefixes="#all">'
+
+
+def _sheet(body: str, method: str = "text") -> str:
+    return f'{_HEAD}<xsl:output method="{method}" omit-xml-declaration="yes" indent="no"/>{body}</xsl:stylesheet>'
+
+
+def _transformed(e: Engine, body: str, method: str = "text", **options) -> DataFrame:
+    return e.transform(_xml(e), "doc_id", "xml", _sheet(body, method), strict=True, **options).select("doc_id", "result")
+
+
+_PER_BRAND = "SELECT min(p_partkey) AS doc_id, {} AS result FROM part GROUP BY p_brand"
+
+
+@query(_PER_BRAND.format("string_agg(p_name, '|' ORDER BY p_partkey)"))
+def template_rules(e):
+    return _transformed(e, '<xsl:template match="part"><xsl:if test="position() gt 1">|</xsl:if><xsl:apply-templates/></xsl:template>')
+
+
+@query(_PER_BRAND.format("string_agg(CASE WHEN p_size > 25 THEN upper(p_name) ELSE p_name END, ',' ORDER BY p_partkey)"))
+def template_priority_next_match(e):
+    body = '<xsl:template match="/"><xsl:value-of select="for $p in //part return f:name($p)" separator=","/></xsl:template><xsl:function name="f:name"><xsl:param name="p"/><xsl:apply-templates select="$p"/></xsl:function><xsl:template match="part[@size &gt; 25]" priority="2"><xsl:variable name="t"><xsl:next-match/></xsl:variable><xsl:value-of select="upper-case($t)"/></xsl:template><xsl:template match="part"><xsl:value-of select="name"/></xsl:template>'
+    return _transformed(e, body)
+
+
+@query(_PER_BRAND.format("string_agg(p_partkey::VARCHAR, ' ' ORDER BY p_size DESC, p_partkey)"))
+def template_sort(e):
+    return _transformed(e, '<xsl:template match="/"><xsl:for-each select="//part"><xsl:sort select="xs:integer(@size)" order="descending"/><xsl:value-of select="if (position() gt 1) then \' \' else \'\', substring(@id, 2)" separator=""/></xsl:for-each></xsl:template>')
+
+
+@query("SELECT doc_id, string_agg(s || ':' || n, ' ' ORDER BY s) AS result FROM (SELECT min(min(p_partkey)) OVER (PARTITION BY p_brand) AS doc_id, p_size // 10 AS s, count(*) AS n FROM part GROUP BY p_brand, p_size // 10) GROUP BY doc_id")
+def template_for_each_group(e):
+    return _transformed(e, '<xsl:template match="/"><xsl:for-each-group select="//part" group-by="xs:integer(@size) idiv 10"><xsl:sort select="current-grouping-key()"/><xsl:if test="position() gt 1"><xsl:text> </xsl:text></xsl:if><xsl:value-of select="current-grouping-key(), count(current-group())" separator=":"/></xsl:for-each-group></xsl:template>')
+
+
+@query(_PER_BRAND.format("CAST(sum(p_size) AS VARCHAR)"))
+def template_iterate(e):
+    return _transformed(e, '<xsl:template match="/"><xsl:iterate select="//part"><xsl:param name="s" select="0"/><xsl:on-completion><xsl:value-of select="$s"/></xsl:on-completion><xsl:next-iteration><xsl:with-param name="s" select="$s + xs:integer(@size)"/></xsl:next-iteration></xsl:iterate></xsl:template>')
+
+
+@query(_PER_BRAND.format("CAST(sum(p_size) AS VARCHAR) || '/' || count(*)"))
+def template_accumulator(e):
+    body = '<xsl:accumulator name="size" initial-value="0"><xsl:accumulator-rule match="part" select="$value + xs:integer(@size)"/></xsl:accumulator><xsl:accumulator name="n" initial-value="0"><xsl:accumulator-rule match="part" phase="end" select="$value + 1"/></xsl:accumulator><xsl:template match="/"><xsl:value-of select="accumulator-after(\'size\'), accumulator-after(\'n\')" separator="/"/></xsl:template>'
+    return _transformed(e, body)
+
+
+@query(_PER_BRAND.format("CAST(count(*) FILTER (p_size = 7) AS VARCHAR)"))
+def template_key(e):
+    return _transformed(e, '<xsl:key name="by-size" match="part" use="xs:integer(@size)"/><xsl:template match="/"><xsl:value-of select="count(key(\'by-size\', 7))"/></xsl:template>')
+
+
+@query(_PER_BRAND.format("string_agg(p_partkey::VARCHAR, '+' ORDER BY p_partkey)"))
+def template_call_recursive(e):
+    body = '<xsl:template match="/"><xsl:call-template name="join"><xsl:with-param name="rest" select="//part"/></xsl:call-template></xsl:template><xsl:template name="join"><xsl:param name="rest"/><xsl:if test="$rest"><xsl:value-of select="substring($rest[1]/@id, 2)"/><xsl:if test="$rest[2]">+</xsl:if><xsl:call-template name="join"><xsl:with-param name="rest" select="tail($rest)"/></xsl:call-template></xsl:if></xsl:template>'
+    return _transformed(e, body)
+
+
+@query("SELECT min(p_partkey) AS doc_id, '<parts brand=\"' || p_brand || '\">' || string_agg('<part id=\"p' || p_partkey || '\" size=\"' || p_size || '\"/>', '' ORDER BY p_partkey) || '</parts>' AS result FROM part GROUP BY p_brand")
+def template_shallow_copy(e):
+    return _transformed(e, '<xsl:mode on-no-match="shallow-copy"/><xsl:template match="name"/>', "xml")
+
+
+@query(_PER_BRAND.format("'<ul>' || string_agg('<li class=\"s' || p_size || '\">' || p_name || '</li>', '' ORDER BY p_partkey) || '</ul>'"))
+def template_literal_elements(e):
+    return _transformed(e, '<xsl:template match="/parts"><ul><xsl:for-each select="part"><li class="s{@size}"><xsl:value-of select="name"/></li></xsl:for-each></ul></xsl:template>', "html")
+
+
+@query(_PER_BRAND.format("string_agg(row_no || '. ' || p_name, chr(10) ORDER BY p_partkey)").replace("FROM part", "FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS row_no FROM part)"))
+def template_number(e):
+    return _transformed(e, '<xsl:template match="/"><xsl:for-each select="//part"><xsl:if test="position() gt 1"><xsl:text>&#10;</xsl:text></xsl:if><xsl:number format="1. "/><xsl:value-of select="name"/></xsl:for-each></xsl:template>')
+
+
+@query(_PER_BRAND.format("'caught FOAR0001'"))
+def template_try_catch(e):
+    return _transformed(e, '<xsl:template match="/"><xsl:try select="count(//part) div 0"><xsl:catch xmlns:err="http://www.w3.org/2005/xqt-errors" select="\'caught\', local-name-from-QName($err:code)"/></xsl:try></xsl:template>')
+
+
+@query(_PER_BRAND.format("'{\"n\":' || count(*) || ',\"sizes\":[' || string_agg(p_size::VARCHAR, ',' ORDER BY p_partkey) || ']}'"))
+def serialize_json(e):
+    return _transformed(e, '<xsl:template match="/"><xsl:sequence select="map{\'n\': count(//part), \'sizes\': array{//part/xs:integer(@size)}}"/></xsl:template>', "json")
+
+
+@query(_PER_BRAND.format("string_agg(regexp_replace(p_name, '[aeiou]+', '<>', 'g'), ' ' ORDER BY p_partkey)"))
+def template_analyze_string(e):
+    return _transformed(e, '<xsl:template match="/"><xsl:for-each select="//name"><xsl:if test="position() gt 1"><xsl:text> </xsl:text></xsl:if><xsl:analyze-string select="." regex="[aeiou]+"><xsl:matching-substring>&lt;&gt;</xsl:matching-substring><xsl:non-matching-substring><xsl:value-of select="."/></xsl:non-matching-substring></xsl:analyze-string></xsl:for-each></xsl:template>')
+
+
+@query(_PER_BRAND.format("CAST(count(*) + 40 AS VARCHAR)"))
+def template_params_modes_evaluate(e):
+    body = '<xsl:param name="base" as="xs:integer"/><xsl:mode name="count" on-no-match="deep-skip"/><xsl:template match="/"><xsl:variable name="marks"><xsl:apply-templates select="//part" mode="count"/></xsl:variable><xsl:evaluate xpath="\'$n + $b\'"><xsl:with-param name="n" select="string-length($marks)"/><xsl:with-param name="b" select="$base"/></xsl:evaluate></xsl:template><xsl:template match="part" mode="count">x</xsl:template>'
+    return _transformed(e, body, params={"base": 40})
+
+
+@query(_PER_BRAND.format("string_agg(p_partkey::VARCHAR, ' ' ORDER BY p_size, p_partkey)"))
+def template_merge(e):
+    body = '<xsl:template match="/"><xsl:variable name="all"><xsl:merge><xsl:merge-source name="even" select="//part[xs:integer(@size) mod 2 = 0]" sort-before-merge="yes"><xsl:merge-key select="xs:integer(@size)"/><xsl:merge-key select="xs:integer(substring(@id, 2))"/></xsl:merge-source><xsl:merge-source name="odd" select="//part[xs:integer(@size) mod 2 = 1]" sort-before-merge="yes"><xsl:merge-key select="xs:integer(@size)"/><xsl:merge-key select="xs:integer(substring(@id, 2))"/></xsl:merge-source><xsl:merge-action><i><xsl:value-of select="substring(@id, 2)"/></i></xsl:merge-action></xsl:merge></xsl:variable><xsl:value-of select="$all/i"/></xsl:template>'
+    return _transformed(e, body)
+
+
+@query("SELECT min(p_partkey) AS doc_id, count(*) AS n FROM part GROUP BY p_brand")
+def result_documents(e):
+    out = e.transform(_xml(e), "doc_id", "xml", _sheet('<xsl:template match="/"><xsl:for-each select="//part"><xsl:result-document href="{@id}.xml" method="xml"><xsl:copy-of select="."/></xsl:result-document></xsl:for-each></xsl:template>'), strict=True)
+    return out.select("doc_id", F.size("results").cast("bigint").alias("n"))
+
+
+@query("SELECT event_id AS doc_id, [json_extract_string(props, '$.k')] AS items FROM events")
+def json_source(e):
+    return e.xpath(e.table("events"), "event_id", "props", "string(/*:map/*:number[@key = 'k'])", kind="json", strict=True).select("doc_id", "items")
+
+
+@query("SELECT min(p_partkey) AS doc_id, [max(p_size)::VARCHAR, count(*)::VARCHAR] AS items FROM part GROUP BY p_brand")
+def document_xpath(e):
+    return e.xpath(_xml(e), "doc_id", "xml", "(max(//part/@size/xs:integer(.)), count(//part))", strict=True).select("doc_id", "items")
+
+
+@query()
+def page_titles(e):
+    return e.xpath(e.table("pages"), "page_id", "html", "normalize-space(//title), count(//article//p), //footer/string()", kind="html")
+
+
+@query("SELECT user_id, count(*) AS n, sum(value) AS total FROM events GROUP BY 1")
+def streaming_accumulator(e):
+    return running.totals(e.spark, f"{e.root}/events.parquet", ["user_id"], {"n": "count(1)", "total": "sum(value)"})
+
+
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS hour, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def streaming_window(e):
+    return running.windowed(e.spark, f"{e.root}/events.parquet", "ts", "1 hour", ["event_type"]).select(F.col("hour").cast("timestamp_ntz").alias("hour"), "event_type", "n")
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_queries)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_sql)

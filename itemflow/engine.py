@@ -63,3 +63,27 @@ class Engine:
 
     def rows(self, table: str | DataFrame) -> Rows:
         return Rows(self.table(table) if isinstance(table, str) else table)
+
+    def shred(self, df: DataFrame, key: str, text: str, kind: str = "xml") -> DataFrame:
+        """Node table of the documents in a column."""
+        from .sources.documents import shred
+
+        return shred(df, key, text, kind)
+
+    def transform(self, df: DataFrame, key: str, text: str, stylesheet: str, **options) -> DataFrame:
+        """A stylesheet on each document of a column; options of ``perdoc.spark.transform``."""
+        from .perdoc.spark import transform
+
+        return transform(df, key, text, stylesheet, **options)
+
+    def xpath(self, df: DataFrame, key: str, text: str, expression: str, **options) -> DataFrame:
+        """An expression on each document of a column; options of ``perdoc.spark.xpath``."""
+        from .perdoc.spark import xpath
+
+        return xpath(df, key, text, expression, **options)
+
+    def reader(self, *roots: str):
+        """Sources below the given roots."""
+        from .sources.documents import Reader
+
+        return Reader(self.spark, list(roots))
