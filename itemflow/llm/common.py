@@ -65,8 +65,9 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def partitions_for(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def unused(tag: str) -> str:
+    """A column name that no table has."""
+    return f"{tag}_{uuid.uuid4().hex}"
 
 
 def mix(h: np.ndarray) -> np.ndarray:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, Words, distinct_per_doc, long_array, materialize, mix, slices
+from .common import U, Words, distinct_per_doc, long_array, materialize, mix, slices, unused
 
 SHINGLE = 5
 BANDS, ROWS = 25, 5
@@ -195,15 +195,16 @@ def near_links(docs: DataFrame, percent: int = 85, rounds: int = 1, crowd: int =
 
 
 def near_dedup(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for each row of ``docs``."""
+    """doc_id, n_shingles, component_id and kept for each row of ``docs``; rows without an id have no component and stay."""
     classes, links = near_links(docs, percent)
     root = components(links)
     found = classes.join(root.withColumnRenamed("node", "rep"), "rep", "left")
-    return found.select("doc_id", "n_shingles", F.coalesce("root", "rep", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "rep", "doc_id"))
+    return found.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def without_near_copies(docs: DataFrame, percent: int = 85) -> DataFrame:
     """The rows of docs, with all their columns, of the smallest doc_id of each component; rows without an id stay."""
     gone = near_dedup(docs.where("doc_id is not null"), percent).where("not kept").select("doc_id").distinct()
-    kept = docs.join(gone.withColumnRenamed("doc_id", "__gone"), F.col("doc_id") == F.col("__gone"), "left_anti")
-    return kept.select(*docs.columns)
+    gone = gone.withColumnRenamed("doc_id", name := unused("gone"))
+    return docs.join(gone, docs["doc_id"] == gone[name], "left_anti")

@@ -13,7 +13,6 @@ ignored.  Texts are tokenised whole; only ids of one slice of rows are held at a
 
 from __future__ import annotations
 
-import base64
 import bisect
 import json
 import zlib
@@ -21,7 +20,6 @@ from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -134,15 +132,16 @@ OUT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, se
 
 
 def _pack(limits: tuple[int, ...]):
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["doc_id", "start", "ids_crc32"], kind="stable").reset_index(drop=True)
-        full = (rows.length == limits[0]).to_numpy()
-        bins, offset = pack_group(np.stack([rows.length[~full], np.ones((~full).sum(), np.int64), rows.loss[~full]], axis=1), limits)
-        sequence, at = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
-        sequence[~full], at[~full] = bins, offset
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("doc_id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending"), ("length", "ascending")])
+        length, loss = rows["length"].to_numpy(), rows["loss"].to_numpy()
+        full = length == limits[0]
+        bins, at = pack_group(np.stack([length[~full], np.ones((~full).sum(), np.int64), loss[~full]], axis=1), limits)
+        sequence, offset = np.zeros(len(length), np.int64), np.zeros(len(length), np.int64)
+        sequence[~full], offset[~full] = bins, at
         sequence[full] = np.arange(full.sum()) + (bins.max() + 1 if len(bins) else 0)
-        rows["sequence_id"], rows["offset"] = (int(key[0]) << 40) + sequence, at
-        return rows[["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]]
+        kept = rows.select(["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+        return kept.append_column("sequence_id", pa.array((key[0].as_py() << 40) + sequence)).append_column("offset", pa.array(offset))
 
     return run
 
@@ -154,16 +153,9 @@ def pack(docs: DataFrame, limit: int = TOKENS, segments: int = 256, loss_tokens:
     bear loss.  vocabulary: a tokenizers file.  The number of groups follows the number of rows.
     """
     limits = (limit, segments, loss_tokens or limit)
-    if loss is not None and loss_tokens is not None and loss_tokens < 1:
-        raise ValueError("loss_tokens must be positive")
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *([F.col(loss).cast("double")] if loss else []))
     pieces = chosen.mapInArrow(lambda batches: cut(batches, vocabulary, limit, loss), PIECES)
     groups = max(1, docs.count() // GROUP)
     # piece start takes part, so that one endless document does not fill a group
-    return pieces.groupBy(F.pmod(F.xxhash64("doc_id", F.floor(F.col("start") / (limit * 4096))), F.lit(groups)).alias("g")).applyInPandas(_pack(limits), OUT)
+    return pieces.groupBy(F.pmod(F.xxhash64("doc_id", F.floor(F.col("start") / (limit * 4096))), F.lit(groups)).alias("g")).applyInArrow(_pack(limits), OUT)
 
-
-def decode_base64_ranks(path: str) -> dict[bytes, int]:
-    """Ranks of a ``.tiktoken`` file, for tests of ``encoder``."""
-    with open(path, "rb") as f:
-        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}

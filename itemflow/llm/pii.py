@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, slices
+from .common import materialize, slices, unused
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -209,8 +209,9 @@ def redact(docs: DataFrame, rounds: int = 2, support: int = 5, pattern_floor: fl
     """
     _, added = _added(_keyed(docs), rounds, support, pattern_floor, instance_floor)
     names = docs.columns
-    added = added.select(F.col("doc_id").alias("__doc"), F.col("tkey").alias("__key"), F.col("added").alias("__added"))
-    rows = docs.join(added, (F.col("doc_id") == F.col("__doc")) & (F.xxhash64("text") == F.col("__key")), "left").select(*names, "__added")
+    doc, key, more = unused("doc"), unused("key"), unused("added")
+    added = added.toDF(doc, key, more)
+    rows = docs.join(added, (docs["doc_id"] == added[doc]) & (F.xxhash64(docs["text"]) == added[key]), "left").select(*[docs[n] for n in names], more)
 
     def clean(text: str | None, more: list[dict] | None) -> str | None:
         if not text:

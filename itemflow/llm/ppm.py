@@ -214,7 +214,7 @@ SCORED = "doc_id long, tkey long, n_tokens long, head_known long, head_score dou
 
 
 def ppm_score(docs: DataFrame, training: Column, contexts: tuple[int, ...] = CONTEXTS, head: int = HEAD) -> DataFrame:
-    """doc_id, n_tokens, n_known, train_tokens, base_score, score and trained of each row.
+    """doc_id, n_tokens, n_known, train_tokens, base_score and score of each row.
 
     training: which rows (doc_id, text) are learned from.
     """
@@ -265,7 +265,8 @@ def ppm_score(docs: DataFrame, training: Column, contexts: tuple[int, ...] = CON
         counts = tails.groupBy("doc_id", "tkey", "key").agg(F.max("tf").alias("tf")) if docs_repeat(scored) else tails
         c = F.coalesce("n", F.lit(0))
         sums = counts.join(vocabulary, "key", "left").groupBy("doc_id", "tkey").agg(F.sum(F.when(c > 0, F.col("tf")).otherwise(0)).alias("known"), F.sum(F.col("tf") * (F.log10(c + 0.1) - norm)).alias("more"))
-        found = scored.join(sums, ["doc_id", "tkey"], "left")
+        sums = sums.toDF("d", "k", "known", "more")
+        found = scored.join(sums, scored["doc_id"].eqNullSafe(sums["d"]) & (scored["tkey"] == sums["k"]), "left")
     return found.select(
         "doc_id", "n_tokens", (F.col("head_known") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(n_all).cast("long").alias("train_tokens"), (F.col("head_score") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score"
     )

@@ -269,8 +269,8 @@ def substring_dedup(docs: DataFrame, window: int = 50, hot: int = 4096) -> DataF
     """One row for each row of ``docs``: doc_id, n_words, n_removed, kept_sha256 and kept_text.
 
     ``kept_text`` is the text itself where nothing is removed, else the kept words joined by one space.
-    Rows that share a doc_id are one document to each other and are cut alike only by smaller doc_ids.
+    Rows that share a doc_id don't cut each other, only smaller doc_ids do.  Rows without a doc_id stay whole.
     """
     docs = keyed(docs)
-    spans = repeated_spans(docs, window, hot).groupBy("doc_id", "tkey").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+    spans = repeated_spans(docs.where("doc_id is not null"), window, hot).groupBy("doc_id", "tkey").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
     return docs.join(spans, ["doc_id", "tkey"], "left").select("doc_id", "text", "spans").mapInArrow(_cut, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
