@@ -5,9 +5,11 @@
 2. Equal sets are one class; its smallest document represents it, so exact copies cost one row each.
 3. Members of a bucket meet a leader, never each other, so candidates are linear in the bucket.  Leaders are drawn
    by one order for all bands, so most bands give the same pairs.  The signatures must agree, then the sets decide.
-4. Components by alternating large-star and small-star.  In buckets that still hold several components, members
-   meet across components: all of them in buckets of at most ``crowd`` members; in larger ones ``heads`` newly
-   drawn members of each other component, so work stays linear in the members.
+4. Components by alternating large-star and small-star.  In buckets that still hold several components, the members
+   outside the largest one meet all members of others, where they are few or the bucket is small.  Where they are
+   many, all members first meet ``heads`` newly drawn members of other components, ``rounds`` times, which is
+   linear in the bucket; what is left is compared inside a join that gives out links only, so no pair of a bucket
+   goes uncompared unless its documents are joined already.
 
 Two texts with similarity 0.85 share no band with probability (1 - 0.85**5)**25 < 1e-6, and their signatures fall
 below the floor with a probability of less than 1e-7.
@@ -28,6 +30,8 @@ from .common import U, Words, distinct_per_doc, long_array, materialize, mix, sl
 
 SHINGLE = 5
 BANDS, ROWS = 25, 5
+#: Bits of the longer signature of documents in crowded buckets.
+LONG = 512
 
 
 def _coefficients(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -90,6 +94,24 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([raw[6 * x : 6 * y] for x, y in zip(off[:-1], off[1:], strict=True)], pa.binary())], names=["doc_id", "shingles"])
 
 
+def _arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents to their sets as arrays, with a signature of ``LONG`` bits."""
+    a, b = _coefficients(LONG)
+    for batch in slices(batches):
+        value, off = shingle_sets(Words(batch.column(1), lower=True))
+        some = np.flatnonzero(np.diff(off))
+        bits = np.zeros((len(off) - 1, LONG), dtype=np.uint8)
+        for j in range(LONG):
+            x = value * a[j]
+            x += b[j]
+            x ^= x >> U(32)
+            if len(some):
+                bits[some, j] = mix(np.minimum.reduceat(x, off[some])) & U(1)
+        sign = np.packbits(bits, axis=1).view(np.int64).ravel()
+        signs = pa.ListArray.from_arrays(pa.array(np.arange(len(off)) * (LONG // 64), pa.int32()), long_array(sign))
+        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.ListArray.from_arrays(pa.array(off, pa.int32()), long_array(value)), signs], names=["rep", "x", "sign"])
+
+
 def _linked(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def values(x: bytes) -> np.ndarray:
@@ -147,13 +169,16 @@ def near_links(docs: DataFrame, percent: int = 85, rounds: int = 1, crowd: int =
     own = sketch.join(reps.withColumnRenamed("rep", "doc_id"), ["doc_id", *same], "left_semi").dropDuplicates(["doc_id", *same])
     buckets = materialize(own.select(F.col("doc_id").alias("rep"), "s1", "s2", F.posexplode("bands").alias("band", "key")), "bands")
     likely = percent / 100
-    spread = 2 * ((1 + likely) / 2 * (1 - likely) / 2 / (BANDS * ROWS)) ** 0.5
-    differ = int((1 - (likely - 5.3 * spread)) / 2 * BANDS * ROWS)
+
+    def allowed(bits: int) -> int:
+        """Signature bits that alike sets may differ in."""
+        spread = 2 * ((1 + likely) / 2 * (1 - likely) / 2 / bits) ** 0.5
+        return int((1 - (likely - 5.3 * spread)) / 2 * bits)
 
     def candidates(met: DataFrame) -> DataFrame:
         """Pairs of (rep, s1, s2) and (rep2, t1, t2) whose signatures agree."""
         off = F.bit_count(F.col("s1").bitwiseXOR(F.col("t1"))) + F.bit_count(F.col("s2").bitwiseXOR(F.col("t2")))
-        return met.where((F.col("rep") != F.col("rep2")) & (off <= differ)).select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).distinct()
+        return met.where((F.col("rep") != F.col("rep2")) & (off <= allowed(BANDS * ROWS))).select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).distinct()
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) whose sets are alike enough."""
@@ -163,30 +188,49 @@ def near_links(docs: DataFrame, percent: int = 85, rounds: int = 1, crowd: int =
         alike = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y")
         return materialize(alike.mapInArrow(_linked(percent), "a long, b long"), "links")
 
+    def compared(open_: DataFrame) -> DataFrame:
+        """Links between the members of a bucket outside its largest component and all others, decided inside the join:
+        signatures, then whole sets.  Only links leave it."""
+        needed = open_.select(F.col("rep").alias("doc_id")).distinct()
+        sets = materialize(docs.join(needed.hint("merge"), "doc_id", "left_semi").mapInArrow(_arrays, "rep long, x array<long>, sign array<long>"), "sets")
+        every = materialize(open_.join(sets, "rep"), "open")
+        a = every.where("root != main").select(*[F.col(k).alias(f"{k}_") for k in key], F.col("rep").alias("a"), F.col("root").alias("ra"), F.col("sign").alias("sa"), F.col("x").alias("xa"))
+        b = every.select(*key, F.col("rep").alias("b"), "root", (F.col("root") == F.col("main")).alias("of_main"), "sign", "x")
+        off = sum((F.bit_count(F.get("sign", F.lit(i)).bitwiseXOR(F.get("sa", F.lit(i)))) for i in range(LONG // 64)), F.lit(0))
+        both = F.size(F.array_intersect("x", "xa"))
+        alike = (off <= allowed(LONG)) & (100 * both >= percent * (F.size("x") + F.size("xa") - both))
+        on = (F.col("band") == F.col("band_")) & (F.col("key") == F.col("key_")) & (F.col("root") != F.col("ra")) & (F.col("of_main") | (F.col("a") < F.col("b"))) & alike
+        return materialize(a.join(b, on).select("a", "b").distinct(), "links")
+
     draw = lambda *seed: F.min(F.struct(F.xxhash64("rep", *seed).alias("h"), F.col("rep").alias("rep2"), F.col("s1").alias("t1"), F.col("s2").alias("t2")))
     leaders = buckets.groupBy(key).agg(draw().alias("l"), F.count("*").alias("n")).where("n > 1").select(*key, "n", "l.rep2", "l.t1", "l.t2")
     met = materialize(buckets.join(leaders, key), "met")
     tried = materialize(candidates(met), "pairs")
     links = confirmed(tried)
     left = met.where("n > 2").select("rep", "s1", "s2", *key, "n")
-    for r in range(rounds):
+    columns = ["rep", "s1", "s2", "rep2", "t1", "t2"]
+    for r in range(rounds + 1):
         root = components(links)
-        named = materialize(left.join(root.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep")), "named")
-        several = named.groupBy(key).agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select(key)
+        named = left.join(root.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+        named = materialize(named, "named")
+        sizes = named.groupBy(*key, "root").agg(F.count("*").alias("c")).groupBy(key).agg(F.max(F.struct("c", "root")).alias("main"), F.sum("c").alias("members"), F.count("*").alias("roots"))
+        several = sizes.where("roots > 1").select(*key, F.col("main.root").alias("main"), (F.col("members") - F.col("main.c")).alias("rest"))
         left = materialize(named.join(several, key), "open")
         if left.isEmpty():
             break
-        large = left.where(F.col("n") > crowd)
+        if r == rounds:
+            links = links.unionByName(compared(left))
+            break
+        # few members outside the bucket's largest component meet all other members; where they are many, heads first
+        done = (F.col("n") <= crowd) | (F.col("rest") <= crowd // 8)
+        whole, large = left.where(done), left.where(~done)
+        other = whole.select(*key, F.col("root").alias("root2"), F.col("rep").alias("rep2"), F.col("s1").alias("t1"), F.col("s2").alias("t2"), (F.col("root") == F.col("main")).alias("of_main"))
+        pairs = whole.where("root != main").join(other, key).where("root != root2 and (of_main or rep < rep2)").select(columns)
         drawn = large.groupBy(*key, "root").agg(F.array(*[draw("band", F.lit(r), F.lit(i)) for i in range(heads)]).alias("hs")).select(*key, F.col("root").alias("root2"), F.explode("hs").alias("h"))
         # too many components for all heads: the heads of one of them, drawn anew for each bucket
         ranked = drawn.groupBy(key).agg(F.count("*").alias("drawn"), F.min(F.struct(F.xxhash64("root2", "band", F.lit(r)).alias("h"), "root2")).alias("one"))
         some = drawn.join(ranked, key).where((F.col("drawn") <= crowd * heads) | (F.col("root2") == F.col("one.root2"))).select(*key, "root2", "h.rep2", "h.t1", "h.t2")
-        pairs = large.join(some, key).where("root != root2")
-        if not r:
-            small = left.where(F.col("n") <= crowd)
-            other = small.select(*key, F.col("root").alias("root2"), F.col("rep").alias("rep2"), F.col("s1").alias("t1"), F.col("s2").alias("t2"))
-            columns = ["rep", "s1", "s2", "rep2", "t1", "t2"]
-            pairs = pairs.select(columns).unionByName(small.join(other, key).where("rep < rep2 and root != root2").select(columns))
+        pairs = pairs.unionByName(large.join(some, key).where("root != root2").select(columns))
         pairs = materialize(candidates(pairs).join(tried, ["a", "b"], "left_anti"), "pairs")
         tried = tried.unionByName(pairs)
         links = links.unionByName(confirmed(pairs))
