@@ -27,9 +27,13 @@ class Rows:
     def string(self, expression: str) -> Column:
         return values.text(self.value(expression))
 
+    def condition(self, expression: str) -> Column:
+        """The expression as a filter or join condition, where null is as good as false."""
+        return columns.condition(expression, self.df, self.variables, self.functions)
+
     def where(self, expression: str) -> Rows:
         """Rows for which the expression's effective boolean value is true."""
-        return Rows(self.df.where(values.ebv(self.value(expression))), self.variables, self.functions)
+        return Rows(self.df.where(self.condition(expression)), self.variables, self.functions)
 
     def select(self, **expressions: str) -> DataFrame:
         return self.df.select(*[self.column(e).alias(n) for n, e in expressions.items()])

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..engine import Rows
-from ..plans.values import arr, ebv, one
+from ..plans.values import arr, one
 from .grouping import key_column
 
 
@@ -45,8 +46,9 @@ def nested(rows: Rows, inner: Rows, predicate: str, how: str = "inner") -> DataF
 
     Equalities in the predicate become join keys; other conditions filter inside the join.
     """
-    both = Rows(rows.df.limit(0).crossJoin(inner.df.limit(0)), rows.variables, rows.functions)
-    return rows.df.join(inner.df, ebv(both.value(predicate)), {"inner": "inner", "left": "left", "semi": "left_semi", "anti": "left_anti"}[how])
+    schema = StructType([*rows.df.schema.fields, *inner.df.schema.fields])
+    both = Rows(rows.df.sparkSession.createDataFrame([], schema), rows.variables, rows.functions)
+    return rows.df.join(inner.df, both.condition(predicate), {"inner": "inner", "left": "left", "semi": "left_semi", "anti": "left_anti"}[how])
 
 
 def band(rows: Rows, point: str, intervals: Rows, low: str, high: str, width: float) -> DataFrame:

@@ -64,6 +64,22 @@ class Compiler:
             raise Unsupported(type(e).__name__)
         return method(e, env)
 
+    def condition(self, e: X.Expr, env: Env) -> Column:
+        """The effective boolean value where null does as well as false: in a filter or join condition.
+
+        Comparisons stay bare, so that scans take them as pushed filters and joins see their keys.
+        """
+        if isinstance(e, X.Logic):
+            a, b = self.condition(e.left, env), self.condition(e.right, env)
+            return a & b if e.op == "and" else a | b
+        if isinstance(e, X.Compare) and e.kind != "node":
+            a, b = self.compile(e.left, env), self.compile(e.right, env)
+            if not a.many and not b.many and "empty" not in (a.t.kind, b.t.kind):
+                if e.kind == "value":
+                    a, b = (v.typed("string") if v.t.kind == "untyped" else v for v in (a, b))
+                return self.compared(e.op, one(a), a.t, one(b), b.t)
+        return ebv(self.compile(e, env))
+
     # primaries
 
     def _literal(self, e: X.Literal, env: Env) -> Val:
@@ -360,7 +376,8 @@ class Compiler:
             y, t = y.cast(spark_type(s)), s
         if s.numeric and t.numeric:
             kind = common(s, t)
-            x, y = x.cast(spark_type(kind)), y.cast(spark_type(kind))
+            if s != t:
+                x, y = x.cast(spark_type(kind)), y.cast(spark_type(kind))
             if kind.kind in ("float", "double"):  # Spark holds NaN equal to itself and above all
                 real = ~F.isnan(x) & ~F.isnan(y)
                 plain = {"=": x == y, "!=": x != y, "<": x < y, "<=": x <= y, ">": x > y, ">=": x >= y}[op]
@@ -378,7 +395,12 @@ class Compiler:
         v = self.compile(e.operand, env)
         if e.op in ("cast", "castable"):
             name = e.type.name.removeprefix("xs:")
-            made = cast(v, name, soft=e.op == "castable")
+            try:
+                made = cast(v, name, soft=e.op == "castable")
+            except EngineError:
+                if e.op == "cast":
+                    raise
+                return literal(False)
             if e.op == "cast":
                 return made
             present = F.lit(e.type.occurs == "?") if v.t.kind == "empty" else F.when(one(v).isNull(), F.lit(e.type.occurs == "?")).otherwise(one(made).isNotNull())
@@ -618,6 +640,11 @@ def row_item(df: DataFrame) -> Val:
     return Val(None, T("struct", (), tuple(fields)))
 
 
+def condition(expression: str, df: DataFrame, variables: dict[str, Val] | None = None, functions: dict | None = None) -> Column:
+    """The expression as a filter over the rows of df."""
+    return Compiler(functions).condition(X.parse(expression), Env(row_item(df), variables=variables or {}))
+
+
 def column(expression: str, df: DataFrame, variables: dict[str, Val] | None = None, functions: dict | None = None) -> Val:
     """The expression over the rows of df."""
     return Compiler(functions).compile(X.parse(expression), Env(row_item(df), variables=variables or {}))
