@@ -14,4 +14,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return catalog_operators.oracle_sql() | catalog_columns.oracle_sql()
+    return catalog_operators.oracle_sql() | catalog_columns.oracle_sql() | catalog_documents.oracle_sql()
