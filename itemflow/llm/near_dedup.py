@@ -6,10 +6,9 @@
 3. Members of a bucket meet a leader, never each other, so candidates are linear in the bucket.  Leaders are drawn
    by one order for all bands, so most bands give the same pairs.  The signatures must agree, then the sets decide.
 4. Components by alternating large-star and small-star.  In buckets that still hold several components, the members
-   outside the largest one meet all members of others, where they are few or the bucket is small.  Where they are
-   many, all members first meet ``heads`` newly drawn members of other components, ``rounds`` times, which is
-   linear in the bucket; what is left is compared inside a join that gives out links only, so no pair of a bucket
-   goes uncompared unless its documents are joined already.
+   outside the largest one meet all members of others: as pairs where they are few or the bucket is small, and
+   inside a join that gives out links only where they are many.  So no pair of a bucket goes uncompared unless its
+   documents are joined already.
 
 Two texts with similarity 0.85 share no band with probability (1 - 0.85**5)**25 < 1e-6, and their signatures fall
 below the floor with a probability of less than 1e-7.
@@ -142,20 +141,22 @@ def components(edges: DataFrame) -> DataFrame:
     Rounds end when all edges are stars: no node has two edges up, and no centre hangs on another.
     """
     now = materialize(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    if now.isEmpty():
+        return now.toDF("node", "root")
     while True:
-        ends = now.select(F.explode(F.array(F.struct(F.col("u").alias("x"), F.lit(1).alias("up")), F.struct(F.col("v").alias("x"), F.lit(0).alias("up")))).alias("e")).select("e.*")
-        if ends.groupBy("x").agg(F.sum("up").alias("up"), F.min("up").alias("low")).where("up > 1 or (up = 1 and low = 0)").isEmpty():
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         # small star: the neighbours below a node, and the node, go to the smallest of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         now = materialize(small, "edges")
+        ends = now.select(F.explode(F.array(F.struct(F.col("u").alias("x"), F.lit(1).alias("up")), F.struct(F.col("v").alias("x"), F.lit(0).alias("up")))).alias("e")).select("e.*")
+        if ends.groupBy("x").agg(F.sum("up").alias("up"), F.min("up").alias("low")).where("up > 1 or (up = 1 and low = 0)").isEmpty():
+            return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def near_links(docs: DataFrame, percent: int = 85, rounds: int = 1, crowd: int = 64, heads: int = 3) -> tuple[DataFrame, DataFrame]:
+def near_links(docs: DataFrame, percent: int = 85, crowd: int = 64) -> tuple[DataFrame, DataFrame]:
     """Classes of documents and confirmed links between class representatives.
 
     The first frame has a row for each row of ``docs``: doc_id, n_shingles, rep (null without shingles).  The
@@ -202,39 +203,25 @@ def near_links(docs: DataFrame, percent: int = 85, rounds: int = 1, crowd: int =
         on = (F.col("band") == F.col("band_")) & (F.col("key") == F.col("key_")) & (F.col("root") != F.col("ra")) & (F.col("of_main") | (F.col("a") < F.col("b"))) & alike
         return materialize(a.join(b, on).select("a", "b").distinct(), "links")
 
-    draw = lambda *seed: F.min(F.struct(F.xxhash64("rep", *seed).alias("h"), F.col("rep").alias("rep2"), F.col("s1").alias("t1"), F.col("s2").alias("t2")))
-    leaders = buckets.groupBy(key).agg(draw().alias("l"), F.count("*").alias("n")).where("n > 1").select(*key, "n", "l.rep2", "l.t1", "l.t2")
+    # one order for all bands
+    lead = F.min(F.struct(F.xxhash64("rep").alias("h"), F.col("rep").alias("rep2"), F.col("s1").alias("t1"), F.col("s2").alias("t2")))
+    leaders = buckets.groupBy(key).agg(lead.alias("l"), F.count("*").alias("n")).where("n > 1").select(*key, "n", "l.rep2", "l.t1", "l.t2")
     met = materialize(buckets.join(leaders, key), "met")
     tried = materialize(candidates(met), "pairs")
     links = confirmed(tried)
+    root = components(links)
     left = met.where("n > 2").select("rep", "s1", "s2", *key, "n")
-    columns = ["rep", "s1", "s2", "rep2", "t1", "t2"]
-    for r in range(rounds + 1):
-        root = components(links)
-        named = left.join(root.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-        named = materialize(named, "named")
-        sizes = named.groupBy(*key, "root").agg(F.count("*").alias("c")).groupBy(key).agg(F.max(F.struct("c", "root")).alias("main"), F.sum("c").alias("members"), F.count("*").alias("roots"))
-        several = sizes.where("roots > 1").select(*key, F.col("main.root").alias("main"), (F.col("members") - F.col("main.c")).alias("rest"))
-        left = materialize(named.join(several, key), "open")
-        if left.isEmpty():
-            break
-        if r == rounds:
-            links = links.unionByName(compared(left))
-            break
-        # few members outside the bucket's largest component meet all other members; where they are many, heads first
-        done = (F.col("n") <= crowd) | (F.col("rest") <= crowd // 8)
-        whole, large = left.where(done), left.where(~done)
-        other = whole.select(*key, F.col("root").alias("root2"), F.col("rep").alias("rep2"), F.col("s1").alias("t1"), F.col("s2").alias("t2"), (F.col("root") == F.col("main")).alias("of_main"))
-        pairs = whole.where("root != main").join(other, key).where("root != root2 and (of_main or rep < rep2)").select(columns)
-        drawn = large.groupBy(*key, "root").agg(F.array(*[draw("band", F.lit(r), F.lit(i)) for i in range(heads)]).alias("hs")).select(*key, F.col("root").alias("root2"), F.explode("hs").alias("h"))
-        # too many components for all heads: the heads of one of them, drawn anew for each bucket
-        ranked = drawn.groupBy(key).agg(F.count("*").alias("drawn"), F.min(F.struct(F.xxhash64("root2", "band", F.lit(r)).alias("h"), "root2")).alias("one"))
-        some = drawn.join(ranked, key).where((F.col("drawn") <= crowd * heads) | (F.col("root2") == F.col("one.root2"))).select(*key, "root2", "h.rep2", "h.t1", "h.t2")
-        pairs = pairs.unionByName(large.join(some, key).where("root != root2").select(columns))
-        pairs = materialize(candidates(pairs).join(tried, ["a", "b"], "left_anti"), "pairs")
-        tried = tried.unionByName(pairs)
-        links = links.unionByName(confirmed(pairs))
-        left = large.select("rep", "s1", "s2", *key, "n")
+    named = materialize(left.join(root.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep")), "named")
+    sizes = named.groupBy(*key, "root").agg(F.count("*").alias("c")).groupBy(key).agg(F.max(F.struct("c", "root")).alias("main"), F.sum("c").alias("members"), F.count("*").alias("roots"))
+    several = sizes.where("roots > 1").select(*key, F.col("main.root").alias("main"), (F.col("members") - F.col("main.c")).alias("rest"))
+    left = materialize(named.join(several, key), "open")
+    few = (F.col("n") <= crowd) | (F.col("rest") <= crowd // 8)
+    whole, large = left.where(few), left.where(~few)
+    other = whole.select(*key, F.col("root").alias("root2"), F.col("rep").alias("rep2"), F.col("s1").alias("t1"), F.col("s2").alias("t2"), (F.col("root") == F.col("main")).alias("of_main"))
+    pairs = candidates(whole.where("root != main").join(other, key).where("root != root2 and (of_main or rep < rep2)"))
+    links = links.unionByName(confirmed(materialize(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")))
+    if not large.isEmpty():
+        links = links.unionByName(compared(large))
     return classes, links
 
 
