@@ -19,7 +19,7 @@ _serial = itertools.count()
 class Node:
     """kind: document, element, attribute, text, comment, pi or namespace."""
 
-    __slots__ = ("kind", "uri", "local", "prefix", "value", "parent", "children", "attributes", "namespaces", "place", "tree", "base", "ids")
+    __slots__ = ("kind", "uri", "local", "prefix", "value", "parent", "children", "attributes", "namespaces", "place", "tree", "base", "ids", "dtd")
 
     def __init__(self, kind: str, local: str = "", uri: str = "", prefix: str = "", value: str = ""):
         self.kind, self.local, self.uri, self.prefix, self.value = kind, local, uri, prefix, value
@@ -31,6 +31,7 @@ class Node:
         self.tree = 0
         self.base = ""
         self.ids = None
+        self.dtd = None
 
     # structure
 
@@ -189,6 +190,17 @@ def parse_xml(text: str | bytes, base: str = "", fragment: bool = False, strip=N
     p.StartNamespaceDeclHandler, p.StartElementHandler, p.EndElementHandler, p.CharacterDataHandler = namespace, start, end, text_
     p.CommentHandler = lambda data: here.append(Node("comment", value=data))
     p.ProcessingInstructionHandler = lambda target, data: here.append(Node("pi", target, value=data))
+    dtd: dict = {"ids": set(), "refs": set(), "entities": {}}
+
+    def attribute_type(element, name, kind, default, required):
+        if kind in ("ID", "IDREF", "IDREFS"):
+            dtd["ids" if kind == "ID" else "refs"].add((element, name))
+
+    def unparsed(name, entity_base, system, public, notation):
+        dtd["entities"][name] = (system, public or "")
+
+    p.AttlistDeclHandler, p.UnparsedEntityDeclHandler = attribute_type, unparsed
+    p.StartDoctypeDeclHandler = lambda *a: setattr(doc, "dtd", dtd)
     try:
         if fragment:
             body = re.sub(r"^\s*<\?xml[^>]*\?>", "", text if isinstance(text, str) else text.decode())

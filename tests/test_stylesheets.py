@@ -178,3 +178,9 @@ def test_serialize_sequences():
 def test_internal_dtd():
     doc = parse_xml('<!DOCTYPE r [<!ENTITY e "val"><!ATTLIST r d CDATA "def">]><r>&e;</r>')
     assert doc.string() == "val" and doc.children[0].attribute("d") == "def"
+
+
+def test_dtd_types_and_entities():
+    source = '<!DOCTYPE r [<!NOTATION gif SYSTEM "gif"><!ENTITY pic SYSTEM "p.gif" NDATA gif><!ATTLIST e key ID #IMPLIED to IDREF #IMPLIED>]><r><e key="a"/><e to="a"/></r>'
+    out, _ = run(root("<xsl:value-of select=\"count(id('a')), count(idref('a')), unparsed-entity-uri('pic')\"/>"), source)
+    assert out == "1 1 p.gif"
