@@ -55,6 +55,25 @@ def shingle_sets(words: Words) -> tuple[np.ndarray, np.ndarray]:
     return distinct_per_doc(words.doc[use], grams[use], words.n_docs)
 
 
+def _minima(value: np.ndarray, begins: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Least hash of each set under each hash function; begins: where the sets begin, none of them empty."""
+    out = np.zeros((len(begins), len(a)), dtype=np.uint64)
+    if len(begins):
+        for j in range(len(a)):
+            x = value * a[j]
+            x += b[j]
+            x ^= x >> U(32)
+            out[:, j] = np.minimum.reduceat(x, begins)
+    return out
+
+
+def _band_keys(minima: np.ndarray) -> np.ndarray:
+    keys = np.zeros((len(minima), BANDS), dtype=np.uint64)
+    for r in range(ROWS):
+        keys = mix((keys + minima[:, r::ROWS]) * U(0x9E3779B97F4A7C15))
+    return keys
+
+
 SKETCH = "doc_id long, n_shingles long, set1 long, set2 long, s1 long, s2 long, bands array<long>"
 
 
@@ -65,19 +84,12 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         value, off = shingle_sets(words)
         size = np.diff(off)
         some = np.flatnonzero(size)
-        minima = np.zeros((len(some), BANDS * ROWS), dtype=np.uint64)
+        minima = _minima(value, off[some], a, b)
         s1, s2 = np.zeros(len(size), np.uint64), np.zeros(len(size), np.uint64)
         if len(some):
-            for j in range(BANDS * ROWS):
-                x = value * a[j]
-                x += b[j]
-                x ^= x >> U(32)
-                minima[:, j] = np.minimum.reduceat(x, off[some])
             s1[some] = np.add.reduceat(mix(value * U(3)), off[some])
             s2[some] = np.bitwise_xor.reduceat(mix(value * U(5) + U(1)), off[some])
-        keys = np.zeros((len(some), BANDS), dtype=np.uint64)
-        for r in range(ROWS):
-            keys = mix((keys + minima[:, r::ROWS]) * U(0x9E3779B97F4A7C15))
+        keys = _band_keys(minima)
         bits = np.zeros((len(size), 128), dtype=np.uint8)
         bits[some, : BANDS * ROWS] = mix(minima.copy()) & U(1)
         sign = np.packbits(bits, axis=1).view(np.int64).reshape(-1, 2)
@@ -94,21 +106,16 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents to their sets as arrays, with a signature of ``LONG`` bits."""
-    a, b = _coefficients(LONG)
+    """Documents with shingles to their sets as arrays, a signature of ``LONG`` bits and their band keys."""
+    long_, short = _coefficients(LONG), _coefficients(BANDS * ROWS)
     for batch in slices(batches):
         value, off = shingle_sets(Words(batch.column(1), lower=True))
         some = np.flatnonzero(np.diff(off))
-        bits = np.zeros((len(off) - 1, LONG), dtype=np.uint8)
-        for j in range(LONG):
-            x = value * a[j]
-            x += b[j]
-            x ^= x >> U(32)
-            if len(some):
-                bits[some, j] = mix(np.minimum.reduceat(x, off[some])) & U(1)
-        sign = np.packbits(bits, axis=1).view(np.int64).ravel()
-        signs = pa.ListArray.from_arrays(pa.array(np.arange(len(off)) * (LONG // 64), pa.int32()), long_array(sign))
-        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.ListArray.from_arrays(pa.array(off, pa.int32()), long_array(value)), signs], names=["rep", "x", "sign"])
+        sign = np.packbits((mix(_minima(value, off[some], *long_)) & U(1)).astype(np.uint8), axis=1).view(np.int64)
+        keys = _band_keys(_minima(value, off[some], *short))
+        lists = lambda m: pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1) * m.shape[1], pa.int32()), long_array(m.reshape(-1)))
+        sets = pa.ListArray.from_arrays(pa.array(np.append(off[some], off[-1]), pa.int32()), long_array(value))
+        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()).take(pa.array(some)), sets, lists(sign), lists(keys)], names=["rep", "x", "sign", "keys"])
 
 
 def _linked(percent: int):
@@ -193,13 +200,17 @@ def near_links(docs: DataFrame, percent: int = 85, crowd: int = 64) -> tuple[Dat
         """Links between the members of a bucket outside its largest component and all others, decided inside the join:
         signatures, then whole sets.  Only links leave it."""
         needed = open_.select(F.col("rep").alias("doc_id")).distinct()
-        sets = materialize(docs.join(needed.hint("merge"), "doc_id", "left_semi").mapInArrow(_arrays, "rep long, x array<long>, sign array<long>"), "sets")
+        sets = materialize(docs.join(needed.hint("merge"), "doc_id", "left_semi").mapInArrow(_arrays, "rep long, x array<long>, sign array<long>, keys array<long>"), "sets")
         every = materialize(open_.join(sets, "rep"), "open")
-        a = every.where("root != main").select(*[F.col(k).alias(f"{k}_") for k in key], F.col("rep").alias("a"), F.col("root").alias("ra"), F.col("sign").alias("sa"), F.col("x").alias("xa"))
-        b = every.select(*key, F.col("rep").alias("b"), "root", (F.col("root") == F.col("main")).alias("of_main"), "sign", "x")
-        off = sum((F.bit_count(F.get("sign", F.lit(i)).bitwiseXOR(F.get("sa", F.lit(i)))) for i in range(LONG // 64)), F.lit(0))
+        words = range(LONG // 64)
+        a = every.where("root != main").select(*[F.col(k).alias(f"{k}_") for k in key], F.col("rep").alias("a"), F.col("root").alias("ra"), F.col("keys").alias("ka"), F.col("x").alias("xa"), *[F.get("sign", F.lit(i)).alias(f"p{i}") for i in words])
+        b = every.select(*key, F.col("rep").alias("b"), "root", (F.col("root") == F.col("main")).alias("of_main"), "keys", "x", *[F.get("sign", F.lit(i)).alias(f"q{i}") for i in words])
+        off = sum((F.bit_count(F.col(f"p{i}").bitwiseXOR(F.col(f"q{i}"))) for i in words), F.lit(0))
         both = F.size(F.array_intersect("x", "xa"))
-        alike = (off <= allowed(LONG)) & (100 * both >= percent * (F.size("x") + F.size("xa") - both))
+        # a pair is compared in the first bucket it shares: those before were compared as well
+        first = F.array_position(F.zip_with("keys", "ka", lambda p, q: p == q), F.lit(True)) == F.col("band") + 1
+        # both stands once: Spark computes what stands twice ahead, for pairs that fail the tests before it as well
+        alike = (off <= allowed(LONG)) & first & ((100 + percent) * both >= percent * (F.size("x") + F.size("xa")))
         on = (F.col("band") == F.col("band_")) & (F.col("key") == F.col("key_")) & (F.col("root") != F.col("ra")) & (F.col("of_main") | (F.col("a") < F.col("b"))) & alike
         return materialize(a.join(b, on).select("a", "b").distinct(), "links")
 
