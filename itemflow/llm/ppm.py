@@ -31,7 +31,7 @@ from .common import Words, long_array, materialize, slices
 
 ORDER = 4
 MARK = 255  # never in UTF-8
-#: Contexts kept of each order from 1 on.
+#: Contexts kept of each order from 1 on, at most.
 CONTEXTS = (256, 8_000, 30_000, 70_000)
 HEAD = 1 << 17
 _HOLD = 3_000_000
@@ -192,18 +192,34 @@ class Model:
         return np.add.reduceat(logp, begins) / np.log(10) if len(begins) else np.zeros(0)
 
 
+def most_frequent(df: DataFrame, count: str, limit: int) -> DataFrame:
+    """At most ``limit`` rows, those with the highest counts.
+
+    A histogram of the counts' logarithms (a few hundred rows) gives the least count to keep, so no task has to
+    rank the candidates of all others.  Rows that tie at the limit all stay or all go.
+    """
+    step = F.floor(F.log2(F.col(count)) * 16).cast("int")
+    held, least = 0, None
+    for b, n in sorted(((r.b, r.n) for r in df.groupBy(step.alias("b")).agg(F.count("*").alias("n")).collect()), reverse=True):
+        if held + n > limit:
+            break
+        held, least = held + n, b
+    return df.where(step >= least) if least is not None else df.limit(0)
+
+
 def _levels(counted: DataFrame, contexts: tuple[int, ...]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(context, symbol, count) of the contexts to keep, for each order."""
     levels = []
     of = counted.where("kind = 1").select("key", "n")
     for k in range(len(contexts), -1, -1):
         mask = (1 << (8 * (k + 1))) - 1
-        of = of.groupBy(F.col("key").bitwiseAND(F.lit(mask)).alias("key")).agg(F.sum("n").alias("n"))
+        if k < len(contexts):  # the longest are counted already
+            of = of.groupBy(F.col("key").bitwiseAND(F.lit(mask)).alias("key")).agg(F.sum("n").alias("n"))
         if k == len(contexts) - 1:
             of = materialize(of, "grams")
         split = of.select(F.shiftright("key", 8).alias("context"), F.col("key").bitwiseAND(F.lit(255)).alias("symbol"), "n")
         if k:
-            most = split.groupBy("context").agg(F.sum("n").alias("all")).orderBy(F.desc("all"), "context").limit(contexts[k - 1]).select("context")
+            most = most_frequent(split.groupBy("context").agg(F.sum("n").alias("all")), "all", contexts[k - 1]).select("context")
             split = split.join(F.broadcast(most), "context")  # as many rows as contexts are kept, a fixed number
         rows = split.select("context", "symbol", "n").toArrow()
         levels.append(tuple(rows.column(i).to_numpy().astype(np.int64) for i in range(3)))
@@ -227,7 +243,7 @@ def ppm_score(docs: DataFrame, training: Column, contexts: tuple[int, ...] = CON
     words, total = vocabulary.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     n_all, distinct = total + rows, words + (rows > 0)
     norm = float(np.log10(n_all + 0.1 * (distinct + 1)))
-    top = vocabulary.orderBy(F.desc("n"), "key").limit(head).toArrow()
+    top = most_frequent(vocabulary, "n", head).toArrow()
     keys, freq = top.column(0).to_numpy().astype(np.int64).view(np.uint64), top.column(1).to_numpy().astype(np.int64)
     order = np.argsort(keys)
     model = spark.sparkContext.broadcast((Model(_levels(counted, contexts)), keys[order], np.log10(freq[order] + 0.1) - norm))
