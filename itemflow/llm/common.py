@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 U = np.uint64
 #: Bytes of text that are hashed at once; working arrays are some 60 times as large.
@@ -65,6 +66,15 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sampled(df: DataFrame, columns: list[str], most: int, total: int | None = None) -> DataFrame:
+    """At most ``most`` rows, those with the least hashes of ``columns``; some 10 % more than that are ranked, not all."""
+    total = df.count() if total is None else total
+    h = F.xxhash64(*columns)
+    if total > most:
+        df = df.where(F.pmod(h, F.lit(1 << 30)) < int(min(1.0, (1.1 * most + 50) / total) * (1 << 30)))
+    return df.orderBy(F.pmod(h, F.lit(1 << 30)), *columns).limit(most)
+
+
 def unused(tag: str) -> str:
     """A column name that no table has."""
     return f"{tag}_{uuid.uuid4().hex}"

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, sampled
 
 PIVOTS = 32
 SAMPLE = 4_096
@@ -197,7 +197,7 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 10, scale: int = 1024, p
     result = None
     for dim, top, n in sorted(tuple(r) for r in whole.groupBy("dim").agg(F.max("norm"), F.count("*")).collect()):
         mine = whole.where(F.col("dim") == dim)
-        taken = mine.select("vec_id", "q").orderBy(F.xxhash64("vec_id", "q")).limit(sample).toArrow()
+        taken = sampled(mine.select("vec_id", "q"), ["vec_id", "q"], sample, n).toArrow()
         index = Index.fit(taken["vec_id"].to_numpy(), matrix(taken["q"], dim), top, pivots, annuli)
         keyed = materialize(mine.select("vec_id", "q").mapInArrow(_keyed(index), "vec_id long, q binary, annulus int, r double"), "index")
         # a row for each annulus: pivots times annuli at most

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, distinct_per_doc, long_array, materialize, slices, where_text
+from .common import Words, distinct_per_doc, long_array, materialize, sampled, slices, where_text
 
 SAMPLE = 20_000
 TERMS = 4_096
@@ -147,7 +147,8 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None, samp
     """
     known = labels.where("doc_id is not null and toxic in (0, 1)")
     known = known.where(usable) if usable is not None else known
-    chosen = known.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(sample).dropDuplicates(["doc_id"])
+    known = known.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("label"))
+    chosen = sampled(known, ["doc_id", "label"], sample).dropDuplicates(["doc_id"])
     # at most ``sample`` rows of 12 bytes: small enough to send to every task
     chosen = materialize(chosen, "sample")
     labelled = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")
