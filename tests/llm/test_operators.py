@@ -246,6 +246,19 @@ def test_ppm(spark, rows):
     assert len(got) == len(rows)
 
 
+@pytest.mark.parametrize("contexts", [(30_000, 7), (5, 7), (0, 0)])
+def test_ppm_contexts_not_at_hand(spark, rows, contexts):
+    """How many contexts go to the tasks doesn't change a score: all that were counted take part."""
+    texts = {d: t for d, t in rows if d is not None and t and len(t) < 2000 and d not in (50, 60)}
+    few = [*sorted(texts.items())[:25], (9001, "héllo 漢字 zq"), (9002, None), (9003, "abab " * 9), (9003, "abab " * 9)]
+    train = [(t or "").encode().translate(LOW) for d, t in few if zlib.crc32(str(d).encode()) % 10]
+    got = ppm.ppm_score(frame(spark, few, True), ppm.in_training(), contexts=contexts).collect()
+    assert len(got) == len(few)
+    texts = dict(few)
+    for r in got:
+        assert r.score == pytest.approx(reference_ppm(train, (texts[r.doc_id] or "").encode().translate(LOW), ppm.ORDER), rel=1e-5)
+
+
 def test_ppm_without_training(spark):
     got = ppm.ppm_score(frame(spark, [(1, "ab"), (2, None)]), F.lit(False)).collect()
     assert {round(r.score, 6) for r in got} == {round(3 * math.log10(1 / 256), 6), round(math.log10(1 / 256), 6)}
