@@ -1,7 +1,7 @@
 """MinHash near-dedup: universal hash minima, banding, verification, components by alternating stars.
 
 1. Each text gives its set of 5-word shingles (64-bit hashes), 125 minima under universal hash functions, 25 bands
-   of five minima, and a bit of each minimum as signature (two longs).
+   of five minima, and a bit of each minimum as signature (two longs).  Below 85 % bands are shorter (``banding``).
 2. Equal sets are one class; its smallest document represents it, so exact copies cost one row each.
 3. Members of a bucket meet a leader, never each other, so candidates are linear in the bucket.  Leaders are drawn
    by one order for all bands, so most bands give the same pairs.  The signatures must agree, then the sets decide.
@@ -18,7 +18,8 @@ doc_id are one document each; component ids are doc_ids.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -67,34 +68,49 @@ def _minima(value: np.ndarray, begins: np.ndarray, a: np.ndarray, b: np.ndarray)
     return out
 
 
-def _band_keys(minima: np.ndarray) -> np.ndarray:
-    keys = np.zeros((len(minima), BANDS), dtype=np.uint64)
-    for r in range(ROWS):
-        keys = mix((keys + minima[:, r::ROWS]) * U(0x9E3779B97F4A7C15))
+def banding(percent: int) -> tuple[int, int]:
+    """Bands, and minima of each: a pair at ``percent`` shares no band with probability below 1e-6."""
+    rows = ROWS
+    while True:
+        bands = math.ceil(math.log(1e-6) / math.log1p(-((min(percent, 99) / 100) ** rows)))
+        if bands <= 30 or rows == 1:
+            return max(BANDS, bands), rows
+        rows -= 1
+
+
+def _band_keys(minima: np.ndarray, rows: int) -> np.ndarray:
+    keys = np.zeros((len(minima), minima.shape[1] // rows), dtype=np.uint64)
+    for r in range(rows):
+        keys = mix((keys + minima[:, r::rows]) * U(0x9E3779B97F4A7C15))
     return keys
 
 
 SKETCH = "doc_id long, n_shingles long, set1 long, set2 long, s1 long, s2 long, bands array<long>"
 
 
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    a, b = _coefficients(BANDS * ROWS)
-    for batch in slices(batches):
-        words = Words(batch.column(1), lower=True)
-        value, off = shingle_sets(words)
-        size = np.diff(off)
-        some = np.flatnonzero(size)
-        minima = _minima(value, off[some], a, b)
-        s1, s2 = np.zeros(len(size), np.uint64), np.zeros(len(size), np.uint64)
-        if len(some):
-            s1[some] = np.add.reduceat(mix(value * U(3)), off[some])
-            s2[some] = np.bitwise_xor.reduceat(mix(value * U(5) + U(1)), off[some])
-        keys = _band_keys(minima)
-        bits = np.zeros((len(size), 128), dtype=np.uint8)
-        bits[some, : BANDS * ROWS] = mix(minima.copy()) & U(1)
-        sign = np.packbits(bits, axis=1).view(np.int64).reshape(-1, 2)
-        bands = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size > 0)]) * BANDS, pa.int32()), long_array(keys.reshape(-1)))
-        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), long_array(size), long_array(s1), long_array(s2), pa.array(sign[:, 0].copy()), pa.array(sign[:, 1].copy()), bands], names=["doc_id", "n_shingles", "set1", "set2", "s1", "s2", "bands"])
+def _sketch(bands: int, rows: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    used = min(128, bands * rows)  # bits of the signature
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a, b = _coefficients(bands * rows)
+        for batch in slices(batches):
+            words = Words(batch.column(1), lower=True)
+            value, off = shingle_sets(words)
+            size = np.diff(off)
+            some = np.flatnonzero(size)
+            minima = _minima(value, off[some], a, b)
+            s1, s2 = np.zeros(len(size), np.uint64), np.zeros(len(size), np.uint64)
+            if len(some):
+                s1[some] = np.add.reduceat(mix(value * U(3)), off[some])
+                s2[some] = np.bitwise_xor.reduceat(mix(value * U(5) + U(1)), off[some])
+            keys = _band_keys(minima, rows)
+            bits = np.zeros((len(size), 128), dtype=np.uint8)
+            bits[some, :used] = mix(minima[:, :used].copy()) & U(1)
+            sign = np.packbits(bits, axis=1).view(np.int64).reshape(-1, 2)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size > 0)]) * bands, pa.int32()), long_array(keys.reshape(-1)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), long_array(size), long_array(s1), long_array(s2), pa.array(sign[:, 0].copy()), pa.array(sign[:, 1].copy()), lists], names=["doc_id", "n_shingles", "set1", "set2", "s1", "s2", "bands"])
+
+    return run
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,17 +121,20 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([raw[6 * x : 6 * y] for x, y in zip(off[:-1], off[1:], strict=True)], pa.binary())], names=["doc_id", "shingles"])
 
 
-def _arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents with shingles to their sets as arrays, a signature of ``LONG`` bits and their band keys."""
-    long_, short = _coefficients(LONG), _coefficients(BANDS * ROWS)
-    for batch in slices(batches):
-        value, off = shingle_sets(Words(batch.column(1), lower=True))
-        some = np.flatnonzero(np.diff(off))
-        sign = np.packbits((mix(_minima(value, off[some], *long_)) & U(1)).astype(np.uint8), axis=1).view(np.int64)
-        keys = _band_keys(_minima(value, off[some], *short))
-        lists = lambda m: pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1) * m.shape[1], pa.int32()), long_array(m.reshape(-1)))
-        sets = pa.ListArray.from_arrays(pa.array(np.append(off[some], off[-1]), pa.int32()), long_array(value))
-        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()).take(pa.array(some)), sets, lists(sign), lists(keys)], names=["rep", "x", "sign", "keys"])
+def _arrays(bands: int, rows: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Documents with shingles to their sets as arrays, a signature of ``LONG`` bits and their band keys."""
+        long_, short = _coefficients(LONG), _coefficients(bands * rows)
+        for batch in slices(batches):
+            value, off = shingle_sets(Words(batch.column(1), lower=True))
+            some = np.flatnonzero(np.diff(off))
+            sign = np.packbits((mix(_minima(value, off[some], *long_)) & U(1)).astype(np.uint8), axis=1).view(np.int64)
+            keys = _band_keys(_minima(value, off[some], *short), rows)
+            lists = lambda m: pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1) * m.shape[1], pa.int32()), long_array(m.reshape(-1)))
+            sets = pa.ListArray.from_arrays(pa.array(np.append(off[some], off[-1]), pa.int32()), long_array(value))
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()).take(pa.array(some)), sets, lists(sign), lists(keys)], names=["rep", "x", "sign", "keys"])
+
+    return run
 
 
 def _linked(percent: int):
@@ -170,8 +189,9 @@ def near_links(docs: DataFrame, percent: int = 85, crowd: int = 64) -> tuple[Dat
     second has (a, b).  Links that are not needed to connect their component may be missing.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    bands, rows = banding(percent)
     same, key = ["n_shingles", "set1", "set2"], ["band", "key"]
-    sketch = materialize(docs.mapInArrow(_sketch, SKETCH), "sketch")
+    sketch = materialize(docs.mapInArrow(_sketch(bands, rows), SKETCH), "sketch")
     reps = materialize(sketch.where("n_shingles > 0").groupBy(same).agg(F.min("doc_id").alias("rep")), "reps")
     classes = sketch.select("doc_id", *same).join(reps, same, "left").select("doc_id", "n_shingles", "rep")
     own = sketch.join(reps.withColumnRenamed("rep", "doc_id"), ["doc_id", *same], "left_semi").dropDuplicates(["doc_id", *same])
@@ -186,7 +206,7 @@ def near_links(docs: DataFrame, percent: int = 85, crowd: int = 64) -> tuple[Dat
     def candidates(met: DataFrame) -> DataFrame:
         """Pairs of (rep, s1, s2) and (rep2, t1, t2) whose signatures agree."""
         off = F.bit_count(F.col("s1").bitwiseXOR(F.col("t1"))) + F.bit_count(F.col("s2").bitwiseXOR(F.col("t2")))
-        return met.where((F.col("rep") != F.col("rep2")) & (off <= allowed(BANDS * ROWS))).select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).distinct()
+        return met.where((F.col("rep") != F.col("rep2")) & (off <= allowed(min(128, bands * rows)))).select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).distinct()
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) whose sets are alike enough."""
@@ -200,7 +220,7 @@ def near_links(docs: DataFrame, percent: int = 85, crowd: int = 64) -> tuple[Dat
         """Links between the members of a bucket outside its largest component and all others, decided inside the join:
         signatures, then whole sets.  Only links leave it."""
         needed = open_.select(F.col("rep").alias("doc_id")).distinct()
-        sets = materialize(docs.join(needed.hint("merge"), "doc_id", "left_semi").mapInArrow(_arrays, "rep long, x array<long>, sign array<long>, keys array<long>"), "sets")
+        sets = materialize(docs.join(needed.hint("merge"), "doc_id", "left_semi").mapInArrow(_arrays(bands, rows), "rep long, x array<long>, sign array<long>, keys array<long>"), "sets")
         every = materialize(open_.join(sets, "rep"), "open")
         words = range(LONG // 64)
         a = every.where("root != main").select(*[F.col(k).alias(f"{k}_") for k in key], F.col("rep").alias("a"), F.col("root").alias("ra"), F.col("keys").alias("ka"), F.col("x").alias("xa"), *[F.get("sign", F.lit(i)).alias(f"p{i}") for i in words])

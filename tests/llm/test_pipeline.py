@@ -32,3 +32,12 @@ def test_stages(spark, data):
 
 def test_query_names():
     assert sorted(int(k[2:].split("_")[0]) for k in queries.queries()) == list(range(1, 11))
+
+
+def test_near_copies_at_80_percent(spark):
+    """Pairs with 86 of 106 shingles in common (0.81) are near copies to the pipeline; 84 of 108 (0.78) are not."""
+    text = lambda i, n: " ".join([f"w{i}x{j}" for j in range(100 - n)] + [f"v{i}x{j}" for j in range(n)])
+    rows = [(2 * i + k, text(i, k * n)) for i in range(60) for k in (0, 1) for n in [10 if i < 40 else 12]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    ids = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()}
+    assert ids == {d for d, _ in rows if d % 2 == 0 or d > 80}
