@@ -3,16 +3,18 @@
 Base: emails, IP addresses, card numbers and phone numbers by their written form, with validity checks.  They
 are the seeds of the method, and always stay in the result.
 
-Bootstrapping: every mention, of a seed or of any other token that has a digit or an ``@``, is tied to lexical
-patterns: the words before and after it, with its shape.  Patterns and instances (the mention's text) form a
+Bootstrapping: every mention, of a seed or of any other token that has a digit or an ``@`` (neighbouring tokens of
+digits are one mention), is tied to lexical patterns: the words before and after it, once with its shape and once
+with any; each has a confidence of its own.  Patterns and instances (the mention's text) form a
 bipartite graph that Spark scores in rounds: a pattern's confidence in a kind is the smoothed mean confidence
 of its distinct instances, an instance's is one minus the chance that all of its patterns err.  Patterns above
 ``pattern_floor`` that at least ``support`` distinct seeds share pass their kind on to instances unseen so far;
-those above ``instance_floor`` become members, which support further patterns in the next round.  All
-mentions of a member that don't overlap a base span are added.
+those above ``instance_floor`` become members, which support further patterns in the next round.  Mentions of a
+member that don't overlap a base span are added: all of them if it has an ``@`` or five digits, and those in a
+pattern above the floor if it has less (a ``7`` isn't private wherever it stands).
 
 Nothing but table rows moves: the graph is grouped by pattern and by instance, sums are partial before each
-shuffle, and a mention is some 60 bytes; texts are read once.  Null text is empty.  Rows that share a doc_id
+shuffle, and a mention is some 60 bytes (patterns are told apart by 64 bits of hash, instances by 128); texts are read once.  Null text is empty.  Rows that share a doc_id
 are told apart by a hash of their text.
 """
 
@@ -39,6 +41,9 @@ _DIGIT = re.compile(r"[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
 _MARK = re.compile(r"[0-9@]+")
 _BREAK = re.compile(r"[\x20\x09-\x0D]")
+_LETTER = re.compile(r"[^\W\d_]")
+#: Between two tokens of one number.
+_GAP = re.compile(r"\)?[\x20\t]+(?:[-/][\x20\t]+)?\(?")
 _EDGE = " \t\n\v\f\r.,;:!?()[]{}<>\"'|"
 
 
@@ -89,25 +94,51 @@ def shape(token: str) -> str:
 
 
 def _words_near(text: str, start: int, end: int) -> tuple[list[str], list[str]]:
-    before = text[max(0, start - 80) : start].lower().split()[-2:]
+    before = text[max(0, start - 80) : start].rstrip("([{<\"'|").lower().split()[-2:]
     after = text[end : end + 80].lower().split()[:1]
     return before, after
 
 
-def patterns(text: str, start: int, end: int) -> list[str]:
-    """Contexts of a mention: two words before, the word before with the one after; each with the mention's shape."""
+def patterns(text: str, start: int, end: int) -> list[int]:
+    """Contexts of a mention: two words before, the word before with the one after; each with the mention's shape and without."""
     before, after = _words_near(text, start, end)
-    s = shape(text[start:end])
     out = []
-    if len(before) == 2:
-        out.append(f"{before[0]} {before[1]} <{s}>")
-    if before and after:
-        out.append(f"{before[-1]} <{s}> {after[0]}")
-    return out
+    for s in (shape(text[start:end]), ""):
+        if len(before) == 2:
+            out.append(f"{before[0]} {before[1]} <{s}>")
+        if before and after:
+            out.append(f"{before[-1]} <{s}> {after[0]}")
+    return [int.from_bytes(_digest(x, 8), "big", signed=True) for x in out]
+
+
+def _digest(text: str, size: int) -> bytes:
+    return hashlib.blake2b(text.encode(), digest_size=size).digest()
+
+
+def wide(text: str) -> bool:
+    """Whether a mention's text says enough to be the same identifier wherever it stands."""
+    return "@" in text or sum(c.isdigit() for c in text) >= 5
 
 
 def other_mentions(text: str, base: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
-    """Tokens with at least five digits, or with an ``@``, outside the base spans."""
+    """Tokens with a digit or an ``@`` outside the base spans; tokens of digits without letters that only blanks,
+    brackets or a lone dash part are one mention."""
+    run: tuple[int, int] | None = None
+    for start, end in _tokens(text, base):
+        number = not _LETTER.search(text, start, end) and "@" not in text[start:end]
+        if run and number and _GAP.fullmatch(text, run[1], start):
+            run = run[0], end
+            continue
+        if run:
+            yield run
+        run = (start, end) if number else None
+        if not number:
+            yield start, end
+    if run:
+        yield run
+
+
+def _tokens(text: str, base: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
     last, i, taken = 0, 0, sorted((a, b) for a, _, b in base)
     for m in _MARK.finditer(text):
         if m.start() < last:
@@ -123,19 +154,17 @@ def other_mentions(text: str, base: list[tuple[int, int, int]]) -> Iterator[tupl
             end -= 1
         while i < len(taken) and taken[i][1] <= start:
             i += 1
-        if i < len(taken) and taken[i][0] < end or end - start > 64:
+        if i < len(taken) and taken[i][0] < end:
             continue
-        token = text[start:end]
-        if "@" in token or sum(c.isdigit() for c in token) >= 5:
-            yield start, end
+        yield start, end
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
 
-FOUND = "doc_id long, tkey long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string, mentions array<struct<kind:int,start:int,stop:int,instance:string,patterns:array<string>>>"
-_TYPE = pa.schema([("doc_id", pa.int64()), ("tkey", pa.int64()), *((f"n_{k}", pa.int64()) for k in KINDS), ("base_sha256", pa.string()), ("base", pa.string()), ("mentions", pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("stop", pa.int32()), ("instance", pa.string()), ("patterns", pa.list_(pa.string()))])))])
+FOUND = "doc_id long, tkey long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string, mentions array<struct<kind:int,start:int,stop:int,instance:binary,wide:boolean,patterns:array<long>>>"
+_TYPE = pa.schema([("doc_id", pa.int64()), ("tkey", pa.int64()), *((f"n_{k}", pa.int64()) for k in KINDS), ("base_sha256", pa.string()), ("base", pa.string()), ("mentions", pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("stop", pa.int32()), ("instance", pa.binary()), ("wide", pa.bool_()), ("patterns", pa.list_(pa.int64()))])))])
 
 
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,7 +174,7 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             text = text or ""
             base = base_spans(text)
             mentions = [(k, a, b) for a, k, b in base] + [(-1, a, b) for a, b in other_mentions(text, base)]
-            told = [{"kind": k, "start": a, "stop": b, "instance": text[a:b].lower(), "patterns": patterns(text, a, b)} for k, a, b in mentions]
+            told = [{"kind": k, "start": a, "stop": b, "instance": _digest(text[a:b].lower(), 16), "wide": wide(text[a:b]), "patterns": patterns(text, a, b)} for k, a, b in mentions]
             n = [sum(k == i for _, k, _ in base) for i in range(4)]
             line = joined(base)
             out.append((doc, key, *n, hashlib.sha256(line.encode()).hexdigest(), line, told))
@@ -164,29 +193,32 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns[: batch.num_columns - 2], pa.array(lines, pa.string())], names=[*batch.schema.names[:-2], "spans"])
 
 
-def members(mentions: DataFrame, rounds: int, support: int, pattern_floor: float, instance_floor: float) -> DataFrame:
-    """(instance, kind) that the rounds add to the seeds; mentions: (kind, instance, patterns), kind -1 if none."""
+def members(mentions: DataFrame, rounds: int, support: int, pattern_floor: float, instance_floor: float) -> tuple[DataFrame, DataFrame]:
+    """(instance, kind) that the rounds add to the seeds, and (pattern, kind) of the last round; mentions: (kind, instance, patterns), kind -1 if none."""
     links = materialize(mentions.select("kind", "instance", F.explode("patterns").alias("pattern")).groupBy("pattern", "instance").agg(F.max("kind").alias("kind")), "links")
     confident = links.where("kind >= 0").select("instance", "kind").distinct().withColumn("c", F.lit(1.0))
-    found = None
+    found = strong = None
     for _ in range(rounds):
         # mean confidence over all distinct instances of a pattern, known or not; two imaginary ones don't count
         known = links.select("pattern", "instance").join(confident, "instance").groupBy("pattern", "kind").agg(F.sum("c").alias("c"), F.count("*").alias("n"))
         of = links.groupBy("pattern").agg(F.count("*").alias("all"))
-        strong = known.where(F.col("n") >= support).join(of, "pattern").withColumn("p", F.col("c") / (F.col("all") + 1)).where(F.col("p") >= pattern_floor).select("pattern", F.col("kind").alias("as"), "p")
+        strong = materialize(known.where(F.col("n") >= support).join(of, "pattern").withColumn("p", F.col("c") / (F.col("all") + 1)).where(F.col("p") >= pattern_floor).select("pattern", F.col("kind").alias("as"), "p"), "strong")
         unseen = links.where("kind < 0").join(strong, "pattern").groupBy("instance", "as").agg((1 - F.exp(F.sum(F.log(1.0001 - F.col("p"))))).alias("c"))
         best = unseen.groupBy("instance").agg(F.max(F.struct("c", -F.col("as"))).alias("b")).select("instance", (-F.col("b.col2")).alias("kind"), F.col("b.c").alias("c")).where(F.col("c") >= instance_floor)
         found = materialize(best, "members")
         confident = links.where("kind >= 0").select("instance", "kind").distinct().withColumn("c", F.lit(1.0)).unionByName(found)
-    return found.select("instance", "kind")
+    return found.select("instance", "kind"), strong.select("pattern", F.col("as").alias("kind"))
 
 
 def _added(keyed: DataFrame, rounds: int, support: int, pattern_floor: float, instance_floor: float) -> tuple[DataFrame, DataFrame]:
     """What ``_find`` gives, and (doc_id, tkey, added) of the documents that gain spans."""
     found = materialize(keyed.mapInArrow(_find, FOUND), "found")
     mentions = found.select("doc_id", "tkey", F.explode("mentions").alias("m")).select("doc_id", "tkey", "m.*")
-    more = members(mentions, rounds, support, pattern_floor, instance_floor)
-    added = mentions.where("kind < 0").select("doc_id", "tkey", "start", "stop", "instance").join(more, "instance").groupBy("doc_id", "tkey").agg(F.collect_set(F.struct("kind", "start", "stop")).alias("added"))
+    more, strong = members(mentions, rounds, support, pattern_floor, instance_floor)
+    others, at = mentions.where("kind < 0").drop("kind"), ["doc_id", "tkey", "start", "stop", "kind"]
+    by_text = others.where("wide").join(more, "instance").select(at)
+    by_place = others.where("not wide").select("*", F.explode("patterns").alias("pattern")).join(strong, "pattern").join(more, ["instance", "kind"]).select(at)
+    added = by_text.unionByName(by_place).groupBy("doc_id", "tkey").agg(F.collect_set(F.struct("kind", "start", "stop")).alias("added"))
     return found, added
 
 

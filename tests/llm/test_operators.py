@@ -135,6 +135,22 @@ def test_pii_bootstrapping(spark):
     assert pii.redact(frame(spark, rows, True)).columns == frame(spark, rows, True).columns
 
 
+def test_pii_bootstrapping_other_forms(spark):
+    """A context learned from phones of one form finds those of others, of several tokens, with few digits or long."""
+    rows = [(i, f"please ring my desk on +1 (017) 555-{1000 + i} before noon") for i in range(40)]
+    forms = {100: "(017) 555-7713", 101: "555 7", 102: "017 / 555-7713", 103: "x77", 104: "5-" * 40 + "5"}
+    rows += [(d, f"please ring my desk on {x} before noon, room 555 7 or x77") for d, x in forms.items()]
+    rows += [(200 + i, f"the part code {i} 55 shipped on 55{i} (today)") for i in range(40)]
+    got = {r.doc_id: r.spans for r in pii.find_pii(frame(spark, rows)).collect()}
+    texts = dict(rows)
+    for d, x in forms.items():
+        x = x.lstrip("(")
+        assert got[d] == f"phone:{texts[d].index(x)}:{texts[d].index(x) + len(x)}"
+    assert all(not got[200 + i] for i in range(40))
+    clean = {r.doc_id: r.text for r in pii.redact(frame(spark, rows, True)).collect()}
+    assert clean[101] == "please ring my desk on [PHONE] before noon, room 555 7 or x77"
+
+
 # 3
 
 
