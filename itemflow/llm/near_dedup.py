@@ -78,6 +78,16 @@ def banding(percent: int) -> tuple[int, int]:
         rows -= 1
 
 
+def allowed(bits: int, percent: int) -> int:
+    """Signature bits that alike sets may differ in: a pair at ``percent`` exceeds them with probability of at most 1e-7."""
+    p = (1 - percent / 100) / 2
+    over, k = 1.0, -1
+    while over > 1e-7 and k < bits:
+        k += 1
+        over = math.fsum(math.comb(bits, i) * p**i * (1 - p) ** (bits - i) for i in range(k + 1, bits + 1))
+    return k
+
+
 def _band_keys(minima: np.ndarray, rows: int) -> np.ndarray:
     keys = np.zeros((len(minima), minima.shape[1] // rows), dtype=np.uint64)
     for r in range(rows):
@@ -196,17 +206,11 @@ def near_links(docs: DataFrame, percent: int = 85, crowd: int = 64) -> tuple[Dat
     classes = sketch.select("doc_id", *same).join(reps, same, "left").select("doc_id", "n_shingles", "rep")
     own = sketch.join(reps.withColumnRenamed("rep", "doc_id"), ["doc_id", *same], "left_semi").dropDuplicates(["doc_id", *same])
     buckets = materialize(own.select(F.col("doc_id").alias("rep"), "s1", "s2", F.posexplode("bands").alias("band", "key")), "bands")
-    likely = percent / 100
-
-    def allowed(bits: int) -> int:
-        """Signature bits that alike sets may differ in."""
-        spread = 2 * ((1 + likely) / 2 * (1 - likely) / 2 / bits) ** 0.5
-        return int((1 - (likely - 5.3 * spread)) / 2 * bits)
 
     def candidates(met: DataFrame) -> DataFrame:
         """Pairs of (rep, s1, s2) and (rep2, t1, t2) whose signatures agree."""
         off = F.bit_count(F.col("s1").bitwiseXOR(F.col("t1"))) + F.bit_count(F.col("s2").bitwiseXOR(F.col("t2")))
-        return met.where((F.col("rep") != F.col("rep2")) & (off <= allowed(min(128, bands * rows)))).select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).distinct()
+        return met.where((F.col("rep") != F.col("rep2")) & (off <= allowed(min(128, bands * rows), percent))).select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).distinct()
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) whose sets are alike enough."""
@@ -230,7 +234,7 @@ def near_links(docs: DataFrame, percent: int = 85, crowd: int = 64) -> tuple[Dat
         # a pair is compared in the first bucket it shares: those before were compared as well
         first = F.array_position(F.zip_with("keys", "ka", lambda p, q: p == q), F.lit(True)) == F.col("band") + 1
         # both stands once: Spark computes what stands twice ahead, for pairs that fail the tests before it as well
-        alike = (off <= allowed(LONG)) & first & ((100 + percent) * both >= percent * (F.size("x") + F.size("xa")))
+        alike = (off <= allowed(LONG, percent)) & first & ((100 + percent) * both >= percent * (F.size("x") + F.size("xa")))
         on = (F.col("band") == F.col("band_")) & (F.col("key") == F.col("key_")) & (F.col("root") != F.col("ra")) & (F.col("of_main") | (F.col("a") < F.col("b"))) & alike
         return materialize(a.join(b, on).select("a", "b").distinct(), "links")
 

@@ -350,6 +350,12 @@ def test_near_dedup(spark, rows):
     assert near_dedup.near_dedup(frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize(("bits", "percent"), [(125, 85), (512, 85), (108, 80), (512, 80)])
+def test_signature_allowance(bits, percent):
+    p, most = (100 - percent) / 200, near_dedup.allowed(bits, percent)
+    assert sum(math.comb(bits, i) * p**i * (1 - p) ** (bits - i) for i in range(most + 1, bits + 1)) <= 1e-7
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(300)] + [(1000 + i, 1001 + i) for i in range(60)] + [(2000, 2001 + i) for i in range(50)]
