@@ -309,6 +309,79 @@ def test_html_frame(spark):
     assert html_extract.main_text(nested) == "deep"
 
 
+def test_html_names_and_references():
+    para = ("Some long paragraph of the story that goes on, with words. " * 12)[:599]
+    for name in ("legal", "related-work", "popular-science", "social-policy", "search-engines", "notice-of-award"):
+        page = f"<body><div class=menu><a href=x>Home</a></div><div>{f'<p>{para}</p>' * 4}<div class='{name}'><p>{para}</p></div></div><div><a href=1>one thing</a><a href=2>another</a></div></body>"
+        assert len(html_extract.main_text(page)) == 2999
+    for name in ("cookie-notice", "sidebar left", "ad-300x250", "siteHeader", "comments-area", "main-nav"):
+        page = f"<body><div class='{name}'>{para}</div><div><p>{para}</p><p>Short.</p></div></body>"
+        assert html_extract.main_text(page) == f"{para}\nShort."
+    assert html_extract.main_text("<p>x &am<b>p;</b></p>") == "x &amp;"
+    story = f"<article><h1>T</h1><p>{para}</p><section><p>Short.</p></section></article>"
+    assert html_extract.main_text(f"<body><article><p>Teaser</p><a href=x>more of it here</a></article>{story}") == f"T\n{para}\nShort."
+    assert html_extract.main_text(f"<p title='a>b' x=it's>{para}</p><a") == para
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<header>", "</x>", "<u><div>", "<b>x", "<!--", '<a "', "<table><tr><td><p>", "<li>", "&am", "<a b='", "<p><b>"])
+def test_html_hostile_pages(piece):
+    """Work grows with the page's length, not its square."""
+    import time
+
+    def took(n):
+        began = time.process_time()
+        html_extract.main_text(piece * (n // len(piece)))
+        return time.process_time() - began
+
+    assert min(took(400_000), took(400_000)) < 6 * took(100_000) + 1
+
+
+def test_html_densities():
+    """Densities and sums of random pages against their definition, computed from the tree top down."""
+    rng = random.Random(12)
+
+    def tree(depth):
+        kids = [tree(depth - 1) for _ in range(rng.randrange(4))] if depth else []
+        return (rng.choice(["div", "span", "a", "section"]) if depth else "p", [" ".join(words(rng, rng.randrange(1, 9)))] + kids)
+
+    def page(t):
+        return f"<{t[0]}>" + "".join(x if isinstance(x, str) else page(x) for x in t[1]) + f"</{t[0]}>"
+
+    def every(t):
+        yield t
+        for x in t[1]:
+            if not isinstance(x, str):
+                yield from every(x)
+
+    def chars(t):
+        return sum(len(x.strip()) for n in every(t) for x in n[1] if isinstance(x, str))
+
+    def links(t):
+        """Characters and tags in links below t; a link counts itself."""
+        if t[0] == "a":
+            return chars(t), len(list(every(t)))
+        below = [links(x) for x in t[1] if not isinstance(x, str)]
+        return sum(b[0] for b in below), sum(b[1] for b in below)
+
+    def density(t, body):
+        c, tags, (lc, lt) = chars(t), len(list(every(t))) - 1, links(t)
+        if not c:
+            return 0.0
+        base = math.log(c / max(1, c - lc) * lc + links(body)[0] / max(1, chars(body)) * c + math.e) + 1
+        return c / max(1, tags) * math.log(max(1, c / max(1, lc) * max(1, tags) / max(1, lt))) / math.log(base)
+
+    for _ in range(40):
+        body = ("html", [tree(3) for _ in range(3)])
+        _, nodes = html_extract.parse("".join(page(x) for x in body[1]))
+        nodes = html_extract.take_away(nodes)
+        html_extract.measure(nodes)
+        flat = list(every(body))
+        assert [n.tag for n in nodes] == [t[0] for t in flat]
+        for n, t in zip(nodes, flat, strict=True):
+            assert n.density == pytest.approx(density(t, body))
+            assert n.total == pytest.approx(sum(density(k, body) for k in t[1] if not isinstance(k, str)))
+
+
 # 7
 
 
