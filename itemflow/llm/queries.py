@@ -50,7 +50,7 @@ def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"))
+    return pack(table(spark, sf_dir, "documents"), fill=True)
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -472,6 +472,124 @@ def test_packing(spark, rows):
     assert packing.pack(frame(spark, [])).count() == 0
 
 
+def pieces_of(rows):
+    bins, docs = collections.defaultdict(list), collections.defaultdict(list)
+    for r in rows:
+        bins[r.sequence_id].append((r.offset, r.length))
+        docs[r.doc_id, r.doc_tokens].append((r.start, r.length))
+    for pieces in bins.values():
+        at = 0
+        for offset, length in sorted(pieces):
+            assert offset == at and length > 0
+            at += length
+    sizes = [sum(n for _, n in p) for p in bins.values()]
+    assert max(sizes) <= 1024
+    return bins, docs, sum(1024 - n for n in sizes if n & (n - 1)) / sum(sizes)
+
+
+def test_packing_filled(spark, rows):
+    """Each id lies in exactly one piece, sequences have next to no padding, ids are those of the tokenizer."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    rng = random.Random(4)
+    many = [(10_000 + i, " ".join(words(rng, rng.randrange(220, 300)))) for i in range(400)] + [(None, "some text without an id")] * 300 + [(7, "alike")] * 300
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rows = [*rows, *many]
+    got = packing.pack(frame(spark, rows, True), fill=True).collect()
+    _, docs, padding = pieces_of(got)
+    assert padding < 0.01
+    want = {}
+    for d, t in rows:
+        ids = np.array([*tok.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
+        want.setdefault((d, len(ids)), []).append(ids)
+    assert sum(n for p in docs.values() for _, n in p) == sum(len(x) for v in want.values() for x in v)
+    for key, copies in want.items():
+        if len({x.tobytes() for x in copies}) == 1:
+            covered = collections.Counter(i for a, n in docs[key] for i in range(a, a + n))
+            assert covered == {i: len(copies) for i in range(key[1])}
+    for r in got:
+        assert r.ids_crc32 in {zlib.crc32(x[r.start : r.start + r.length].tobytes()) for x in want[r.doc_id, r.doc_tokens]}
+
+
+def test_packing_groups(spark, monkeypatch):
+    """Groups end at a number of items and go on; a task that runs again gives the same rows."""
+    docs = spark.createDataFrame([(None, f"row {i % 7}") for i in range(3000)], "doc_id long, text string").coalesce(2)
+    first, again = (sorted(map(tuple, packing.pack(docs, fill=True).collect()), key=repr) for _ in range(2))
+    assert first == again
+    monkeypatch.setattr(packing, "GROUP", 50)
+    monkeypatch.setattr(packing, "TaskContext", type("T", (), {"get": staticmethod(lambda: type("C", (), {"partitionId": staticmethod(lambda: 3)}))}))
+    task = packing._Task((64, 20, 64), True)
+    for i in range(500):
+        task.add(i, np.arange(1 + i % 90, dtype="<u4"), None)
+    task.pack()
+    assert {r[5] >> 40 for r in task.rows} == {3} and sum(r[2] for r in task.rows) == sum(1 + i % 90 for i in range(500))
+    assert max(collections.Counter(r[5] for r in task.rows).values()) <= 20
+
+
+def brute_dot(sizes, limits):
+    """The heuristic step by step: of all items that fit, the one with the largest product; ties by size."""
+    left, bins, cap = [tuple(s) for s in sizes.tolist()], [], np.array(limits, float)
+    while left:
+        room, mine = cap.copy(), []
+        while True:
+            fits = [s for s in left if (np.array(s) <= room).all()]
+            if not fits:
+                break
+            top = max(round(float(np.array(s) / cap @ (room / cap)), 9) for s in fits)
+            s = min(s for s in fits if round(float(np.array(s) / cap @ (room / cap)), 9) == top)
+            left.remove(s)
+            mine.append(s)
+            room = room - s
+        bins.append(mine or [left.pop(0)])
+    return sorted(sorted(b) for b in bins)
+
+
+def test_pack_group_heuristic():
+    """Against the heuristic written out, with limits on segments and loss-bearing tokens that bind."""
+    rng = np.random.default_rng(3)
+    for limits in ((1024, 4, 400), (300, 100, 90), (64, 2, 64)):
+        sizes = np.stack([rng.integers(1, 60, 90), np.ones(90, np.int64), rng.integers(0, 40, 90)], axis=1)
+        bins, _ = packing.pack_group(sizes, limits)
+        assert sorted(sorted(map(tuple, sizes[bins == b].tolist())) for b in range(bins.max() + 1)) == brute_dot(sizes, limits)
+
+
+def test_packing_conversations(spark, data):
+    """Instruction data: only the assistant's share of a conversation bears loss; all three limits hold."""
+    told = spark.read.parquet(f"{data}/conversations.parquet").where("text is not null")
+    chars = F.length("text")
+    share = F.coalesce(F.sum(F.when(F.col("role") == "assistant", chars)), F.lit(0)) / F.greatest(F.sum(chars), F.lit(1))
+    examples = told.groupBy(F.col("conv_id").cast("long").alias("doc_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))), lambda t: F.concat(t["role"], F.lit(": "), t["text"])), "\n").alias("text"), share.alias("loss"))
+    shares = {r.doc_id: r.loss for r in examples.collect()}
+    got = packing.pack(examples, segments=3, loss_tokens=400, loss="loss").collect()
+    bins = collections.defaultdict(list)
+    for r in got:
+        bins[r.sequence_id].append((r.length, round(r.length * shares[r.doc_id])))
+    for b in bins.values():
+        assert len(b) == 1 or sum(n for n, _ in b) <= 1024 and len(b) <= 3 and sum(x for _, x in b) <= 400
+    assert any(len(b) == 3 for b in bins.values())
+
+
+def test_tokens_match_tokenizers(spark, data):
+    """tiktoken's ids are those of the tokenizers library, on whole documents and on odd strings."""
+    import public_tokenizers
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tok, encode = Tokenizer.from_file(path), packing.encoder(path)
+    for r in spark.read.parquet(f"{data}/documents.parquet").collect():
+        assert encode(r.text or "") == tok.encode(r.text or "", add_special_tokens=False).ids
+
+    @settings(max_examples=300, deadline=None, database=None)
+    @given(st.text(max_size=60))
+    def odd(text):
+        assert encode(text) == tok.encode(text, add_special_tokens=False).ids
+
+    odd()
+
+
 def test_pack_group_limits():
     rng = np.random.default_rng(1)
     sizes = np.stack([rng.integers(1, 500, 600), np.ones(600, np.int64), rng.integers(0, 300, 600)], axis=1)
