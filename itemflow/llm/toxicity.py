@@ -7,9 +7,15 @@ term lets two terms count together that are harmless alone.  It is fitted on a s
 ``SAMPLE`` rows at most (the bound is a parameter; the rows with the least hashes of their ids), so what
 reaches the driver has a fixed bound; scoring is one pass over the documents.
 
-Known terms: at most ``TERMS``, those whose frequency differs most between the two labels, in standard errors.
-Null and empty texts have no terms and score the base rate.  Rows without a label or with a null id are not
-used to fit; with no labels at all every text scores the prior 0.5.
+Known terms: those whose frequency differs between the two labels (by ``LEAST_Z`` standard errors, in three texts at
+least; the ``TERMS`` that differ most), and words that are harmless alone: of the ``WORDS`` most frequent words, those in
+a pair whose texts are labelled otherwise than either word's and than both words' together would say (by ``PAIR_Z``
+standard errors).  Fitted on all hashed terms instead, the machine takes chance pairs for rules (README has figures).
+
+Null and empty texts have no terms and score the base rate.  Rows without a label or with a null id, and ids labelled
+both ways, are not used to fit; with no labels at all every text scores the prior 0.5.  Rows that share an id each
+count with its label; equal rows score alike.  Very long texts are scored whole, one at a time.  No label, id, lang or
+source enters a score; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,6 +33,9 @@ from .common import Words, distinct_per_doc, long_array, materialize, sampled, s
 
 SAMPLE = 20_000
 TERMS = 4_096
+LEAST_Z = 4.0
+WORDS = 2_048
+PAIR_Z = 6.0
 FACTORS = 8
 #: Bytes of the word beginnings that are terms too.
 STEMS = (4, 5, 6)
@@ -117,42 +126,70 @@ def fit(known: np.ndarray, at_doc: np.ndarray, at: np.ndarray, label: np.ndarray
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text, label) to the number of texts of either label that have a term."""
+    """(text, label) to the number of texts of either label that have a term, and whether it is a whole word."""
     for batch in slices(batches):
         doc, h, n = terms(batch.column(0))
+        whole = np.unique(h[: Words(batch.column(0), lower=True, letters=True).counts.sum()])
         label = batch.column(1).to_numpy(zero_copy_only=False)
         order = np.argsort(doc, kind="stable")
         h, off = distinct_per_doc(doc[order], h[order], n)
         values, inverse = np.unique(h, return_inverse=True)
         toxic = np.bincount(inverse, weights=np.repeat(label, np.diff(off)), minlength=len(values)).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([long_array(values), pa.array(toxic), pa.array(np.bincount(inverse, minlength=len(values)) - toxic)], names=["term", "toxic", "other"])
+        yield pa.RecordBatch.from_arrays([long_array(values), pa.array(toxic), pa.array(np.bincount(inverse, minlength=len(values)) - toxic), pa.array(np.isin(values, whole))], names=["term", "toxic", "other", "word"])
 
 
-def choose_terms(labelled: DataFrame, most: int = TERMS, least_z: float = 4.0) -> np.ndarray:
-    """Hashes of the terms whose frequencies in toxic and other texts differ most; labelled: (text, label)."""
+def choose_terms(labelled: DataFrame, most: int = TERMS, least_z: float = LEAST_Z, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of the terms whose frequencies in toxic and other texts differ most, and of the most frequent words;
+    labelled: (text, label).  ``most`` and ``words`` rows at most reach the driver."""
     n = {r.label: r["count"] for r in labelled.groupBy("label").count().collect()}
     if len(n) < 2:
-        return np.zeros(0, np.uint64)
-    counted = labelled.select("text", "label").mapInArrow(_frequencies, "term long, toxic long, other long").groupBy("term").agg(F.sum("toxic").alias("p"), F.sum("other").alias("q"))
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    counted = labelled.select("text", "label").mapInArrow(_frequencies, "term long, toxic long, other long, word boolean").groupBy("term").agg(F.sum("toxic").alias("p"), F.sum("other").alias("q"), F.max("word").alias("word"))
+    counted = materialize(counted.where("p + q >= 3"), "terms")
     share = (F.col("p") + F.col("q") + 0.5) / (n[0] + n[1] + 1)
     z = F.abs(F.col("p") / n[1] - F.col("q") / n[0]) / F.sqrt(share * (1 - share) * (1 / n[1] + 1 / n[0]))
-    best = counted.where("p + q >= 3").select("term", z.alias("z")).where(F.col("z") >= least_z).orderBy(F.desc("z"), "term").limit(most).collect()
-    return np.sort(np.array([r.term for r in best], dtype=np.int64).view(np.uint64))
+    best = counted.select("term", z.alias("z")).where(F.col("z") >= least_z).orderBy(F.desc("z"), "term").limit(most)
+    frequent = counted.where("word").orderBy(F.desc(F.col("p") + F.col("q")), "term").limit(words)
+    return tuple(np.sort(np.array([r.term for r in some.collect()], dtype=np.int64).view(np.uint64)) for some in (best, frequent))
+
+
+def telling_pairs(n_terms: int, at_doc: np.ndarray, at: np.ndarray, label: np.ndarray, least: float = PAIR_Z, block: int = 1024) -> np.ndarray:
+    """Places of the terms in a pair whose texts are labelled otherwise than the terms' own shares of toxic texts, and
+    the two shares together, say.  at_doc ascends."""
+    both, toxic = np.zeros((n_terms, n_terms), np.float32), np.zeros((n_terms, n_terms), np.float32)
+    off = np.searchsorted(at_doc, np.arange(len(label) + 1))
+    for a in range(0, len(label), block):
+        b = min(len(label), a + block)
+        x = np.zeros((b - a, n_terms), np.float32)
+        x[at_doc[off[a] : off[b]] - a, at[off[a] : off[b]]] = 1
+        both += x.T @ x
+        bad = x[label[a:b] == 1]
+        toxic += bad.T @ bad
+    alone = (np.diag(toxic) + 0.5) / (np.diag(both) + 1)
+    logit = lambda p: np.log(p / (1 - p))
+    prior = (label.sum() + 0.5) / (len(label) + 1)
+    together = 1 / (1 + np.exp(-(logit(alone)[:, None] + logit(alone)[None] - logit(prior))))
+    z = np.full(both.shape, np.inf, np.float32)
+    for p in (together, np.broadcast_to(alone, both.shape), np.broadcast_to(alone[:, None], both.shape)):
+        z = np.minimum(z, np.abs(toxic - both * p) / np.sqrt(np.maximum(both * p * (1 - p), 1e-9)))
+    np.fill_diagonal(z, 0)
+    return np.flatnonzero(((z >= least) & (both >= 10)).any(axis=1))
 
 
 def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None, sample: int = SAMPLE) -> FactorizationMachine:
     """Fit on the labelled documents; usable: which rows of labels (doc_id, toxic) may be seen.
 
-    The driver gets the chosen terms, ``TERMS`` at most, and which of them each of the sample's texts has.
+    The driver gets the chosen terms, ``TERMS`` and ``WORDS`` at most, and which of them each of the sample's texts has.
     """
     known = labels.where("doc_id is not null and toxic in (0, 1)")
     known = known.where(usable) if usable is not None else known
-    known = known.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("label"))
-    chosen = sampled(known, ["doc_id", "label"], sample).dropDuplicates(["doc_id"])
+    label = F.col("toxic").cast("int")
+    known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(label).alias("label"), F.max(label).alias("most")).where("label = most")
     # at most ``sample`` rows of 12 bytes: small enough to send to every task
-    chosen = materialize(chosen, "sample")
-    labelled = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")
-    hashes = choose_terms(labelled)
+    chosen = materialize(sampled(known.select("doc_id", "label"), ["doc_id"], sample), "sample")
+    labelled = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label"), "labelled")
+    single, words = choose_terms(labelled)
+    hashes = np.union1d(single, words)
     blank = FactorizationMachine(hashes, 0.0, np.zeros(len(hashes)), np.zeros((len(hashes), FACTORS)))
 
     def known_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,8 +202,20 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None, samp
     if not rows.num_rows:
         return blank
     label = rows["label"].to_numpy()
-    lengths = pc.list_value_length(rows["terms"]).to_numpy()
-    return fit(hashes, np.repeat(np.arange(len(label)), lengths), pc.list_flatten(rows["terms"]).to_numpy().astype(np.int64), label)
+    doc, at = np.repeat(np.arange(len(label)), pc.list_value_length(rows["terms"]).to_numpy()), pc.list_flatten(rows["terms"]).to_numpy()
+    del rows
+
+    def only(some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Features that are among the sorted hashes ``some``, by their place there."""
+        place = np.full(len(hashes), -1, np.int32)
+        place[np.searchsorted(hashes, some)] = np.arange(len(some))
+        hit = place[at] >= 0
+        return doc[hit], place[at[hit]]
+
+    paired = words[telling_pairs(len(words), *only(words), label)] if len(words) else words
+    used = np.union1d(single, paired)
+    doc, at = only(used)
+    return fit(used, doc, at.astype(np.int64), label)
 
 
 def score(docs: DataFrame, model: FactorizationMachine, threshold: float = THRESHOLD) -> DataFrame:

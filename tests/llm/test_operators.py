@@ -187,6 +187,43 @@ def test_toxicity(spark):
     assert {None, 5000, 5001} <= {r.doc_id for r in kept.collect()} and kept.columns == frame(spark, [], True).columns
 
 
+@pytest.mark.parametrize("rule", [lambda a, b: a and b, lambda a, b: a != b])
+def test_toxicity_of_pairs(spark, rule):
+    """A pair of words each harmless alone; labels that contradict each other aren't used."""
+    rng = random.Random(21)
+    rows, labels = [], []
+    for i in range(1500):
+        w, a, b = words(rng, 30), rng.random() < 0.5, rng.random() < 0.5
+        w[4:4] = ["vile"] * a
+        w[9:9] = ["blorks"] * b
+        rows.append((i, " ".join(w)))
+        labels.append((i, int(rule(a, b))))
+    rows += [(3000 + i, "vile " + rows[i][1]) for i in range(200)] + [rows[0]] * 5
+    both = [(3000 + i, y) for i in range(200) for y in (0, 1)]
+    got = toxicity.toxicity(frame(spark, rows, True), spark.createDataFrame(labels + both, "doc_id long, toxic int")).collect()
+    truth = dict(labels)
+    held = [r for r in got if r.held_out and r.doc_id in truth]
+    assert len(got) == len(rows) and np.mean([r.predicted == truth[r.doc_id] for r in held]) > 0.95
+    assert len({r.score for r in got if r.doc_id == 0}) == 1
+
+
+def test_telling_pairs():
+    """Against the counts written out."""
+    rng = np.random.default_rng(3)
+    x = rng.random((600, 12)) < 0.4
+    label = (x[:, 2] & x[:, 7] | (rng.random(600) < 0.05)).astype(int)
+    doc, at = np.nonzero(x)
+    got = toxicity.telling_pairs(12, doc, at, label, least=6.0, block=100).tolist()
+    prior, logit, want = (label.sum() + 0.5) / 601, lambda p: math.log(p / (1 - p)), set()
+    share = [(label[x[:, i]].sum() + 0.5) / (x[:, i].sum() + 1) for i in range(12)]
+    for i, j in itertools.combinations(range(12), 2):
+        both = x[:, i] & x[:, j]
+        expected = [share[i], share[j], 1 / (1 + math.exp(-(logit(share[i]) + logit(share[j]) - logit(prior))))]
+        if min(abs(label[both].sum() - both.sum() * p) / math.sqrt(both.sum() * p * (1 - p)) for p in expected) >= 6:
+            want |= {i, j}
+    assert got == sorted(want) and {2, 7} <= want
+
+
 # 4
 
 
