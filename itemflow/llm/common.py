@@ -36,8 +36,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share (``spark.checkpoint.dir``); one of our own only where it is unset."""
+    """The folder that all executors share (``spark.checkpoint.dir``).
+
+    Where it is unset, one of our own, but only in a local session: on a cluster that would lose data, so it is an error.
+    """
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir isn't set: a folder that all executors share is needed")
     return (root or "/tmp/checkpoints").rstrip("/")
 
 
@@ -45,24 +50,30 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def _clean() -> None:
-    for spark, path in _written:
+    while _written:
+        spark, path = _written.pop()
         try:
             jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
             p = jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(conf).delete(p, True)
         except Exception:  # the session may be gone; the folder is scratch space
-            return
+            continue
 
 
 atexit.register(_clean)
 
 
+def written(spark: SparkSession, path: str) -> str:
+    """The path, which goes when the process ends."""
+    _written.append((spark, path))
+    return path
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to a new table in the shared folder and read it: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    path = written(spark, f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}")
     df.write.parquet(path)
-    _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -241,6 +241,29 @@ def test_sharding(spark, rows, tmp_path):
     assert max(sizes) - min(sizes) < 0.001 * sum(sizes)
 
 
+def test_sharding_versions_and_repeats(spark, tmp_path):
+    """Versions stand side by side, are read back with their edits, and aren't written twice; rows alike fill no slot."""
+    path = str(tmp_path / "map")
+    docs = frame(spark, [(i, "x" * (i % 50)) for i in range(3000)] + [(9, "again and again")] * 5000 + [(None, None)] * 3000)
+    first = sharding.shard(docs, 8, slots=512, save_to=path)
+    got = first.collect()
+    assert len(got) == 11_000 and max(collections.Counter(r.virtual_slot for r in got).values()) < 1500
+    for k in range(8):
+        assert sorted(r.slot for r in got if r.shard == k) == list(range(sum(r.shard == k for r in got)))
+    size = collections.Counter()
+    for r in got:
+        size[r.shard] += r["size"]
+    assert max(size.values()) - min(size.values()) < 0.05 * sum(size.values()) / 8
+    again = sharding.SlotMap.load(spark, path)
+    grown = sharding.shard(docs, 9, slots=512, current=again, save_to=path).collect()
+    third = sharding.SlotMap.load(spark, path)
+    assert (again.version, third.version, len(third.edits), third.edits[0]) == (2, 3, 2, again.edits[0])
+    assert {r.virtual_slot: r.shard for r in grown}.items() <= third.home.items() and {r.map_version for r in grown} == {3}
+    assert all(third.home[s] == third.edits[1].get(s, k) for s, k in again.home.items())
+    with pytest.raises(Exception, match="(?i)exist"):
+        third.save(spark, path)
+
+
 def test_slot_map_edits():
     m = sharding.SlotMap.even(4, 64)
     weight = {s: 10 + s % 3 for s in range(64)}
