@@ -14,14 +14,18 @@ member that don't overlap a base span are added: all of them if it has an ``@``
 pattern above the floor if it has less (a ``7`` isn't private wherever it stands).
 
 Nothing but table rows moves: the graph is grouped by pattern and by instance, sums are partial before each
-shuffle, and a mention is some 60 bytes (patterns are told apart by 64 bits of hash, instances by 128); texts are read once.  Null text is empty.  Rows that share a doc_id
-are told apart by a hash of their text.
+shuffle, and a mention is some 60 bytes (patterns are told apart by 64 bits of hash, instances by 128); texts are read
+once.  Words and mentions count whole, however long; a word that touches a mention ends where the mention before it does.
+
+Null text is empty.  Rows that share a doc_id, or have none, are told apart by a hash of their text and equal rows get
+equal spans.  Other columns are ignored; ``redact`` keeps them.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -41,6 +45,7 @@ _DIGIT = re.compile(r"[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
 _MARK = re.compile(r"[0-9@]+")
 _BREAK = re.compile(r"[\x20\x09-\x0D]")
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _LETTER = re.compile(r"[^\W\d_]")
 #: Between two tokens of one number.
 _GAP = re.compile(r"\)?[\x20\t]+(?:[-/][\x20\t]+)?\(?")
@@ -90,25 +95,47 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def shape(token: str) -> str:
     """Runs of letters as a, of digits as 9, other characters as they are."""
-    return re.sub(r"9+", "9", re.sub(r"[^\W\d_]+", "a", re.sub(r"[0-9]", "9", token)))[:16]
-
-
-def _words_near(text: str, start: int, end: int) -> tuple[list[str], list[str]]:
-    before = text[max(0, start - 80) : start].rstrip("([{<\"'|").lower().split()[-2:]
-    after = text[end : end + 80].lower().split()[:1]
-    return before, after
-
-
-def patterns(text: str, start: int, end: int) -> list[int]:
-    """Contexts of a mention: two words before, the word before with the one after; each with the mention's shape and without."""
-    before, after = _words_near(text, start, end)
-    out = []
-    for s in (shape(text[start:end]), ""):
-        if len(before) == 2:
-            out.append(f"{before[0]} {before[1]} <{s}>")
-        if before and after:
-            out.append(f"{before[-1]} <{s}> {after[0]}")
-    return [int.from_bytes(_digest(x, 8), "big", signed=True) for x in out]
+    return re.sub(r"9+", "9", re.sub(r"[^\W\d_]+", "a", re.sub(r"[0-9]", "9", token)))
+
+
+class Contexts:
+    """Lexical patterns of a text's mentions; each word of the text is read once, whatever its length."""
+
+    def __init__(self, text: str, mentions: list[tuple[int, int]]):
+        self.text = text
+        self.words = [m.span() for m in _WORD.finditer(text)]
+        self.starts = [a for a, _ in self.words]
+        self.ends = [0, *sorted(b for _, b in mentions)]
+        self.begins = [*sorted(a for a, _ in mentions), len(text)]
+        self._known: dict[int, bytes] = {}
+
+    def word(self, i: int) -> bytes:
+        if i not in self._known:
+            a, b = self.words[i]
+            self._known[i] = _digest(self.text[a:b].lower(), 8)
+        return self._known[i]
+
+    def near(self, start: int, end: int) -> tuple[list[bytes], bytes]:
+        """Up to two words before a mention, and the one after or nothing."""
+        i, j = bisect_right(self.starts, start) - 1, bisect_right(self.starts, end - 1) - 1
+        free = self.ends[bisect_right(self.ends, start) - 1]
+        touching = self.text[max(self.words[i][0], free) : start].rstrip("([{<\"'|")
+        before = [self.word(k) for k in (i - 2, i - 1) if k >= 0]
+        if touching:
+            before = [*before[-1:], _digest(touching.lower(), 8)]
+        rest = self.text[end : min(self.words[j][1], self.begins[bisect_right(self.begins, end - 1)])]
+        return before, _digest(rest.lower(), 8) if rest else self.word(j + 1) if j + 1 < len(self.words) else b""
+
+    def patterns(self, start: int, end: int) -> list[int]:
+        """Contexts of a mention: two words before, the word before with the one after; each with the mention's shape and without."""
+        before, after = self.near(start, end)
+        out = []
+        for s in (shape(self.text[start:end]).encode(), b""):
+            if len(before) == 2:
+                out.append(b"2" + before[0] + before[1] + s)
+            if before and after:
+                out.append(b"1" + before[-1] + after + s)
+        return [int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "big", signed=True) for x in out]
 
 
 def _digest(text: str, size: int) -> bytes:
@@ -174,7 +201,8 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             text = text or ""
             base = base_spans(text)
             mentions = [(k, a, b) for a, k, b in base] + [(-1, a, b) for a, b in other_mentions(text, base)]
-            told = [{"kind": k, "start": a, "stop": b, "instance": _digest(text[a:b].lower(), 16), "wide": wide(text[a:b]), "patterns": patterns(text, a, b)} for k, a, b in mentions]
+            near = Contexts(text, [(a, b) for _, a, b in mentions]) if mentions else None
+            told = [{"kind": k, "start": a, "stop": b, "instance": _digest(text[a:b].lower(), 16), "wide": wide(text[a:b]), "patterns": near.patterns(a, b)} for k, a, b in mentions]
             n = [sum(k == i for _, k, _ in base) for i in range(4)]
             line = joined(base)
             out.append((doc, key, *n, hashlib.sha256(line.encode()).hexdigest(), line, told))
@@ -230,7 +258,9 @@ def find_pii(docs: DataFrame, rounds: int = 2, support: int = 5, pattern_floor:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256 and spans of each row of ``docs``."""
     found, added = _added(_keyed(docs), rounds, support, pattern_floor, instance_floor)
     counts = [f"n_{k}" for k in KINDS]
-    rows = found.select("doc_id", "tkey", *counts, "base_sha256", "base").join(added, ["doc_id", "tkey"], "left").select("doc_id", *counts, "base_sha256", "base", "added")
+    doc, key, more = unused("doc"), unused("key"), unused("added")
+    added = added.toDF(doc, key, more)
+    rows = found.select("doc_id", "tkey", *counts, "base_sha256", "base").join(added, F.col("doc_id").eqNullSafe(F.col(doc)) & (F.col("tkey") == F.col(key)), "left").select("doc_id", *counts, "base_sha256", "base", more)
     return rows.mapInArrow(_merge, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
 
 
@@ -243,7 +273,7 @@ def redact(docs: DataFrame, rounds: int = 2, support: int = 5, pattern_floor: fl
     names = docs.columns
     doc, key, more = unused("doc"), unused("key"), unused("added")
     added = added.toDF(doc, key, more)
-    rows = docs.join(added, (docs["doc_id"] == added[doc]) & (F.xxhash64(docs["text"]) == added[key]), "left").select(*[docs[n] for n in names], more)
+    rows = docs.join(added, docs["doc_id"].cast("long").eqNullSafe(added[doc]) & (F.xxhash64(docs["text"]) == added[key]), "left").select(*[docs[n] for n in names], more)
 
     def clean(text: str | None, more: list[dict] | None) -> str | None:
         if not text:

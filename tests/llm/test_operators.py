@@ -151,6 +151,65 @@ def test_pii_bootstrapping_other_forms(spark):
     assert clean[101] == "please ring my desk on [PHONE] before noon, room 555 7 or x77"
 
 
+def test_pii_without_ids_and_long(spark):
+    """Rows without a doc_id gain spans as others do; neighbours and mentions of any length count whole."""
+    rows = [(i, f"call my desk on +1 (017) 555-{1000 + i} before noon") for i in range(30)]
+    long_word = "z" * 300
+    rows += [(None, "call my desk on x77 before noon"), (None, "call my desk on x77 before noon"), (None, "nothing 5 here"), (50, "call my desk on " + "7" * 400 + " before noon")]
+    rows += [(100 + i, f"{long_word}a {long_word} +1 (017) 555-{2000 + i} {long_word}b") for i in range(30)] + [(200, f"{long_word}a {long_word} x78 {long_word}b"), (201, f"{long_word}c {long_word}d x78 {long_word}e")]
+    got = collections.defaultdict(list)
+    for r in pii.find_pii(frame(spark, rows, True)).collect():
+        got[r.doc_id].append(r.spans)
+    assert sorted(got[None]) == ["", "phone:16:19", "phone:16:19"] and got[50] == ["phone:16:416"]
+    assert got[200] == ["phone:603:606"] and got[201] == [""]
+    clean = [r.text for r in pii.redact(frame(spark, rows, True)).collect() if r.doc_id is None]
+    assert sorted(clean) == ["call my desk on [PHONE] before noon"] * 2 + ["nothing 5 here"]
+
+
+def test_pii_linear():
+    """Many mentions in one word, and long words before them, are read once each."""
+    import time
+
+    for text in ("a@b.c," * 40_000, "w" * 200_000 + " " + "1.2.3.4," * 20_000):
+        began = time.process_time()
+        base = pii.base_spans(text)
+        near = pii.Contexts(text, [(a, b) for a, _, b in base])
+        assert base and all(near.patterns(a, b) is not None for a, _, b in base)
+        assert time.process_time() - began < 10
+
+
+def test_pii_members(spark):
+    """The rounds on the graph, written out."""
+    rng = random.Random(17)
+    mentions = [(rng.choice([-1, -1, 0, 3]) if i % 40 < 30 else -1, f"i{i % 40}", [rng.randrange(12) for _ in range(rng.randrange(1, 4))]) for i in range(160)]
+    kind_of = {}
+    for k, i, _ in mentions:
+        kind_of[i] = max(k, kind_of.get(i, -1))
+    mentions = [(kind_of[i], i, p) for _, i, p in mentions]
+    df = spark.createDataFrame([(k, i.encode(), p) for k, i, p in mentions], "kind int, instance binary, patterns array<long>")
+    more, strong = pii.members(df, 2, 2, 0.3, 0.35)
+    links = {(p, i) for _, i, ps in mentions for p in ps}
+    confident = {(i, k): 1.0 for i, k in kind_of.items() if k >= 0}
+    for _ in range(2):
+        marks = {}
+        for p in {p for p, _ in links}:
+            mine = [i for q, i in links if q == p]
+            for k in range(4):
+                known = [confident[i, k] for i in mine if (i, k) in confident]
+                if len(known) >= 2 and sum(known) / (len(mine) + 1) >= 0.3:
+                    marks[p, k] = sum(known) / (len(mine) + 1)
+        found = {}
+        for i, k in kind_of.items():
+            if k < 0:
+                scores = {a: 1 - math.prod(1.0001 - c for (p, b), c in marks.items() if b == a and (p, i) in links) for a in range(4) if any(b == a and (p, i) in links for p, b in marks)}
+                if scores and max(scores.values()) >= 0.35:
+                    best = min(a for a in scores if scores[a] == max(scores.values()))
+                    found[i] = (best, scores[best])
+        confident = {(i, k): 1.0 for i, k in kind_of.items() if k >= 0} | {(i, k): c for i, (k, c) in found.items()}
+    assert found and {(bytes(r.instance).decode(), r.kind) for r in more.collect()} == {(i, k) for i, (k, _) in found.items()}
+    assert {(r.pattern, r.kind) for r in strong.collect()} == set(marks)
+
+
 # 3
 
 
