@@ -6,16 +6,17 @@ every pair of equal windows in one shard:
 
 * the anchor of a window is the least hash of its 16-word grams, so equal windows have equal anchors, and the
   consecutive windows of one anchor form a segment (some 18 windows);
-* anchors of a single document need no further look; where all segments of an anchor are equal, the smallest
-  document owns all of its windows;
-* the other anchors are the reference shards: each task builds a suffix automaton of the shard's distinct
-  segments, whose states know the smallest document they occur in, and streams the segments through it.  The
-  matching statistics then give each window's first document;
-* an anchor with more than ``hot`` segments is too much for one automaton: its windows are compared by 128-bit
-  digests, pre-aggregated before the shuffle, so that no group meets in one task.
-
-Windows compare by words in the automata and by 128 hash bits elsewhere.  Nulls and empty texts have no words;
-equal doc_ids count as one document; other columns of the input are ignored.
+* anchors of a single document need no further look; of the others, equal segments are one, which its smallest
+  document owns: copies cost one row each, however many there are;
+* the distinct segments of an anchor are a reference shard: a task builds its suffix automaton, whose states know the
+  smallest document they occur in, and streams the segments through it.  The matching statistics give each window's
+  first document, in runs, and each document's segments are joined to the runs of theirs;
+* an anchor with more than ``hot`` distinct segments, or 32 words for each of those, is too much for one automaton:
+  its windows are compared by digests, pre-aggregated before the shuffle, so that no group meets in one task.
+
+Windows compare by words in the automata; segments, and windows of large anchors, by 128 hash bits: those of the anchor
+and those of a content hash that derives from another hash of each word.  Nulls and empty texts have no words; equal
+doc_ids count as one document; rows without a doc_id stay whole; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -28,11 +29,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, Words, gram_hash, long_array, materialize, slices, sliding_min, span_hash
+from .common import Words, gram_hash, long_array, materialize, slices, sliding_min, span_hash
 
 GRAM = 16
 _SEG = 0xC2B2AE3D27D4EB4F
-_DIGEST = 0x9FB21C651E98DF25
 NOBODY = (1 << 63) - 1
 
 
@@ -105,12 +105,6 @@ class SuffixAutomaton:
         return out
 
 
-def runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the runs of true."""
-    edge = np.diff(np.concatenate([[0], flags.astype(np.int8), [0]]))
-    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-
-
 def _segments(words: Words, window: int) -> tuple[np.ndarray, ...]:
     """Anchor, document, first window (in the document), windows and content hash of each segment."""
     least = sliding_min(words.grams(GRAM), window - GRAM + 1)
@@ -124,7 +118,7 @@ def _segments(words: Words, window: int) -> tuple[np.ndarray, ...]:
     start = np.flatnonzero(new)
     # a segment ends where the next one starts or where windows stop being whole
     stop = np.flatnonzero(ok & ~np.concatenate([ok[1:] & ~new[1:], [False]])) + 1
-    content = span_hash(words.hash, start, stop + window - 1, _SEG)
+    content = span_hash(words.second, start, stop + window - 1, _SEG)
     return least[start], doc[start], start - words.word_off[doc[start]], stop - start, content
 
 
@@ -142,75 +136,76 @@ def _index(window: int):
     return run
 
 
-PIECES = "anchor long, doc_id long, tkey long, start int, windows int, words string, digest array<long>"
+PIECES = "anchor long, content long, owner long, most long, words string, digest array<long>"
 
 
 def _texts(window: int):
-    """Rows (doc_id, text, tkey, list of segments) to the segments' words, or digests of their windows if hot."""
+    """Rows (text, list of segments) to the segments' words, or digests of their windows if hot."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            words = Words(batch.column(1))
-            ids, keys, lists = (batch.column(i).to_pylist() for i in (0, 2, 3))
+            words = Words(batch.column(0))
+            second = words.second
             out: list[tuple] = []
-            for i, segments in enumerate(lists):
+            for i, segments in enumerate(batch.column(1).to_pylist()):
                 base = words.word_off[i]
                 for s in segments:
                     a, n = base + s["start"], s["windows"]
+                    z = a + n + window - 2
+                    text = digest = None
                     if s["hot"]:
-                        d = gram_hash(words.hash[a : a + n + window - 1] * U(_DIGEST), window)
-                        out.append((s["anchor"], ids[i], keys[i], s["start"], n, None, d.view(np.int64).tolist()))
+                        digest = gram_hash(second[a : z + 1], window).view(np.int64).tolist()
                     else:
-                        z = a + n + window - 2
-                        text = words.data[words.start[a] : words.end[z]].tobytes().split()
-                        out.append((s["anchor"], ids[i], keys[i], s["start"], n, b" ".join(text).decode(), None))
-            cols = list(zip(*out, strict=True)) or [[]] * 7
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["anchor", "doc_id", "tkey", "start", "windows", "words", "digest"])
+                        text = b" ".join(words.data[words.start[a] : words.end[z]].tobytes().split()).decode()
+                    out.append((s["anchor"], s["content"], s["owner"], s["most"], text, digest))
+            cols = list(zip(*out, strict=True)) or [[]] * 6
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["anchor", "content", "owner", "most", "words", "digest"])
 
     return run
 
 
-def shard_spans(rows: list[tuple], window: int) -> list[tuple[int, int, int, int]]:
-    """Rows (doc_id, tkey, start, words) of one anchor to the covered word ranges (doc_id, tkey, start, end)."""
-    owner: dict[str, int] = {}
-    for doc, _, _, words in rows:
-        owner[words] = min(doc, owner.get(words, doc))
-    tokens = {w: w.encode().split() for w in owner}
+def shard_runs(rows: dict[int, tuple[int, int, str]], window: int) -> list[tuple[int, int, int, int]]:
+    """Distinct segments of one anchor, content to (owner, most, words), to runs (content, first window, end, first
+    document) of windows that a document below ``most``, the largest that has the segment, has first."""
     automaton = SuffixAutomaton()
-    for w, doc in owner.items():
-        automaton.add(tokens[w], doc)
+    tokens = {content: words.encode().split() for content, (_, _, words) in rows.items()}
+    for content, (owner, _, _) in rows.items():
+        automaton.add(tokens[content], owner)
     automaton.close()
-    first = {w: np.array(automaton.first_owners(t, window), dtype=np.int64) for w, t in tokens.items()}
     out = []
-    for doc, key, start, words in rows:
-        for a, b in zip(*runs(first[words] < doc), strict=True):
-            out.append((doc, key, start + int(a), start + int(b) + window - 1))
+    for content, (_, most, _) in rows.items():
+        first = np.array(automaton.first_owners(tokens[content], window), dtype=np.int64)
+        edge = np.concatenate([[0], np.flatnonzero(first[1:] != first[:-1]) + 1, [len(first)]])
+        out += [(content, a, b, int(first[a])) for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True) if first[a] < most]
     return out
 
 
+RUNS = "anchor long, content long, a int, b int, first long"
+
+
 def _shards(window: int):
-    """Rows sorted by anchor to covered ranges; a group of one anchor at a time is held."""
+    """Rows sorted by anchor to runs; the distinct segments of one anchor at a time are held."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def done(spans: list[tuple]) -> pa.RecordBatch:
-            cols = list(zip(*spans, strict=True)) or [[]] * 4
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["doc_id", "tkey", "s", "e"])
+        def done(found: list[tuple]) -> pa.RecordBatch:
+            cols = list(zip(*found, strict=True)) or [[]] * 5
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()), strict=True)], names=["anchor", "content", "a", "b", "first"])
 
-        at, group, spans = None, [], []
+        at, group, found = None, {}, []
         for batch in batches:
-            for anchor, *row in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            for anchor, content, *row in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 if anchor != at:
                     if group:
-                        spans += shard_spans(group, window)
-                    at, group = anchor, []
-                group.append(tuple(row))
-            if len(spans) > 20_000:
-                yield done(spans)
-                spans = []
+                        found += [(at, *r) for r in shard_runs(group, window)]
+                    at, group = anchor, {}
+                group[content] = tuple(row)
+            if len(found) > 20_000:
+                yield done(found)
+                found = []
         if group:
-            spans += shard_spans(group, window)
-        yield done(spans)
+            found += [(at, *r) for r in shard_runs(group, window)]
+        yield done(found)
 
     return run
 
@@ -222,25 +217,26 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 def repeated_spans(docs: DataFrame, window: int = 50, hot: int = 4096) -> DataFrame:
     """(doc_id, tkey, s, e): word ranges of ``keyed`` documents covered by windows that a smaller doc_id has too."""
-    row = ["doc_id", "tkey"]
+    row, same = ["doc_id", "tkey"], ["anchor", "content"]
     index = materialize(docs.mapInArrow(_index(window), SEGMENTS), "segments")
-    shared = (
-        index.groupBy("anchor")
-        .agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("most"), F.count("*").alias("n"), (F.min("content") != F.max("content")).alias("varied"))
-        .where("owner < most")
-        .select("anchor", "owner", "varied", (F.col("n") > hot).alias("hot"))
-    )
+    shared = index.groupBy("anchor").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("most")).where("owner < most").select("anchor")
     found = materialize(index.join(shared, "anchor"), "shared")
-    whole = found.where("not varied and owner < doc_id").select(*row, F.col("start").alias("s"), (F.col("start") + F.col("windows") + (window - 1)).alias("e"))
-    lists = found.where("varied").groupBy(*row).agg(F.collect_list(F.struct("anchor", "start", "windows", "hot")).alias("segments"))
-    pieces = materialize(docs.where("text is not null").join(lists, row).select("doc_id", "text", "tkey", "segments").mapInArrow(_texts(window), PIECES), "pieces")
-    cold = pieces.where("words is not null").select("anchor", *row, "start", "words")
-    by_shard = cold.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_shards(window), "doc_id long, tkey long, s int, e int")
-    digests = pieces.where("digest is not null").select("anchor", *row, "start", F.posexplode("digest").alias("i", "digest"))
-    owners = digests.groupBy("anchor", "digest").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("most")).where("owner < most").drop("most")
-    first = F.col("start") + F.col("i")
-    hot_spans = digests.join(owners, ["anchor", "digest"]).where("owner < doc_id").select(*row, first.alias("s"), (first + window).alias("e"))
-    return whole.unionByName(by_shard).unionByName(hot_spans)
+    # distinct segments, each at its smallest document
+    at = F.min(F.struct("doc_id", "tkey", "start", "windows"))
+    distinct = materialize(found.groupBy(same).agg(at.alias("at"), F.max("doc_id").alias("most")).select(*same, "at.*", "most"), "distinct")
+    words = F.sum(F.col("windows") + (window - 1))
+    large = distinct.groupBy("anchor").agg(F.count("*").alias("n"), words.alias("words")).where((F.col("n") > hot) | (F.col("words") > 32 * hot)).select("anchor", F.lit(True).alias("hot"))
+    marked = distinct.join(large, "anchor", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    lists = marked.groupBy(*row).agg(F.collect_list(F.struct(*same, "start", "windows", F.col("doc_id").alias("owner"), "most", "hot")).alias("segments"))
+    pieces = materialize(docs.where("text is not null").join(lists, row).select("text", "segments").mapInArrow(_texts(window), PIECES), "pieces")
+    cold = pieces.where("words is not null").select(*same, "owner", "most", "words")
+    by_shard = cold.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_shards(window), RUNS)
+    digests = pieces.where("digest is not null").select(*same, "owner", "most", F.posexplode("digest").alias("a", "digest"))
+    owners = digests.groupBy("anchor", "digest").agg(F.min("owner").alias("first"), F.max("most").alias("last")).where("first < last").drop("last")
+    by_digest = digests.join(owners, ["anchor", "digest"]).where("first < most").select(*same, "a", (F.col("a") + 1).alias("b"), "first")
+    runs = by_shard.unionByName(by_digest)
+    covered = found.join(runs, same).where("first < doc_id")
+    return covered.select(*row, (F.col("start") + F.col("a")).alias("s"), (F.col("start") + F.col("b") + (window - 1)).alias("e"))
 
 
 def keep_mask(n: int, spans: list[dict] | None) -> np.ndarray:
