@@ -11,8 +11,10 @@
    documents are joined already.
 
 Two texts with similarity 0.85 share no band with probability (1 - 0.85**5)**25 < 1e-6, and their signatures fall
-below the floor with a probability of less than 1e-7.
-Nulls, empty texts: no shingles, alone.  Fewer than five words: one shingle of all words.  Rows that share a
+below the floor with a probability of at most 1e-7, in buckets of any size: pairs that leave the join have signatures of
+125 bits, those compared inside it of 512, each with the floor that this bound needs.  Which way a bucket takes
+(``crowd``) changes its cost alone.  Links are confirmed on whole sets of 64-bit hashes.
+Nulls, empty texts: no shingles, alone.  Very long texts: sets of any size.  Other columns are ignored.  Fewer than five words: one shingle of all words.  Rows that share a
 doc_id are one document each; component ids are doc_ids.
 """
 
@@ -124,11 +126,11 @@ def _sketch(bands: int, rows: int) -> Callable[[Iterator[pa.RecordBatch]], Itera
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents to their sets, 48 bits of each hash."""
+    """Documents to their sets, the hashes one after the other."""
     for batch in slices(batches):
         value, off = shingle_sets(Words(batch.column(1), lower=True))
-        raw = value.view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
-        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([raw[6 * x : 6 * y] for x, y in zip(off[:-1], off[1:], strict=True)], pa.binary())], names=["doc_id", "shingles"])
+        raw = value.tobytes()
+        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([raw[8 * x : 8 * y] for x, y in zip(off[:-1], off[1:], strict=True)], pa.binary())], names=["doc_id", "shingles"])
 
 
 def _arrays(bands: int, rows: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -149,19 +151,14 @@ def _arrays(bands: int, rows: int) -> Callable[[Iterator[pa.RecordBatch]], Itera
 
 def _linked(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def values(x: bytes) -> np.ndarray:
-            v = np.zeros((len(x) // 6, 8), np.uint8)
-            v[:, :6] = np.frombuffer(x, np.uint8).reshape(-1, 6)
-            return v.view(np.uint64).ravel()
-
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                n, m = len(x) // 6, len(y) // 6
+                n, m = len(x) // 8, len(y) // 8
                 if 100 * min(n, m) < percent * max(n, m):
                     keep.append(False)
                     continue
-                both = np.sort(np.concatenate([values(x), values(y)]))
+                both = np.sort(np.frombuffer(x + y, np.uint64))
                 same = int((both[1:] == both[:-1]).sum())
                 keep.append(100 * same >= percent * (n + m - same))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
