@@ -11,12 +11,14 @@ matrix product each, keeping k rows for each query.  Scores are exact integers;
 rounding, so the result is exact.
 
 Annuli with many vectors (copies of one vector have one key) are dealt by a hash of the id into parts of about
-``PART`` rows, queries into blocks of ``QUERIES``; a task holds one part and one block.  A third of all rows in
-one key is many parts.
+``PART`` rows, queries into blocks of about ``QUERIES`` with the same nearest pivot, so that a block visits few annuli;
+a part goes to the blocks that visit its annulus and no others, and a task holds one part and one block.  A third of
+all rows in one key is many parts.
 
 Components become floor(scale * x).  Vectors that are null, empty or hold null or non-finite components, and
-rows without an id take no part.  Vectors of another length than the query's don't meet it.  Equal rows are one
-row.  With fewer than k candidates all are returned; ties go to the smaller id.
+rows without an id take no part.  Components are exact below 2^100 after scaling and scores as far as a long holds
+them; what lies beyond is an error, not dropped.  Vectors of another length than the query's don't meet it.  Equal rows
+are one row.  With fewer than k candidates all are returned; ties go to the smaller id; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,8 +37,9 @@ PIVOTS = 32
 SAMPLE = 4_096
 ANNULI = 8
 PART = 16_384
-QUERIES = 4_096
+QUERIES = 16_384
 _EXACT = 2.0**52
+_MOST = 2.0**100
 
 
 def quantise(scale: int):
@@ -46,18 +49,21 @@ def quantise(scale: int):
             for i, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 if i is None or not x.is_valid or not len(x) or x.values.null_count:
                     continue
-                v = np.floor(scale * x.values.to_numpy(zero_copy_only=False).astype(np.float64))
-                if np.isfinite(v).all() and (np.abs(v) < 2**62).all():
+                x = x.values.to_numpy(zero_copy_only=False).astype(np.float64)
+                if np.isfinite(x).all():
+                    if np.abs(x).max() * scale >= _MOST:
+                        raise OverflowError(f"vector {i} has a component beyond 2^100 after scaling")
                     ids.append(i)
-                    raw.append(v.astype("<i8"))
-            norm = [float(np.dot(v.astype(np.float64), v.astype(np.float64))) for v in raw]
+                    raw.append(np.floor(scale * x).astype("<f8"))
+            norm = [float(np.dot(v, v)) for v in raw]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([v.tobytes() for v in raw], pa.binary()), pa.array(norm, pa.float64()), pa.array([len(v) for v in raw], pa.int32())], names=["vec_id", "q", "norm", "dim"])
 
     return run
 
 
 def matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype="<i8").reshape(-1, dim)
+    """Whole numbers, as doubles."""
+    return np.frombuffer(b"".join(column.to_pylist()), dtype="<f8").reshape(-1, dim)
 
 
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -66,10 +72,11 @@ def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return np.zeros((len(a), len(b)), np.int64)
     most = float(np.abs(a).max()) * float(np.abs(b).max()) * a.shape[1]
     if most < _EXACT:
-        return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
+        return (a @ b.T).astype(np.int64)
     if most < 2.0**62:
-        return a @ b.T
-    return a.astype(object) @ b.astype(object).T
+        return a.astype(np.int64) @ b.astype(np.int64).T
+    whole = lambda m: np.array([[int(x) for x in row] for row in m.tolist()], dtype=object)
+    return whole(a) @ whole(b).T
 
 
 @dataclass
@@ -143,15 +150,15 @@ def _keyed(index: Index):
     return run
 
 
-def _visits(index: Index, annuli: np.ndarray, lo: np.ndarray, hi: np.ndarray, parts: np.ndarray, k: int):
+def _visits(index: Index, annuli: np.ndarray, lo: np.ndarray, hi: np.ndarray, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 b = batch.slice(at, 256)
-                ids, vectors = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_pylist()
-                out = [(int(ids[i]), vectors[i], int(annuli[j]), p) for i, some in index.visits(ids, matrix(b.column(1), index.dim), annuli, lo, hi, k) for j in some for p in range(parts[j])]
-                cols = list(zip(*out, strict=True)) or [[]] * 4
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.binary(), pa.int32(), pa.int32()), strict=True)], names=["query_id", "q", "annulus", "part"])
+                ids, q = b.column(0).to_numpy(zero_copy_only=False), matrix(b.column(1), index.dim)
+                lists = [annuli[some].tolist() for _, some in index.visits(ids, q, annuli, lo, hi, k)]
+                cell = index.distances(index.lifted(q, 0.0), index.pivots).argmin(1)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cell.astype(np.int32)), pa.array(lists, pa.list_(pa.int32()))], names=["query_id", "q", "cell", "annuli"])
 
     return run
 
@@ -161,11 +168,13 @@ RESULT = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score",
 
 def best_of(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     """Places of the k highest scores, ties to smaller ids."""
-    if len(scores) > 4 * k:
+    if len(scores) > 4 * k and scores.dtype != object:
         floor = np.partition(scores, len(scores) - k)[len(scores) - k]
         some = np.flatnonzero(scores >= floor)
     else:
         some = np.arange(len(scores))
+    if scores.dtype == object:
+        return np.array(sorted(some.tolist(), key=lambda i: (-scores[i], ids[i]))[:k], dtype=np.int64)
     return some[np.lexsort((ids[some], -scores[some]))][:k]
 
 
@@ -180,6 +189,8 @@ def _compare(dim: int, k: int):
                 for i in range(len(s)):
                     own = ids != who[at + i]
                     best = best_of(ids[own], s[i][own], k)
+                    if s.dtype == object and any(not -(2**63) <= x < 2**63 for x in s[i][own][best]):
+                        raise OverflowError(f"a score of query {who[at + i]} doesn't fit in a long")
                     out.append(pa.table([np.full(len(best), who[at + i]), ids[own][best], s[i][own][best].astype(np.int64)], schema=RESULT))
         return pa.concat_tables(out) if out else RESULT.empty_table()
 
@@ -204,12 +215,21 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 10, scale: int = 1024, p
         bounds = sorted(tuple(r) for r in keyed.groupBy("annulus").agg(F.min("r"), F.max("r"), F.count("*")).collect())
         names, lo, hi, count = (np.array(c) for c in zip(*bounds, strict=True))
         parts = -(-count // part)
-        n_parts = F.create_map(*[F.lit(int(x)) for pair in zip(names, parts, strict=True) for x in pair])
-        asked = mine.where(queries).select("vec_id", "q")
-        blocks = max(1, asked.count() // QUERIES)
+        table = lambda pairs: F.create_map(*[F.lit(int(x)) for pair in pairs for x in pair])
         deal = lambda c, m: F.pmod(F.xxhash64(c), m).cast("int")
-        visits = asked.mapInArrow(_visits(index, names, lo, hi, parts, k), "query_id long, q binary, annulus int, part int").withColumn("block", deal("query_id", F.lit(blocks)))
-        held = keyed.select("vec_id", "q", "annulus", deal("vec_id", n_parts[F.col("annulus")]).alias("part"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+        n_parts = table(zip(names, parts, strict=True))
+        asked = materialize(mine.where(queries).select("vec_id", "q").mapInArrow(_visits(index, names, lo, hi, k), "query_id long, q binary, cell int, annuli array<int>"), "visits")
+        # a row for each pivot at most
+        cells = sorted(tuple(r) for r in asked.groupBy("cell").agg(F.count("*")).collect())
+        if not cells:
+            continue
+        blocks = [-(-n // QUERIES) for _, n in cells]
+        names_of = [c for c, _ in cells]
+        first, n_blocks = table(zip(names_of, np.cumsum([0, *blocks[:-1]]), strict=True)), table(zip(names_of, blocks, strict=True))
+        visits = asked.select("query_id", "q", (first[F.col("cell")] + deal("query_id", n_blocks[F.col("cell")])).alias("block"), F.explode("annuli").alias("annulus"))
+        visitors = visits.select("annulus", "block").distinct().groupBy("annulus").agg(F.collect_list("block").alias("blocks"))
+        held = keyed.select("vec_id", "q", "annulus", deal("vec_id", n_parts[F.col("annulus")]).alias("part")).join(visitors, "annulus").withColumn("block", F.explode("blocks")).drop("blocks")
+        visits = visits.withColumn("part", F.explode(F.sequence(F.lit(0), n_parts[F.col("annulus")] - 1)))
         place = ["annulus", "part", "block"]
         found = held.groupBy(*place).cogroup(visits.groupBy(*place)).applyInArrow(_compare(dim, k), "query_id long, vec_id long, score long")
         result = found if result is None else result.unionByName(found)

@@ -784,9 +784,32 @@ def test_topk(spark):
     assert topk_search.top_k(df.limit(0), F.col("vec_id") % 100 == 0).count() == 0
 
 
+def test_topk_blocks_and_large_values(spark, monkeypatch):
+    """Many blocks of queries; components beyond 2^53 take part; scores that no long holds are an error."""
+    monkeypatch.setattr(topk_search, "QUERIES", 7)
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(0, 0.3, 4).tolist()) for i in range(400)] + [(1000, [2.0**44, 0.0, 0.0, 0.0]), (1001, [-(2.0**44), 3.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole = {i: [math.floor(1024 * x) for x in v] for i, v in rows}
+    want = []
+    for q in (i for i in whole if i % 10 == 0 and i < 1000):
+        scored = sorted((-sum(a * b for a, b in zip(whole[q], v, strict=True)), i) for i, v in whole.items() if i != q)[:5]
+        want += [(q, n, i, -s) for n, (s, i) in enumerate(scored, 1)]
+    asked = (F.col("vec_id") % 10 == 0) & (F.col("vec_id") < 1000)
+    got = topk_search.top_k(df, asked, k=5, part=50, sample=60, pivots=5).collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+    for far in (2.0**50, 2.0**95):
+        with pytest.raises(Exception, match="doesn't fit|beyond"):
+            topk_search.top_k(df.union(spark.createDataFrame([(2000, [far] * 4)], df.schema)), F.col("vec_id") == 1000, k=5).collect()
+
+
 def test_words_match_python():
     import pyarrow as pa
 
     texts = ["a b  c\td", "", None, "x", "\x0b\x0c\r\n", "é ß  y", "same same"]
     w = common.Words(pa.array(texts))
+    seen = collections.defaultdict(set)
+    for a, b, h, k in zip(w.start, w.end, w.hash.tolist(), w.second.tolist(), strict=True):
+        seen[bytes(w.data[a:b])].add((h, k))
+    assert all(len(v) == 1 for v in seen.values()) and len({k for v in seen.values() for _, k in v}) == len(seen) == len({h for v in seen.values() for h, _ in v})
     assert w.counts.tolist() == [len((t or "").encode().split()) for t in texts]
