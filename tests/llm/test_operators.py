@@ -785,10 +785,10 @@ def test_topk(spark):
 
 
 def test_topk_blocks_and_large_values(spark, monkeypatch):
-    """Many blocks of queries; components beyond 2^53 take part; scores that no long holds are an error."""
+    """Many blocks of queries; components whose products pass 2^62 take part; scores that no long holds are an error."""
     monkeypatch.setattr(topk_search, "QUERIES", 7)
     rng = np.random.default_rng(5)
-    rows = [(i, rng.normal(0, 0.3, 4).tolist()) for i in range(400)] + [(1000, [2.0**44, 0.0, 0.0, 0.0]), (1001, [-(2.0**44), 3.0, 0.0, 0.0])]
+    rows = [(i, rng.normal(0, 0.3, 4).tolist()) for i in range(400)] + [(1000, [2.0**41, 0.0, 0.0, 0.0]), (1001, [-(2.0**41), 3.0, 0.0, 0.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     whole = {i: [math.floor(1024 * x) for x in v] for i, v in rows}
     want = []
