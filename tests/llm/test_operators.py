@@ -760,6 +760,41 @@ def test_decontamination(spark, rows):
     assert decontaminate.contaminated(frame(spark, docs), bench.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("block", [8 << 20, 600])
+def test_decontamination_brute(spark, monkeypatch, block):
+    """Every document against every item: a shared seed and an alignment of half the item's own score; in one block of
+    items and in several."""
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
+    rng = random.Random(13)
+    items = [(i, " ".join(words(rng, rng.randrange(3, 40)))) for i in range(25)]
+    docs = []
+    for i in range(120):
+        w = words(rng, rng.randrange(5, 60))
+        for _ in range(rng.randrange(3)):
+            passage = items[rng.randrange(25)][1].split()
+            for _ in range(rng.randrange(len(passage))):
+                k = rng.randrange(len(passage))
+                passage[k : k + 1] = rng.choice([[], ["edit"], [passage[k], "more"]])
+                if not passage:
+                    break
+            at = rng.randrange(len(w) + 1)
+            w[at:at] = passage
+        docs.append((i, " ".join(w)))
+    docs += [(500, None), (501, ""), (3, docs[3][1]), (None, items[0][1]), (502, items[1][1] + " " + "filler word " * 3000 + items[2][1])]
+    split = lambda t: re.findall(r"[A-Za-z0-9\x80-\U0010ffff]+", (t or "").lower())
+    want = []
+    for d, t in docs:
+        b = split(t)
+        for i, x in items:
+            a = split(x)
+            n = min(4, len(a))
+            seeds = {tuple(a[k : k + n]) for k in range(len(a) - n + 1)}
+            if seeds & {tuple(b[k : k + n]) for k in range(len(b) - n + 1)} and brute_sw(a, b) >= len(a):
+                want.append((d, i, round(brute_sw(a, b) / (2 * len(a)), 6)))
+    got = [(r.doc_id, r.item_id, round(r.similarity, 6)) for r in decontaminate.contaminated(frame(spark, docs, True), spark.createDataFrame(items, "item_id long, text string")).collect()]
+    assert len(want) > 30 and sorted(got, key=repr) == sorted(want, key=repr)
+
+
 # 10
 
 
