@@ -1,6 +1,13 @@
 """A corpus from raw documents to packed sequences; part of the subpackage ``itemflow.llm``.
 
-Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept.
+Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept.  All stages but the last return
+the columns of their input, whatever those are called.
+
+Rows with a null text stay and are packed as their end token; empty and very long texts are texts like others.  Rows
+without a doc_id are judged by their text, but have no near copies.  Rows that share a doc_id are one document: they
+stay or go together, and each is packed.  Of a group of near copies (0.80 of the shingles in common) the smallest
+doc_id stays.  Without labels no document is toxic, without benchmark items none is contaminated, and without documents
+nothing comes out.
 """
 
 from __future__ import annotations
@@ -43,7 +50,7 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: No stage but the first two filters could be said in SQL; tests hold them against brute force.
+#: SQL expresses neither the fitted model, the graph rounds nor the ids of the tokenizer; tests hold ``run`` against brute force.
 ORACLE_SQL = None
 
 
