@@ -12,7 +12,8 @@ every pair of equal windows in one shard:
   smallest document they occur in, and streams the segments through it.  The matching statistics give each window's
   first document, in runs, and each document's segments are joined to the runs of theirs;
 * an anchor with more than ``hot`` distinct segments, or 32 words for each of those, is too much for one automaton:
-  its windows are compared by digests, pre-aggregated before the shuffle, so that no group meets in one task.
+  its windows are compared by digests, one row for each that a segment has, pre-aggregated before the shuffle, so that
+  no group meets in one task.
 
 Windows compare by words in the automata; segments, and windows of large anchors, by 128 hash bits: those of the anchor
 and those of a content hash that derives from another hash of each word.  Nulls and empty texts have no words; equal
@@ -136,11 +137,11 @@ def _index(window: int):
     return run
 
 
-PIECES = "anchor long, content long, owner long, most long, words string, digest array<long>"
+PIECES = "anchor long, content long, owner long, most long, words string, digests array<struct<digest:long,at:array<int>>>"
 
 
 def _texts(window: int):
-    """Rows (text, list of segments) to the segments' words, or digests of their windows if hot."""
+    """Rows (text, list of segments) to the segments' words; if hot, to the digests of their windows, with the windows of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -152,15 +153,17 @@ def _texts(window: int):
                 for s in segments:
                     a, n = base + s["start"], s["windows"]
                     z = a + n + window - 2
-                    text = digest = None
+                    text = digests = None
                     if s["hot"]:
-                        digest = gram_hash(second[a : z + 1], window).view(np.int64).tolist()
+                        digest, place = np.unique(gram_hash(second[a : z + 1], window).view(np.int64), return_inverse=True)
+                        at = np.split(np.argsort(place, kind="stable"), np.cumsum(np.bincount(place))[:-1])
+                        digests = [{"digest": d, "at": x.tolist()} for d, x in zip(digest.tolist(), at, strict=True)]
                     else:
                         text = b" ".join(words.data[words.start[a] : words.end[z]].tobytes().split()).decode()
-                    out.append((s["anchor"], s["content"], s["owner"], s["most"], text, digest))
+                    out.append((s["anchor"], s["content"], s["owner"], s["most"], text, digests))
             cols = list(zip(*out, strict=True)) or [[]] * 6
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["anchor", "content", "owner", "most", "words", "digest"])
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("digest", pa.int64()), ("at", pa.list_(pa.int32()))])))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["anchor", "content", "owner", "most", "words", "digests"])
 
     return run
 
@@ -231,9 +234,9 @@ def repeated_spans(docs: DataFrame, window: int = 50, hot: int = 4096) -> DataFr
     pieces = materialize(docs.where("text is not null").join(lists, row).select("text", "segments").mapInArrow(_texts(window), PIECES), "pieces")
     cold = pieces.where("words is not null").select(*same, "owner", "most", "words")
     by_shard = cold.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_shards(window), RUNS)
-    digests = pieces.where("digest is not null").select(*same, "owner", "most", F.posexplode("digest").alias("a", "digest"))
+    digests = pieces.where("digests is not null").select(*same, "owner", "most", F.explode("digests").alias("d")).select(*same, "owner", "most", "d.digest", "d.at")
     owners = digests.groupBy("anchor", "digest").agg(F.min("owner").alias("first"), F.max("most").alias("last")).where("first < last").drop("last")
-    by_digest = digests.join(owners, ["anchor", "digest"]).where("first < most").select(*same, "a", (F.col("a") + 1).alias("b"), "first")
+    by_digest = digests.join(owners, ["anchor", "digest"]).where("first < most").select(*same, F.explode("at").alias("a"), "first").select(*same, "a", (F.col("a") + 1).alias("b"), "first")
     runs = by_shard.unionByName(by_digest)
     covered = found.join(runs, same).where("first < doc_id")
     return covered.select(*row, (F.col("start") + F.col("a")).alias("s"), (F.col("start") + F.col("b") + (window - 1)).alias("e"))
