@@ -30,136 +30,168 @@ def _pages(e: Engine) -> DataFrame:
 
 
 def _xml(e: Engine) -> DataFrame:
-    """Parts as XML documents, one for each brand: <parts brand=".."><part id=".." size=".."><name>..</name></part>..</parts>."""
+    """Parts as XML documents: <parts brand=".."><part id=".." size=".."><name>..</name></part>..</parts>.
+
+    A document has the parts of one brand among a thousand keys, so documents grow in number with the table, not in size.
+    """
     part = F.format_string('<part id="p%d" size="%d"><name>%s</name></part>', "p_partkey", "p_size", "p_name")
-    rows = e.table("part").groupBy("p_brand").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", part.alias("x")))), lambda s: s["x"]), "").alias("parts"), F.min("p_partkey").alias("doc_id"))
+    rows = e.table("part").groupBy("p_brand", F.floor(F.col("p_partkey") / 1000).alias("block")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", part.alias("x")))), lambda s: s["x"]), "").alias("parts"), F.min("p_partkey").alias("doc_id"))
     return rows.select("doc_id", F.concat(F.lit('<parts brand="'), "p_brand", F.lit('">'), "parts", F.lit("</parts>")).alias("xml"))
 
 
-def _count(df: DataFrame) -> DataFrame:
-    return df.groupBy("doc_id").agg(F.count("*").alias("n"))
+def _table(e: Engine) -> DataFrame:
+    return e.shred(_xml(e), "doc_id", "xml")
 
 
-_BRANDS = "SELECT min(p_partkey) AS doc_id, {} AS n FROM part GROUP BY p_brand"
+def _attributes(context: DataFrame, table: DataFrame) -> DataFrame:
+    """The attributes of the nodes: doc_id, name and value, which tell the nodes themselves apart."""
+    return nodes.step(context, table, "attribute").select("doc_id", "name", "value")
 
 
-@query("SELECT page_id AS doc_id, len(regexp_extract_all(html, '<a href=')) AS n FROM pages")
-def axis_descendant(e):
-    return _count(nodes.path(_pages(e), ("descendant", "a")))
+def _sized(table: DataFrame, size: int) -> DataFrame:
+    """The parts of a size."""
+    return nodes.step(table.where(f"kind = 'attribute' and name = 'size' and value = '{size}'"), table, "parent")
+
+
+#: Parts with the id and number of their document, as tables of attributes.
+_DOCS = "WITH d AS (SELECT *, min(p_partkey) OVER (PARTITION BY p_brand, p_partkey // 1000) AS doc_id, row_number() OVER (PARTITION BY p_brand, p_partkey // 1000 ORDER BY p_partkey) AS i, count(*) OVER (PARTITION BY p_brand, p_partkey // 1000) AS c FROM part) "
+_IDS = "SELECT doc_id, 'id' AS name, 'p' || p_partkey AS value FROM d WHERE {0} UNION ALL SELECT doc_id, 'size', p_size::VARCHAR FROM d WHERE {0}"
+_BRAND = "SELECT DISTINCT doc_id, 'brand' AS name, p_brand AS value FROM d WHERE {}"
+
 
+_LINKS = "SELECT page_id AS doc_id, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)) AS value FROM pages"
 
-@query("SELECT page_id AS doc_id, len(regexp_extract_all(html, '<a href=')) AS n FROM pages")
+
+@query(_LINKS)
 def axis_attribute(e):
-    return _count(nodes.path(_pages(e), ("descendant", "a"), ("attribute", "href")))
+    return nodes.path(_pages(e), ("descendant", "a"), ("attribute", "href")).select("doc_id", "value")
+
+
+@query("SELECT page_id AS doc_id, list_sort(regexp_extract_all(html, '<a href=\"[^\"]*\">([^<]*)</a>', 1)) AS texts FROM pages")
+def axis_descendant(e):
+    table = _pages(e)
+    texts = nodes.step(nodes.path(table, ("descendant", "nav"), ("descendant", "a")), table, "child", kind="text")
+    return texts.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.replace("value", F.lit("&"), F.lit("&amp;")))).alias("texts"))
 
 
-@query("SELECT page_id AS doc_id, len(regexp_extract_all(html, '<li>')) AS n FROM pages")
+@query("SELECT page_id AS doc_id, len(regexp_extract_all(html, '<li>')) AS items, len(regexp_extract_all(html, '<p>')) AS paragraphs FROM pages")
 def axis_child(e):
-    return _count(nodes.path(_pages(e), ("descendant", "ul"), ("child", "li")))
+    table = _pages(e)
+    items, paragraphs = nodes.path(table, ("descendant", "ul"), ("child", "li")), nodes.path(table, ("descendant", "article"), ("child", "p"))
+    both = items.withColumn("is_item", F.lit(1)).unionByName(paragraphs.withColumn("is_item", F.lit(0)))
+    return both.groupBy("doc_id").agg(F.sum("is_item").alias("items"), F.sum(1 - F.col("is_item")).alias("paragraphs"))
 
 
-@query("SELECT page_id AS doc_id, 1 AS n FROM pages")
+@query(_DOCS + _IDS.format("p_size = 7"))
 def axis_parent(e):
-    return _count(nodes.path(_pages(e), ("descendant", "li"), ("parent", "ul")))
+    table = _table(e)
+    return _attributes(_sized(table, 7), table)
 
 
-@query(_BRANDS.format("count(*) + 1"))
+@query(_DOCS + _IDS.format("p_size = 7") + " UNION ALL " + _BRAND.format("p_size = 7"))
 def axis_ancestor(e):
-    table = e.shred(_xml(e), "doc_id", "xml")
-    return _count(nodes.path(table, ("descendant", "name"), ("ancestor", None)).where("kind = 'element'"))
+    table = _table(e)
+    names = nodes.step(_sized(table, 7), table, "child", "name")
+    return _attributes(nodes.step(names, table, "ancestor", kind="element"), table)
 
 
-@query(_BRANDS.format("2 * count(*) + 1"))
+@query(_DOCS + _IDS.format("p_size = 9") + " UNION ALL " + _BRAND.format("p_size = 9"))
 def axis_ancestor_or_self(e):
-    table = e.shred(_xml(e), "doc_id", "xml")
-    return _count(nodes.path(table, ("descendant", "name"), ("ancestor-or-self", None)).where("kind = 'element'"))
+    table = _table(e)
+    return _attributes(nodes.step(_sized(table, 9), table, "ancestor-or-self", kind="element"), table)
 
 
-@query(_BRANDS.format("2 * count(*) + 1"))
+@query(_DOCS + "SELECT doc_id, p_partkey::VARCHAR || ':' || p_name AS value FROM d WHERE p_size = 11 UNION ALL SELECT doc_id, p_partkey::VARCHAR FROM d WHERE p_size = 11")
 def axis_descendant_or_self(e):
-    table = e.shred(_xml(e), "doc_id", "xml")
-    return _count(nodes.path(table, ("child", "parts"), ("descendant-or-self", None)).where("kind = 'element'"))
+    table = _table(e)
+    found = nodes.step(_sized(table, 11), table, "descendant-or-self")
+    key = found.where("name = 'part'").select("doc_id", F.col("pre").alias("parent")).join(table.where("kind = 'attribute' and name = 'id'").select("doc_id", "parent", F.substring("value", 2, 20).alias("key")), ["doc_id", "parent"])
+    named = found.where("name = 'name'").select("doc_id", "parent", F.col("pre").alias("at"))
+    texts = found.where("kind = 'text'").select("doc_id", F.col("parent").alias("at"), "value")
+    whole = named.join(texts, ["doc_id", "at"]).join(key, ["doc_id", "parent"]).select("doc_id", F.concat("key", F.lit(":"), "value").alias("value"))
+    return whole.unionByName(key.select("doc_id", F.col("key").alias("value")))
 
 
-@query("SELECT min(p_partkey) AS doc_id, count(*) - 1 AS n FROM part GROUP BY p_brand HAVING count(*) > 1")
+@query(_DOCS + ", f AS (SELECT doc_id, min(i) AS f FROM d WHERE p_size = 7 GROUP BY 1) " + _IDS.format("i > (SELECT f FROM f WHERE f.doc_id = d.doc_id)"))
 def axis_following_sibling(e):
-    table = e.shred(_xml(e), "doc_id", "xml")
-    return _count(nodes.path(table, ("descendant", "part"), ("following-sibling", "part")))
+    table = _table(e)
+    return _attributes(nodes.step(_sized(table, 7), table, "following-sibling", "part"), table)
 
 
-@query("SELECT min(p_partkey) AS doc_id, count(*) - 1 AS n FROM part GROUP BY p_brand HAVING count(*) > 1")
+@query(_DOCS + ", f AS (SELECT doc_id, max(i) AS f FROM d WHERE p_size = 7 GROUP BY 1) " + _IDS.format("i < (SELECT f FROM f WHERE f.doc_id = d.doc_id)"))
 def axis_preceding_sibling(e):
-    table = e.shred(_xml(e), "doc_id", "xml")
-    return _count(nodes.path(table, ("descendant", "part"), ("preceding-sibling", "part")))
+    table = _table(e)
+    return _attributes(nodes.step(_sized(table, 7), table, "preceding-sibling", "part"), table)
 
 
-@query("SELECT min(p_partkey) AS doc_id, count(*) - 1 AS n FROM part GROUP BY p_brand HAVING count(*) > 1")
+@query(_DOCS + ", f AS (SELECT doc_id, min(i) AS f FROM d WHERE p_size = 9 GROUP BY 1) SELECT doc_id, p_name AS value FROM d WHERE i > (SELECT f FROM f WHERE f.doc_id = d.doc_id)")
 def axis_following(e):
-    table = e.shred(_xml(e), "doc_id", "xml")
-    return _count(nodes.path(table, ("descendant", "part"), ("following", "name")))
+    table = _table(e)
+    return nodes.step(nodes.step(_sized(table, 9), table, "following", "name"), table, "child", kind="text").select("doc_id", "value")
 
 
-@query("SELECT min(p_partkey) AS doc_id, count(*) - 1 AS n FROM part GROUP BY p_brand HAVING count(*) > 1")
+@query(_DOCS + ", f AS (SELECT doc_id, max(i) AS f FROM d WHERE p_size = 9 GROUP BY 1) SELECT doc_id, p_name AS value FROM d WHERE i < (SELECT f FROM f WHERE f.doc_id = d.doc_id)")
 def axis_preceding(e):
-    table = e.shred(_xml(e), "doc_id", "xml")
-    return _count(nodes.path(table, ("descendant", "part"), ("preceding", "name")))
+    table = _table(e)
+    return nodes.step(nodes.step(_sized(table, 9), table, "preceding", "name"), table, "child", kind="text").select("doc_id", "value")
 
 
-@query(_BRANDS.format("count(*)"))
+@query(_DOCS + _IDS.format("p_size = 3"))
 def axis_self(e):
-    table = e.shred(_xml(e), "doc_id", "xml")
-    return _count(nodes.path(table, ("descendant", "part"), ("self", "part")))
+    table = _table(e)
+    both = nodes.union(_sized(table, 3), nodes.step(_sized(table, 3), table, "child", "name"))
+    return _attributes(nodes.step(both, table, "self", "part"), table)
 
 
-@query("SELECT doc_id, p_name AS string FROM (SELECT *, min(p_partkey) OVER (PARTITION BY p_brand) AS doc_id, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS position FROM part) WHERE position = 2")
+@query("SELECT doc_id, p_name AS string FROM (SELECT *, min(p_partkey) OVER (PARTITION BY p_brand, p_partkey // 1000) AS doc_id, row_number() OVER (PARTITION BY p_brand, p_partkey // 1000 ORDER BY p_partkey) AS position FROM part) WHERE position = 2")
 def predicate_position(e):
-    table = e.shred(_xml(e), "doc_id", "xml")
+    table = _table(e)
     second = nodes.positioned(nodes.path(table, ("child", "parts")), table, "child", "part").where("position = 2")
     return nodes.string_value(second.select(*table.columns), table).select("doc_id", "string")
 
 
-@query("SELECT doc_id, p_name AS string FROM (SELECT *, min(p_partkey) OVER (PARTITION BY p_brand) AS doc_id, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey DESC) AS position FROM part) WHERE position = 1")
+@query("SELECT doc_id, p_name AS string FROM (SELECT *, min(p_partkey) OVER (PARTITION BY p_brand, p_partkey // 1000) AS doc_id, row_number() OVER (PARTITION BY p_brand, p_partkey // 1000 ORDER BY p_partkey DESC) AS position FROM part) WHERE position = 1")
 def predicate_last(e):
-    table = e.shred(_xml(e), "doc_id", "xml")
+    table = _table(e)
     final = nodes.positioned(nodes.path(table, ("child", "parts")), table, "child", "part").where("position = last")
     return nodes.string_value(final.select(*table.columns), table).select("doc_id", "string")
 
 
-@query(_BRANDS.format("2 * count(*)"))
+@query(_DOCS + _IDS.format("p_size IN (7, 9)"))
 def node_union(e):
-    table = e.shred(_xml(e), "doc_id", "xml")
-    names, parts = nodes.path(table, ("descendant", "name")), nodes.path(table, ("descendant", "part"))
-    return _count(nodes.union(nodes.union(names, parts), names))
+    table = _table(e)
+    return _attributes(nodes.union(nodes.union(_sized(table, 7), _sized(table, 9)), _sized(table, 7)), table)
 
 
-@query(_BRANDS.format("count(*)"))
+@query(_DOCS + _IDS.format("p_size = 7 AND i > 1"))
 def node_intersect(e):
-    table = e.shred(_xml(e), "doc_id", "xml")
-    return _count(nodes.intersect(nodes.path(table, ("descendant", None)), nodes.path(table, ("descendant", "name"))))
+    table = _table(e)
+    later = nodes.step(nodes.path(table, ("descendant", "part")), table, "following-sibling", "part")
+    return _attributes(nodes.intersect(later, _sized(table, 7)), table)
 
 
-@query(_BRANDS.format("count(*) + 1"))
+@query(_DOCS + _IDS.format("p_size <> 7") + " UNION ALL " + _BRAND.format("true"))
 def node_except(e):
-    table = e.shred(_xml(e), "doc_id", "xml")
-    every = nodes.path(table, ("descendant", None)).where("kind = 'element'")
-    return _count(nodes.except_(every, nodes.path(table, ("descendant", "name"))))
+    table = _table(e)
+    every = nodes.path(table, ("descendant", None)).where("kind = 'element' and name != 'name'")
+    return _attributes(nodes.except_(every, _sized(table, 7)), table)
 
 
-@query(_BRANDS.format("count(*)"))
+@query(_DOCS + _IDS.format("p_size = 7") + " UNION ALL " + _BRAND.format("c = (SELECT count(*) FILTER (x.p_size <> 7) FROM d x WHERE x.doc_id = d.doc_id)"))
 def node_innermost(e):
-    table = e.shred(_xml(e), "doc_id", "xml")
-    return _count(nodes.innermost(nodes.path(table, ("descendant", None)).where("kind = 'element'")))
+    table = _table(e)
+    return _attributes(nodes.innermost(nodes.union(nodes.path(table, ("child", "parts")), _sized(table, 7))), table)
 
 
-@query(_BRANDS.format("1"))
+@query(_DOCS + _IDS.format("p_size = 7"))
 def node_outermost(e):
-    table = e.shred(_xml(e), "doc_id", "xml")
-    return _count(nodes.outermost(nodes.path(table, ("descendant", None)).where("kind = 'element'")))
+    table = _table(e)
+    return _attributes(nodes.outermost(nodes.union(_sized(table, 7), nodes.step(_sized(table, 7), table, "child", "name"))), table)
 
 
-@query("SELECT p_partkey AS doc_id, p_name AS string FROM part WHERE p_partkey IN (SELECT min(p_partkey) FROM part GROUP BY p_brand)")
+@query("SELECT p_partkey AS doc_id, p_name AS string FROM part WHERE p_partkey IN (SELECT min(p_partkey) FROM part GROUP BY p_brand, p_partkey // 1000)")
 def node_id(e):
-    table = e.shred(_xml(e), "doc_id", "xml")
+    table = _table(e)
     refs = table.select("doc_id").distinct().select("doc_id", F.concat(F.lit("p"), "doc_id").alias("ref"))
     return nodes.string_value(nodes.by_id(table, refs), table).select("doc_id", "string")
 
@@ -175,7 +207,7 @@ def _transformed(e: Engine, body: str, method: str = "text", **options) -> DataF
     return e.transform(_xml(e), "doc_id", "xml", _sheet(body, method), strict=True, **options).select("doc_id", "result")
 
 
-_PER_BRAND = "SELECT min(p_partkey) AS doc_id, {} AS result FROM part GROUP BY p_brand"
+_PER_BRAND = "SELECT min(p_partkey) AS doc_id, {} AS result FROM part GROUP BY p_brand, p_partkey // 1000"
 
 
 @query(_PER_BRAND.format("string_agg(p_name, '|' ORDER BY p_partkey)"))
@@ -194,7 +226,7 @@ def template_sort(e):
     return _transformed(e, '<xsl:template match="/"><xsl:for-each select="//part"><xsl:sort select="xs:integer(@size)" order="descending"/><xsl:value-of select="if (position() gt 1) then \' \' else \'\', substring(@id, 2)" separator=""/></xsl:for-each></xsl:template>')
 
 
-@query("SELECT doc_id, string_agg(s || ':' || n, ' ' ORDER BY s) AS result FROM (SELECT min(min(p_partkey)) OVER (PARTITION BY p_brand) AS doc_id, p_size // 10 AS s, count(*) AS n FROM part GROUP BY p_brand, p_size // 10) GROUP BY doc_id")
+@query("SELECT doc_id, string_agg(s || ':' || n, ' ' ORDER BY s) AS result FROM (SELECT min(min(p_partkey)) OVER (PARTITION BY p_brand, p_partkey // 1000) AS doc_id, p_size // 10 AS s, count(*) AS n FROM part GROUP BY p_brand, p_partkey // 1000, p_size // 10) GROUP BY doc_id")
 def template_for_each_group(e):
     return _transformed(e, '<xsl:template match="/"><xsl:for-each-group select="//part" group-by="xs:integer(@size) idiv 10"><xsl:sort select="current-grouping-key()"/><xsl:if test="position() gt 1"><xsl:text> </xsl:text></xsl:if><xsl:value-of select="current-grouping-key(), count(current-group())" separator=":"/></xsl:for-each-group></xsl:template>')
 
@@ -221,7 +253,7 @@ def template_call_recursive(e):
     return _transformed(e, body)
 
 
-@query("SELECT min(p_partkey) AS doc_id, '<parts brand=\"' || p_brand || '\">' || string_agg('<part id=\"p' || p_partkey || '\" size=\"' || p_size || '\"/>', '' ORDER BY p_partkey) || '</parts>' AS result FROM part GROUP BY p_brand")
+@query("SELECT min(p_partkey) AS doc_id, '<parts brand=\"' || p_brand || '\">' || string_agg('<part id=\"p' || p_partkey || '\" size=\"' || p_size || '\"/>', '' ORDER BY p_partkey) || '</parts>' AS result FROM part GROUP BY p_brand, p_partkey // 1000")
 def template_shallow_copy(e):
     return _transformed(e, '<xsl:mode on-no-match="shallow-copy"/><xsl:template match="name"/>', "xml")
 
@@ -231,7 +263,7 @@ def template_literal_elements(e):
     return _transformed(e, '<xsl:template match="/parts"><ul><xsl:for-each select="part"><li class="s{@size}"><xsl:value-of select="name"/></li></xsl:for-each></ul></xsl:template>', "html")
 
 
-@query(_PER_BRAND.format("string_agg(row_no || '. ' || p_name, chr(10) ORDER BY p_partkey)").replace("FROM part", "FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS row_no FROM part)"))
+@query(_PER_BRAND.format("string_agg(row_no || '. ' || p_name, chr(10) ORDER BY p_partkey)").replace("FROM part", "FROM (SELECT *, row_number() OVER (PARTITION BY p_brand, p_partkey // 1000 ORDER BY p_partkey) AS row_no FROM part)"))
 def template_number(e):
     return _transformed(e, '<xsl:template match="/"><xsl:for-each select="//part"><xsl:if test="position() gt 1"><xsl:text>&#10;</xsl:text></xsl:if><xsl:number format="1. "/><xsl:value-of select="name"/></xsl:for-each></xsl:template>')
 
@@ -263,10 +295,10 @@ def template_merge(e):
     return _transformed(e, body)
 
 
-@query("SELECT min(p_partkey) AS doc_id, count(*) AS n FROM part GROUP BY p_brand")
+@query(_DOCS + "SELECT doc_id, 'p' || p_partkey || '.xml' AS href, '<part id=\"p' || p_partkey || '\" size=\"' || p_size || '\"><name>' || p_name || '</name></part>' AS text FROM d WHERE p_size < 20")
 def result_documents(e):
-    out = e.transform(_xml(e), "doc_id", "xml", _sheet('<xsl:template match="/"><xsl:for-each select="//part"><xsl:result-document href="{@id}.xml" method="xml"><xsl:copy-of select="."/></xsl:result-document></xsl:for-each></xsl:template>'), strict=True)
-    return out.select("doc_id", F.size("results").cast("bigint").alias("n"))
+    out = e.transform(_xml(e), "doc_id", "xml", _sheet('<xsl:template match="/"><xsl:for-each select="//part[@size &lt; 20]"><xsl:result-document href="{@id}.xml" method="xml" omit-xml-declaration="yes"><xsl:copy-of select="."/></xsl:result-document></xsl:for-each></xsl:template>'), strict=True)
+    return out.select("doc_id", F.explode("results").alias("href", "text"))
 
 
 @query("SELECT event_id AS doc_id, [json_extract_string(props, '$.k')] AS items FROM events")
@@ -274,7 +306,7 @@ def json_source(e):
     return e.xpath(e.table("events"), "event_id", "props", "string(/*:map/*:number[@key = 'k'])", kind="json", strict=True).select("doc_id", "items")
 
 
-@query("SELECT min(p_partkey) AS doc_id, [max(p_size)::VARCHAR, count(*)::VARCHAR] AS items FROM part GROUP BY p_brand")
+@query("SELECT min(p_partkey) AS doc_id, [max(p_size)::VARCHAR, count(*)::VARCHAR] AS items FROM part GROUP BY p_brand, p_partkey // 1000")
 def document_xpath(e):
     return e.xpath(_xml(e), "doc_id", "xml", "(max(//part/@size/xs:integer(.)), count(//part))", strict=True).select("doc_id", "items")
 

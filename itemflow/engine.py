@@ -69,10 +69,11 @@ class Engine:
         return Rows(self.table(table) if isinstance(table, str) else table)
 
     def shred(self, df: DataFrame, key: str, text: str, kind: str = "xml") -> DataFrame:
-        """Node table of the documents in a column."""
+        """Node table of the documents in a column, written once: each step of a path reads it, none parses again."""
+        from .scratch import materialize
         from .sources.documents import shred
 
-        return shred(df, key, text, kind)
+        return materialize(shred(df, key, text, kind), "nodes")
 
     def transform(self, df: DataFrame, key: str, text: str, stylesheet: str, **options) -> DataFrame:
         """A stylesheet on each document of a column; options of ``perdoc.spark.transform``."""

@@ -133,12 +133,20 @@ def rollup(rows: Rows, keys: dict[str, str], aggregates: dict[str, tuple]) -> Da
 
 
 def fold(rows: Rows, partition: list[str], order: list[str], zero: str, step: str, name: str) -> DataFrame:
-    """fold-left over the items of each partition in order.  step sees $acc and the item as columns of $item."""
+    """fold-left over the items of each partition in order.  step sees $acc and the item as columns of $item.
+
+    A partition's items are gathered, with the columns that step names and no others, since each value may depend on
+    the one before; sums and other aggregates that don't are ``group_by``'s.
+    """
+    import re
+
     from ..plans import xpath as X
     from ..plans.columns import Compiler, Env, row_item
 
-    items = row_item(rows.df)
-    struct = F.struct(*[F.col(c) for c in rows.df.columns])
+    named = [c for c in rows.df.columns if re.search(rf"(?<![\w-]){re.escape(c)}(?![\w-])", step)]
+    read = rows.df.select(*(named or rows.df.columns[:1])) if re.search(r"\$item/[\w]", step) and "*" not in step.replace(" * ", "") else rows.df
+    items = row_item(read)
+    struct = F.struct(*[F.col(c) for c in read.columns])
     ordering = F.struct(*[one(rows.value(o)).alias(f"o{i}") for i, o in enumerate(order)], struct.alias("v"))
     compiler = Compiler(rows.functions)
     start = rows.value(zero)

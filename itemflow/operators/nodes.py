@@ -1,7 +1,9 @@
 """Axes and set operators on node tables.
 
-A step joins the context nodes with the node table on doc_id; the axis is a condition on pre, size and parent.
-Results are nodes once each; document order is (doc_id, pre).
+A step takes the nodes of the table that stand on an axis of the context nodes, each once; document order is
+(doc_id, pre).  Work is linear in nodes and contexts, also inside a document: axes by parent are joins on it; siblings
+and what follows or precedes need the first or last context of a parent or document; what is inside or above needs a
+running maximum or minimum over contexts and nodes in document order.  From the roots no join is needed.
 """
 
 from __future__ import annotations
@@ -40,33 +42,61 @@ def conditions() -> dict[str, Column]:
     }
 
 
-#: Axes whose condition is an equality, so that they join by it.
-EQUAL = {"child": ("parent", "c_pre"), "attribute": ("parent", "c_pre"), "parent": ("pre", "c_parent"), "self": ("pre", "c_pre"), "following-sibling": ("parent", "c_parent"), "preceding-sibling": ("parent", "c_parent")}
+def chosen(nodes: DataFrame, axis: str, name: str | None, kind: str | None) -> DataFrame:
+    """The nodes that pass the node test."""
+    kind = kind or ("attribute" if axis == "attribute" else "element" if name else None)
+    if kind:
+        nodes = nodes.where(F.col("kind") == kind)
+    return nodes.where(F.col("name") == name) if name else nodes
 
 
 def step(context: DataFrame, nodes: DataFrame, axis: str, name: str | None = None, kind: str | None = None) -> DataFrame:
     """Nodes on an axis of the context nodes, each once."""
-    kind = kind or ("attribute" if axis == "attribute" else "element" if name else None)
-    chosen = nodes
-    if kind:
-        chosen = chosen.where(F.col("kind") == kind)
-    if name:
-        chosen = chosen.where(F.col("name") == name)
-    left = _alias(context).withColumnRenamed("doc_id", "c_doc")
-    on = (F.col("doc_id") == F.col("c_doc")) & conditions()[axis]
-    return chosen.join(left, on, "left_semi")
+    found = chosen(nodes, axis, name, kind)
+    if axis in ("descendant", "descendant-or-self", "ancestor", "ancestor-or-self"):
+        return _structural(context, found, axis)
+    c = _alias(context).withColumnRenamed("doc_id", "c_doc")
+    same = F.col("doc_id") == F.col("c_doc")
+    if axis in ("following-sibling", "preceding-sibling"):
+        after = axis == "following-sibling"
+        edge = c.where("c_kind != 'attribute'").groupBy("c_doc", "c_parent").agg((F.min if after else F.max)("c_pre").alias("c_pre"))
+        return found.where(_not_attribute()).join(edge, same & conditions_by_edge(after) & (F.col("parent") == F.col("c_parent")), "left_semi")
+    if axis == "following":
+        edge = c.groupBy("c_doc").agg(F.min(F.col("c_pre") + F.col("c_size")).alias("c_end"))
+        return found.where(_not_attribute()).join(edge, same & (F.col("pre") > F.col("c_end")), "left_semi")
+    if axis == "preceding":
+        edge = c.groupBy("c_doc").agg(F.max("c_pre").alias("c_pre"))
+        return found.where(_not_attribute()).join(edge, same & (F.col("pre") + F.col("size") < F.col("c_pre")), "left_semi")
+    return found.join(c, same & conditions()[axis], "left_semi")
+
+
+def conditions_by_edge(after: bool) -> Column:
+    return F.col("pre") > F.col("c_pre") if after else F.col("pre") < F.col("c_pre")
+
+
+def _structural(context: DataFrame, found: DataFrame, axis: str) -> DataFrame:
+    """Nodes inside or above context nodes, by a running value over both in document order."""
+    down, self_too = axis.startswith("descendant"), axis.endswith("-or-self")
+    columns = found.columns
+    marks = context.select("doc_id", "pre", (F.col("pre") + F.col("size") if down else F.col("pre")).alias("__mark")).distinct()
+    both = found.withColumn("__mark", F.lit(None).cast("int")).unionByName(marks.withColumn("__mark", F.col("__mark").cast("int")), allowMissingColumns=True)
+    # a node meets its own mark only on the axes with self
+    first = F.col("__mark").isNotNull() if not self_too else F.col("__mark").isNull()
+    order = Window.partitionBy("doc_id").orderBy(F.col("pre") if down else F.col("pre").desc(), first).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    reach = (F.max if down else F.min)("__mark").over(order)
+    inside = F.col("__reach") >= F.col("pre") if down else F.col("__reach") <= F.col("pre") + F.col("size")
+    hit = inside & (_not_attribute() if down else F.lit(True))
+    if self_too and down:  # an attribute is on its own axis with self
+        at = F.max(F.when(F.col("__mark").isNotNull(), F.col("pre"))).over(order)
+        both, hit = both.withColumn("__at", at), inside & (_not_attribute() | (F.col("__at") == F.col("pre")))
+    return both.withColumn("__reach", reach).where(F.col("__mark").isNull() & hit).select(*columns)
 
 
 def pairs(context: DataFrame, nodes: DataFrame, axis: str, name: str | None = None, kind: str | None = None) -> DataFrame:
     """(doc_id, c_pre, node columns): the nodes on the axis of each context node."""
-    kind = kind or ("attribute" if axis == "attribute" else "element" if name else None)
-    chosen = nodes
-    if kind:
-        chosen = chosen.where(F.col("kind") == kind)
-    if name:
-        chosen = chosen.where(F.col("name") == name)
     left = _alias(context).withColumnRenamed("doc_id", "c_doc")
-    return left.join(chosen, (F.col("doc_id") == F.col("c_doc")) & conditions()[axis]).drop("c_doc", "c_size", "c_parent", "c_kind")
+    found = chosen(nodes, axis, name, kind)
+    return left.join(found, (F.col("doc_id") == F.col("c_doc")) & conditions()[axis]).drop("c_doc", "c_size", "c_parent", "c_kind")
 
 
 def positioned(context: DataFrame, nodes: DataFrame, axis: str, name: str | None = None, kind: str | None = None) -> DataFrame:
@@ -77,10 +107,18 @@ def positioned(context: DataFrame, nodes: DataFrame, axis: str, name: str | None
     return found.withColumns({"position": F.row_number().over(w.orderBy(order)), "last": F.count("*").over(w)})
 
 
+def from_roots(nodes: DataFrame, axis: str, name: str | None) -> DataFrame:
+    """The first step of a path, which needs no join: a root is node 0 of its document and holds all others."""
+    where = {"child": F.col("parent") == 0, "descendant": F.col("parent") >= 0, "descendant-or-self": F.lit(True), "self": F.col("parent") == -1}
+    return chosen(nodes, axis, name, None).where(where[axis] & _not_attribute())
+
+
 def path(nodes: DataFrame, *steps: tuple[str, str | None]) -> DataFrame:
     """Steps (axis, name) from the roots."""
-    out = nodes.where("parent = -1")
-    for axis, name in steps:
+    out, rest = nodes.where("parent = -1"), list(steps)
+    if rest and rest[0][0] in ("child", "descendant", "descendant-or-self", "self"):
+        out = from_roots(nodes, *rest.pop(0))
+    for axis, name in rest:
         out = step(out, nodes, axis, name)
     return out
 

@@ -127,11 +127,23 @@ def number(rows: Rows, partition: list[str], order: list[str], count: str = "tru
     return df.withColumn(name, (F.sum(ebv(again.value(count)).cast("int")).over(w) + (start_at - 1)).cast("bigint")).drop("__from")
 
 
+def _with_first(df: DataFrame, first: DataFrame, level: str) -> DataFrame:
+    first = first.withColumnRenamed(level, "__level")
+    return df.join(first, df[level].eqNullSafe(first["__level"])).drop("__level")
+
+
 def number_multiple(rows: Rows, levels: list[str], order: list[str], name: str = "number") -> DataFrame:
-    """xsl:number level multiple over nested keys: 1.2.3, each level numbered within the level above."""
-    out, above = rows.df, []
-    marks = []
-    for i, level in enumerate(levels):
+    """xsl:number level multiple over nested keys: 1.2.3, each level numbered within the level above.
+
+    The first level has nothing above it: its distinct keys alone, not the rows, are numbered in one task, and joined.
+    """
+    first = rows.df.select(levels[0]).distinct().withColumn("__n0", F.row_number().over(Window.orderBy(levels[0])))
+    if len(levels) == 1:
+        first = rows.df.groupBy(levels[0]).agg(F.count("*").alias("__c")).withColumn("__n0", F.sum("__c").over(Window.orderBy(levels[0]).rowsBetween(Window.unboundedPreceding, -1)))
+        rank = F.coalesce(F.col("__n0"), F.lit(0)) + F.row_number().over(_window(levels, order))
+        return _with_first(rows.df, first, levels[0]).withColumn(name, rank.cast("string")).drop("__n0", "__c")
+    out, above, marks = _with_first(rows.df, first, levels[0]), levels[:1], ["__n0"]
+    for i, level in enumerate(levels[1:], 1):
         rank = F.dense_rank().over(_window(above, [level])) if i + 1 < len(levels) else F.row_number().over(_window(above, [level, *order]))
         out = out.withColumn(f"__n{i}", rank)
         marks.append(f"__n{i}")

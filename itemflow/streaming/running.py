@@ -2,12 +2,11 @@
 
 The batch operators have no event time of their own; these are their continuous counterparts.  Each takes a
 streaming DataFrame or a folder of files, keeps its state in Spark's state store and writes where ``start``
-says.  ``drained`` runs a query over what is there and gives the result as a table.
+says.  ``drained`` runs a query over what is there, writes its result as a table and reads that.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -23,15 +22,20 @@ def source(spark: SparkSession, path: str) -> DataFrame:
 
 
 def drained(df: DataFrame, mode: str) -> DataFrame:
-    """Run a streaming query over all that is available; its table when done."""
+    """Run a streaming query over all that is available; its result, read from the table it is written to."""
     from ..scratch import folder
 
     spark = df.sparkSession
-    name = "s" + uuid.uuid4().hex
-    at = folder(spark, "stream")
-    q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", at).trigger(availableNow=True).start()
+    at, out = folder(spark, "stream"), folder(spark, "result")
+
+    def write(batch: DataFrame, number: int) -> None:
+        # in complete mode each batch has the whole result, in the others what is new; a batch that runs again replaces itself
+        batch.write.mode("overwrite").parquet(f"{out}/__batch={0 if mode == 'complete' else number}")
+
+    spark.createDataFrame([], df.schema).write.parquet(f"{out}/__batch=-1")  # a stream without rows has a result too
+    q = df.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", at).trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(df.schema).parquet(out).select(*df.columns)
 
 
 def accumulate(stream: DataFrame, keys: list[str], aggregates: dict[str, str]) -> DataFrame:
