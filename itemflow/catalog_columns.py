@@ -43,9 +43,9 @@ SPECS: dict[str, tuple[str, list[str], str, list[str], str]] = {
     "sequence_constructor": (P, ["string-join((p_brand, p_type, string(p_size)), '|')"], "", ["p_brand || '|' || p_type || '|' || p_size"], ""),
     "sequence_filter_position": (P, ["(p_brand, p_type, p_name)[2]", "(p_brand, p_type, p_name)[last()]", "string-join((p_brand, p_type)[position() = 2], '')", "count((1 to 9)[position() > 3])"], "", ["p_type", "p_name", "p_type", "6"], ""),
     "sequence_filter_boolean": (P, ["count((1 to p_size)[. mod 2 = 0])"], "", ["CAST(p_size // 2 AS BIGINT)"], ""),
-    "empty_sequence": (P, ["count(())", "empty(())", "exists((1, 2)[. > 5])"], "", ["0", "true", "false"], ""),
+    "empty_sequence": (P, ["count((p_size)[. > 25])", "empty((p_size)[. > 25])", "string-join((p_brand, p_type[. = 'none'], string(p_size)), '|')"], "", ["CASE WHEN p_size > 25 THEN 1 ELSE 0 END", "p_size <= 25", "p_brand || '|' || p_size"], ""),
     "variable_reference": (P, ["let $p := p_retailprice return if ($p > 1000) then $p else -$p"], "", ["CASE WHEN p_retailprice > 1000 THEN p_retailprice ELSE -p_retailprice END"], ""),
-    "instance_of": (P, ["p_size instance of xs:integer", "p_name instance of xs:string", "(1, 2) instance of xs:integer+", "p_size instance of xs:double"], "", ["true", "true", "true", "false"], ""),
+    "instance_of": (P, ["(1 to p_size)[. > 40] instance of xs:integer+", "(1 to p_size)[. > 40] instance of xs:integer?", "(1 to p_size)[. > 40] instance of empty-sequence()", "p_size[. > 9] instance of xs:string*"], "", ["p_size > 40", "p_size <= 41", "p_size <= 40", "p_size <= 9"], ""),
     "treat_as": (P, ["(p_size treat as xs:integer) + 1"], "", ["CAST(p_size + 1 AS BIGINT)"], ""),
     "cast_as": (P, ["string(p_size) cast as xs:integer", "xs:integer(p_retailprice)", "xs:boolean(p_size)", "xs:string(p_size)"], "", ["CAST(p_size AS BIGINT)", "CAST(trunc(p_retailprice) AS BIGINT)", "p_size <> 0", "CAST(p_size AS VARCHAR)"], ""),
     "castable_as": (P, ["p_name castable as xs:integer", "string(p_size) castable as xs:integer", "'2024-02-30' castable as xs:date", "'2024-02-29' castable as xs:date"], "", ["false", "true", "false", "true"], ""),
@@ -76,9 +76,9 @@ SPECS: dict[str, tuple[str, list[str], str, list[str], str]] = {
     "fn_tokenize": (P, ["count(tokenize(p_type))", "tokenize(p_brand, '#')[2]"], "", ["CAST(len(string_split(p_type, ' ')) AS BIGINT)", "split_part(p_brand, '#', 2)"], ""),
     "fn_contains_token": (P, ["contains-token(p_type, 'STEEL')"], "", ["list_contains(string_split(p_type, ' '), 'STEEL')"], ""),
     "fn_encode_for_uri": (P, ["encode-for-uri(p_brand)", "encode-for-uri('a b/c')", "iri-to-uri('http://e/ä b')", "escape-html-uri('ä b')"], "", ["replace(p_brand, '#', '%23')", "'a%20b%2Fc'", "'http://e/%C3%A4%20b'", "'%C3%A4 b'"], ""),
-    "fn_normalize_unicode": (P, ["string-length(normalize-unicode('é', 'NFC'))", "normalize-unicode(p_name)"], "", ["1", "p_name"], ""),
-    "fn_resolve_uri": (P, ["resolve-uri('../x', 'http://e.org/a/b/c')"], "", ["'http://e.org/a/x'"], ""),
-    "fn_collation_key": (P, ["collation-key(p_name) = collation-key(p_name)"], "", ["true"], ""),
+    "fn_normalize_unicode": (P, ["normalize-unicode(concat(p_name, 'e', codepoints-to-string(769)), 'NFC')", "string-length(normalize-unicode(concat('é', p_name), 'NFD'))"], "", ["p_name || 'é'", "CAST(length(p_name) + 2 AS BIGINT)"], ""),
+    "fn_resolve_uri": (P, ["resolve-uri(concat('../', p_size), 'http://e.org/a/b/c')", "resolve-uri(concat('?q=', p_size), 'http://e.org/a/b')", "resolve-uri(concat('http://x.org/', p_size), 'http://e.org/a')"], "", ["'http://e.org/a/' || p_size", "'http://e.org/a/b?q=' || p_size", "'http://x.org/' || p_size"], ""),
+    "fn_collation_key": (P, ["collation-key(p_brand) = collation-key('Brand#11')", "collation-key(p_brand) = collation-key('BRAND#11')", "collation-key(p_brand, 'http://www.w3.org/2013/collation/UCA?strength=primary') = collation-key('BRAND#11', 'http://www.w3.org/2013/collation/UCA?strength=primary')"], "", ["p_brand = 'Brand#11'", "false", "p_brand = 'Brand#11'"], ""),
     # numbers
     "fn_number": (P, ["number(p_size)", "string(number(p_name))"], "", ["CAST(p_size AS DOUBLE)", "'NaN'"], ""),
     "fn_abs_floor_ceiling": (C, ["abs(c_acctbal)", "floor(c_acctbal)", "ceiling(c_acctbal)"], "", ["abs(c_acctbal)", "floor(c_acctbal)", "ceil(c_acctbal)"], ""),
@@ -102,7 +102,7 @@ SPECS: dict[str, tuple[str, list[str], str, list[str], str]] = {
     "fn_cardinality": (P, ["exactly-one(p_name)", "zero-or-one(p_size)", "count(one-or-more((1, 2)))"], "", ["p_name", "CAST(p_size AS BIGINT)", "2"], ""),
     "fn_deep_equal": (P, ["deep-equal((p_size, 1), (p_size, 1))", "deep-equal([p_size], [5])", "deep-equal(map{'a': p_size}, map{'a': 5})"], "", ["true", "p_size = 5", "p_size = 5"], ""),
     "fn_boolean_not": (P, ["boolean(p_size - 5)", "not(p_size = 5)", "true()", "false()"], "", ["p_size <> 5", "p_size <> 5", "true", "false"], ""),
-    "fn_data_unordered": (P, ["data(p_size)", "count(unordered((1, 2)))"], "", ["CAST(p_size AS BIGINT)", "2"], ""),
+    "fn_data_unordered": (P, ["sum(unordered((p_size, 7)))", "data((p_brand, p_type))[2]", "count(data((1 to p_size)))"], "", ["CAST(p_size + 7 AS BIGINT)", "p_type", "CAST(p_size AS BIGINT)"], ""),
     # higher order
     "fn_for_each": (P, ["sum(for-each(1 to p_size, function($x) {$x * 2}))"], "", ["CAST(p_size * (p_size + 1) AS BIGINT)"], ""),
     "fn_filter": (P, ["count(filter(1 to p_size, function($x) {$x mod 3 = 0}))"], "", ["CAST(p_size // 3 AS BIGINT)"], ""),
@@ -120,7 +120,7 @@ SPECS: dict[str, tuple[str, list[str], str, list[str], str]] = {
     "vector_dot": ("embeddings", ["round(xs:double(fold-left(for-each-pair(embedding, embedding, function($x, $y) {xs:double($x) * xs:double($y)}), 0e0, function($a, $x) {$a + $x})) * 1e4)"], "", ["floor(list_sum([x::DOUBLE * x::DOUBLE for x in embedding]) * 1e4 + 0.5)"], ""),
     # JSON
     "fn_parse_json": (E, ["parse-json(props)?k"], "", ["json_extract_string(props, '$.k')"], ""),
-    "fn_serialize": (P, ["serialize(map{'a': p_size})"], "", ["'{\"a\":' || p_size || '}'"], ""),
+    "fn_serialize": (P, ["serialize(map{'a': p_size, 'b': p_size + 1}, map{'method': 'json'})", "serialize([p_size, p_size + 1], map{'method': 'json'})", "serialize((p_brand, '<', p_type))", "serialize(concat('<', p_size, '&'))", "serialize((p_brand, '<'), map{'method': 'text'})"], "", ["'{\"a\":' || p_size || ',\"b\":' || (p_size + 1) || '}'", "'[' || p_size || ',' || (p_size + 1) || ']'", "p_brand || ' &lt; ' || p_type", "'&lt;' || p_size || '&amp;'", "p_brand || ' <'"], ""),
     # dates
     "date_components": (O, ["year-from-dateTime(o_orderdate)", "month-from-dateTime(o_orderdate)", "day-from-dateTime(o_orderdate)", "hours-from-dateTime(o_orderdate)", "minutes-from-dateTime(o_orderdate)", "xs:double(seconds-from-dateTime(o_orderdate))"], "", ["CAST(year(o_orderdate) AS BIGINT)", "CAST(month(o_orderdate) AS BIGINT)", "CAST(day(o_orderdate) AS BIGINT)", "CAST(hour(o_orderdate) AS BIGINT)", "CAST(minute(o_orderdate) AS BIGINT)", "CAST(second(o_orderdate) AS DOUBLE)"], ""),
     "date_part_functions": (O, ["year-from-date(xs:date(o_orderdate))", "month-from-date(xs:date(o_orderdate))", "day-from-date(xs:date(o_orderdate))"], "", ["CAST(year(o_orderdate) AS BIGINT)", "CAST(month(o_orderdate) AS BIGINT)", "CAST(day(o_orderdate) AS BIGINT)"], ""),
@@ -129,14 +129,21 @@ SPECS: dict[str, tuple[str, list[str], str, list[str], str]] = {
     "date_filter": (O, ["o_orderkey"], "xs:date(o_orderdate) >= xs:date('1995-01-01') and xs:date(o_orderdate) < xs:date('1996-01-01')", ["o_orderkey"], "CAST(o_orderdate AS DATE) >= DATE '1995-01-01' AND CAST(o_orderdate AS DATE) < DATE '1996-01-01'"),
     "durations": (P, ["string(xs:dayTimeDuration('P1DT2H') * 2)", "string(xs:dayTimeDuration('PT90S') + xs:dayTimeDuration('PT30S'))", "xs:double(xs:dayTimeDuration('P2D') div xs:dayTimeDuration('PT12H'))", "years-from-duration(xs:yearMonthDuration('P15M'))", "months-from-duration(xs:yearMonthDuration('P15M'))", "hours-from-duration(xs:dayTimeDuration('P1DT5H'))", "minutes-from-duration(xs:dayTimeDuration('PT75M'))", "xs:double(seconds-from-duration(xs:dayTimeDuration('PT1.5S')))"], "", ["'P2DT4H'", "'PT2M'", "4.0::DOUBLE", "1", "3", "5", "15", "1.5::DOUBLE"], ""),
     "fn_dateTime": (O, ["string(dateTime(xs:date(o_orderdate), xs:time('12:00:00')))"], "", ["strftime(o_orderdate, '%Y-%m-%d') || 'T12:00:00'"], ""),
-    "fn_current": (P, ["current-date() = current-date()", "current-dateTime() >= current-dateTime()", "string(implicit-timezone())"], "", ["true", "true", "'PT0S'"], ""),
-    "fn_adjust_timezone": (O, ["adjust-dateTime-to-timezone(o_orderdate, ()) = o_orderdate"], "", ["true"], ""),
-    "fn_parse_ietf_date": (P, ["string(parse-ietf-date('Wed, 06 Jun 1994 07:29:35 GMT'))"], "", ["'1994-06-06T07:29:35'"], ""),
+    "fn_current": (O, ["days-from-duration(current-date() - xs:date(o_orderdate))", "year-from-dateTime(current-dateTime()) - year-from-dateTime(o_orderdate)", "current-dateTime() > o_orderdate", "string(implicit-timezone())"], "", ["CAST(current_date - CAST(o_orderdate AS DATE) AS BIGINT)", "CAST(year(current_date) - year(o_orderdate) AS BIGINT)", "CAST(current_date AS TIMESTAMP) > o_orderdate", "'PT0S'"], ""),
+    "fn_adjust_timezone": (O, ["string(adjust-dateTime-to-timezone(o_orderdate, xs:dayTimeDuration('-PT5H')))", "string(adjust-dateTime-to-timezone(adjust-dateTime-to-timezone(o_orderdate, xs:dayTimeDuration('PT2H')), xs:dayTimeDuration('-PT5H30M')))", "string(adjust-date-to-timezone(adjust-date-to-timezone(xs:date(o_orderdate), xs:dayTimeDuration('PT10H')), xs:dayTimeDuration('-PT5H')))", "string(adjust-time-to-timezone(xs:time('01:30:00+01:00'), xs:dayTimeDuration('-PT5H')))", "string(adjust-dateTime-to-timezone(adjust-dateTime-to-timezone(o_orderdate), ()))"], "", ["strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') || '-05:00'", "strftime(o_orderdate - INTERVAL 450 MINUTE, '%Y-%m-%dT%H:%M:%S') || '-05:30'", "strftime(CAST(o_orderdate AS DATE) - INTERVAL 1 DAY, '%Y-%m-%d') || '-05:00'", "'19:30:00-05:00'", "strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S')"], ""),
+    "fn_parse_ietf_date": (P, ["string(parse-ietf-date(concat('Wed, 06 Jun 1994 07:', format-integer(p_size, '00'), ':35 GMT')))", "string(parse-ietf-date(concat('6 Jun 1994 07:', format-integer(p_size, '00'), ':35 +0200')))", "parse-ietf-date('6 Jun 1994 07:10:00 +0200') = xs:dateTime('1994-06-06T05:10:00Z')"], "p_size < 60", ["'1994-06-06T07:' || printf('%02d', p_size) || ':35Z'", "'1994-06-06T07:' || printf('%02d', p_size) || ':35+02:00'", "true"], "p_size < 60"),
     "format_date": (O, ["format-dateTime(o_orderdate, '[Y0001]-[M01]-[D01]')", "format-date(xs:date(o_orderdate), '[D1o] [MNn] [Y]')", "format-dateTime(o_orderdate, '[H01]:[m01]')", "format-date(xs:date(o_orderdate), '[FNn,3-3]')"], "", ["strftime(o_orderdate, '%Y-%m-%d')", "CAST(day(o_orderdate) AS VARCHAR) || CASE WHEN day(o_orderdate) IN (11, 12, 13) THEN 'th' WHEN day(o_orderdate) % 10 = 1 THEN 'st' WHEN day(o_orderdate) % 10 = 2 THEN 'nd' WHEN day(o_orderdate) % 10 = 3 THEN 'rd' ELSE 'th' END || strftime(o_orderdate, ' %B %Y')", "strftime(o_orderdate, '%H:%M')", "strftime(o_orderdate, '%a')"], ""),
+    "zone_components": (O, ["string(timezone-from-dateTime(xs:dateTime(concat(string(o_orderdate), if (o_orderkey mod 2 = 0) then 'Z' else '-05:00'))))", "hours-from-dateTime(xs:dateTime(concat(string(o_orderdate), '-05:00')))", "empty(timezone-from-dateTime(o_orderdate))", "string(timezone-from-date(xs:date('2024-02-29+05:45')))", "string(timezone-from-time(xs:time('10:00:00Z')))"], "", ["CASE WHEN o_orderkey % 2 = 0 THEN 'PT0S' ELSE '-PT5H' END", "CAST(hour(o_orderdate) AS BIGINT)", "true", "'PT5H45M'", "'PT0S'"], ""),
+    "zone_comparison": (O, ["xs:dateTime(concat(string(o_orderdate), if (o_orderkey mod 2 = 0) then 'Z' else '-05:00')) < xs:dateTime('1995-01-01T00:00:00+02:00')", "xs:dateTime(concat(string(o_orderdate), '+03:00')) = xs:dateTime('1995-03-15T00:00:00+03:00')", "string(xs:dateTime(concat(string(o_orderdate), '+03:00')) - o_orderdate)"], "", ["o_orderdate + CASE WHEN o_orderkey % 2 = 0 THEN INTERVAL 0 HOUR ELSE INTERVAL 5 HOUR END < TIMESTAMP '1994-12-31 22:00:00'", "o_orderdate = TIMESTAMP '1995-03-15 00:00:00'", "'-PT3H'"], ""),
+    "zone_arithmetic": (O, ["string(xs:dateTime(concat(string(o_orderdate), '-05:00')) + xs:dayTimeDuration('PT36H'))", "string(xs:date(xs:dateTime(concat(string(o_orderdate), 'Z'))))", "string(dateTime(xs:date(o_orderdate), xs:time('12:00:00+01:00')))", "string(max((xs:dateTime('1995-01-01T00:00:00-05:00'), xs:dateTime(concat(string(o_orderdate), 'Z')))))"], "", ["strftime(o_orderdate + INTERVAL 36 HOUR, '%Y-%m-%dT%H:%M:%S') || '-05:00'", "strftime(o_orderdate, '%Y-%m-%d') || 'Z'", "strftime(o_orderdate, '%Y-%m-%d') || 'T12:00:00+01:00'", "CASE WHEN o_orderdate > TIMESTAMP '1995-01-01 05:00:00' THEN strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') || 'Z' ELSE '1995-01-01T00:00:00-05:00' END"], ""),
+    "zone_format": (O, ["format-dateTime(xs:dateTime(concat(string(o_orderdate), '-05:00')), '[Y0001]-[M01]-[D01] [H01]:[m01] [Z]')"], "", ["strftime(o_orderdate, '%Y-%m-%d %H:%M') || ' -05:00'"], ""),
+    "json_numbers": (E, ["parse-json(concat('{\"a\": [', event_id, ', 2.5, \"x\", null], \"o\": {\"n\": ', user_id, ', \"t\": true}}'))?a?1 + 1", "parse-json(concat('{\"a\": [', event_id, ', 2.5, \"x\", null], \"o\": {\"n\": ', user_id, ', \"t\": true}}'))?o?n * 2", "parse-json(concat('{\"a\": [', event_id, ', 2.5, \"x\", null], \"o\": {\"n\": ', user_id, ', \"t\": true}}'))?a?2 = 2.5", "parse-json(concat('{\"a\": [', event_id, ', 2.5, \"x\", null], \"o\": {\"n\": ', user_id, ', \"t\": true}}'))?o?n > 20", "sum(parse-json(concat('[', event_id, ',', user_id, ']'))?*)", "string(parse-json(concat('{\"a\": [', event_id, ', 2.5, \"x\", null], \"o\": {\"n\": ', user_id, ', \"t\": true}}'))?a?1)"], "", ["event_id + 1.0::DOUBLE", "user_id * 2.0::DOUBLE", "true", "user_id > 20", "CAST(event_id + user_id AS DOUBLE)", "CAST(event_id AS VARCHAR)"], ""),
+    "json_structure": (E, ["count(parse-json(concat('{\"a\": [', event_id, ', 2.5, \"x\", null], \"o\": {\"n\": ', user_id, ', \"t\": true}}'))?a?*)", "string-join(parse-json(concat('{\"a\": [', event_id, ', 2.5, \"x\", null], \"o\": {\"n\": ', user_id, ', \"t\": true}}'))?a?*[. = 'x'], '')", "if (parse-json(concat('{\"a\": [', event_id, ', 2.5, \"x\", null], \"o\": {\"n\": ', user_id, ', \"t\": true}}'))?o?t) then parse-json(concat('{\"a\": [', event_id, ', 2.5, \"x\", null], \"o\": {\"n\": ', user_id, ', \"t\": true}}'))?o?n + 0 else 0e0", "empty(parse-json(concat('{\"a\": [', event_id, ', 2.5, \"x\", null], \"o\": {\"n\": ', user_id, ', \"t\": true}}'))?a?4)", "empty(parse-json(concat('{\"a\": [', event_id, ', 2.5, \"x\", null], \"o\": {\"n\": ', user_id, ', \"t\": true}}'))?none)", "map:size(parse-json(concat('{\"a\": [', event_id, ', 2.5, \"x\", null], \"o\": {\"n\": ', user_id, ', \"t\": true}}'))?o)", "array:size(parse-json(concat('{\"a\": [', event_id, ', 2.5, \"x\", null], \"o\": {\"n\": ', user_id, ', \"t\": true}}'))?a)", "string-join(sort(map:keys(parse-json(concat('{\"a\": [', event_id, ', 2.5, \"x\", null], \"o\": {\"n\": ', user_id, ', \"t\": true}}')))), ',')", "map:contains(parse-json(concat('{\"a\": [', event_id, ', 2.5, \"x\", null], \"o\": {\"n\": ', user_id, ', \"t\": true}}'))?o, event_type)"], "", ["3", "'x'", "CAST(user_id AS DOUBLE)", "true", "true", "2", "4", "'a,o'", "event_type IN ('n', 't')"], ""),
+    "json_strings": (P, ["parse-json(serialize(map{'k': p_name}, map{'method': 'json'}))?k", "string-length(parse-json(serialize([p_brand], map{'method': 'json'}))?1)", "upper-case(parse-json(concat('\"', p_brand, '\"')))", "parse-json(string(p_size)) = p_size", "serialize(parse-json(concat('[', p_size, ', {\"z\": null}]')), map{'method': 'json'})"], "", ["p_name", "CAST(length(p_brand) AS BIGINT)", "upper(p_brand)", "true", "'[' || p_size || ',{\"z\":null}]'"], ""),
     # environment
-    "fn_defaults": (P, ["default-language()", "default-collation()", "system-property('xsl:version')"], "", ["'en'", "'http://www.w3.org/2005/xpath-functions/collation/codepoint'", "'3.0'"], ""),
+    "fn_defaults": (P, ["concat(default-language(), p_brand)", "compare(p_brand, 'Brand#3', default-collation())", "concat(system-property('xsl:version'), p_size)"], "", ["'en' || p_brand", "CAST(CASE WHEN p_brand < 'Brand#3' THEN -1 WHEN p_brand > 'Brand#3' THEN 1 ELSE 0 END AS BIGINT)", "'3.0' || p_size"], ""),
     "fn_position_last": (P, ["string-join(('a', 'b', 'c')[position() < last()], '')", "sum((10 to 12) ! position())"], "", ["'ab'", "6"], ""),
-    "fn_trace": (P, ["trace(p_size, 'size')"], "", ["CAST(p_size AS BIGINT)"], ""),
+    "fn_trace": (P, ["trace(p_size * 2, 'size') + 1"], "", ["CAST(p_size * 2 + 1 AS BIGINT)"], ""),
     "anti_and_semi_in_row": ("embeddings", ["some $x in embedding satisfies $x > 0.3", "every $x in embedding satisfies $x < 0.9"], "", ["len([x for x in embedding if x::DOUBLE > 0.3]) > 0", "len([x for x in embedding if NOT x::DOUBLE < 0.9]) = 0"], ""),
 }
 

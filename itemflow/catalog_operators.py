@@ -131,9 +131,9 @@ def semi_join(e):
     return joins.lookup(e.rows("customer"), "c_custkey", e.rows("orders"), "o_custkey", "semi").select("c_custkey")
 
 
-@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F' AND o_totalprice > 150000)")
 def anti_join(e):
-    return joins.lookup(e.rows("customer"), "c_custkey", e.rows("orders"), "o_custkey", "anti").select("c_custkey")
+    return joins.lookup(e.rows("customer"), "c_custkey", e.rows("orders").where("o_orderstatus = 'F' and o_totalprice > 150000"), "o_custkey", "anti").select("c_custkey")
 
 
 @query("SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey AND r_name <> 'ASIA'")
@@ -164,10 +164,10 @@ def merge_groups(e):
     return joins.merge({"part": (e.rows("part"), "p_partkey"), "line": (e.rows("lineitem"), "l_partkey")}, {"parts": ("part", "count", "."), "lines": ("line", "count", ".")})
 
 
-@query("SELECT ts AS k0, event_id AS k1, CASE event_type WHEN 'error' THEN 0 ELSE 1 END AS source_no, CASE event_type WHEN 'error' THEN 'errors' ELSE 'signups' END AS source, value FROM events WHERE event_type IN ('error', 'signup')")
+@query("SELECT row_number() OVER (ORDER BY ts, event_id, event_type) AS place, ts AS k0, event_id AS k1, CASE event_type WHEN 'error' THEN 0 ELSE 1 END AS source_no, CASE event_type WHEN 'error' THEN 'errors' ELSE 'signups' END AS source, value FROM events WHERE event_type IN ('error', 'signup')")
 def merge_ordered(e):
     logs = {"errors": (e.rows("events").where("event_type = 'error'"), ["ts", "event_id"]), "signups": (e.rows("events").where("event_type = 'signup'"), ["ts", "event_id"])}
-    return joins.merge_rows(logs, {"value": "value"})
+    return ordering.numbered(joins.merge_rows(logs, {"value": "value"}), "place")
 
 
 @query("SELECT r_regionkey, n_nationkey FROM (SELECT n_regionkey AS r_regionkey, string_agg(n_nationkey::VARCHAR, ' ') AS refs FROM nation GROUP BY 1) r, nation WHERE list_contains(string_split(refs, ' '), n_nationkey::VARCHAR)")
@@ -177,15 +177,20 @@ def id_join(e):
     return joins.idrefs(refs, "refs", nations, "id").select("r_regionkey", "n_nationkey")
 
 
-@query("SELECT DISTINCT r_regionkey, n_nationkey FROM region JOIN nation ON n_regionkey = r_regionkey")
+@query("SELECT s_suppkey, n_nationkey FROM (SELECT s_suppkey, s_nationkey, (s_nationkey + 7) % 25 AS other FROM supplier), nation WHERE n_nationkey IN (s_nationkey, other)")
 def idref_join(e):
-    return joins.lookup(e.rows("region"), "r_regionkey", e.rows("nation"), "n_regionkey", columns={"n_nationkey": "n_nationkey"}).select("r_regionkey", "n_nationkey")
+    """Nodes that name an id among several: suppliers by each of the nations their references name."""
+    refs = Rows(e.table("supplier").select("s_suppkey", F.concat_ws(" ", F.col("s_nationkey").cast("string"), ((F.col("s_nationkey") + 7) % 25).cast("string")).alias("refs")))
+    nations = Rows(e.table("nation").select("n_nationkey", F.col("n_nationkey").cast("string").alias("id")))
+    return joins.idrefs(refs, "refs", nations, "id").select("s_suppkey", "n_nationkey")
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE c_mktsegment = 'BUILDING'")
+@query("SELECT o_orderkey FROM orders o WHERE EXISTS (SELECT 1 FROM orders x WHERE x.o_custkey = o.o_custkey + 1 AND x.o_orderstatus = o.o_orderstatus AND x.o_orderpriority = o.o_orderpriority)")
 def deep_equal_join(e):
-    building = e.rows("customer").where("c_mktsegment = 'BUILDING'")
-    return joins.deep_equal(e.rows("customer"), building, ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]).select("c_custkey", "c_name")
+    """Orders whose status and priority are, together, those of an order of the next customer."""
+    shifted = Rows(e.table("orders").withColumn("o_custkey", (F.col("o_custkey") - 1).cast("bigint")))
+    rows = Rows(e.table("orders").withColumn("o_custkey", F.col("o_custkey").cast("bigint")))
+    return joins.deep_equal(rows, shifted, ["o_custkey", "o_orderstatus", "o_orderpriority"]).select("o_orderkey")
 
 
 @query("SELECT n_name, sum(l_extendedprice * (1 - l_discount)) AS revenue FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderdate >= TIMESTAMP '1995-01-01' AND o_orderdate < TIMESTAMP '1996-01-01' GROUP BY 1")
@@ -205,9 +210,9 @@ def set_union(e):
     return ordering.union(e.rows("part").where("p_size < 10").df, e.rows("part").where("p_retailprice > 1500").df, ["p_partkey"]).select("p_partkey")
 
 
-@query("SELECT p_partkey FROM part WHERE p_size < 10 INTERSECT SELECT p_partkey FROM part WHERE p_retailprice > 1200")
+@query("SELECT p_partkey FROM part WHERE p_size < 30 INTERSECT SELECT p_partkey FROM part WHERE p_brand IN ('Brand#11', 'Brand#12', 'Brand#21')")
 def set_intersect(e):
-    return ordering.intersect(e.rows("part").where("p_size < 10").df, e.rows("part").where("p_retailprice > 1200").df, ["p_partkey"]).select("p_partkey")
+    return ordering.intersect(e.rows("part").where("p_size < 30").df, e.rows("part").where("p_brand = ('Brand#11', 'Brand#12', 'Brand#21')").df, ["p_partkey"]).select("p_partkey")
 
 
 @query("SELECT p_partkey FROM part WHERE p_size < 10 EXCEPT SELECT p_partkey FROM part WHERE p_retailprice > 1200")
@@ -229,9 +234,11 @@ def value_set_intersect(e):
 # order and positions
 
 
-@query("SELECT o_orderkey, o_totalprice FROM orders")
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderpriority, o_totalprice DESC, o_orderkey) AS place FROM orders")
 def sort_keys(e):
-    return ordering.sort(e.rows("orders"), "o_orderpriority", ("o_totalprice", {"order": "descending"}), stable=["o_orderkey"]).select("o_orderkey", "o_totalprice")
+    """The place of each order in the sorted sequence, counted in the partitions the sort leaves."""
+    out = ordering.sort(e.rows("orders"), "o_orderpriority", ("o_totalprice", {"order": "descending"}), stable=["o_orderkey"]).select("o_orderkey")
+    return ordering.numbered(out, "place")
 
 
 @query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20")

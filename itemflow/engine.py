@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .plans import columns, values
 
@@ -20,8 +21,10 @@ class Rows:
         return columns.column(expression, self.df, self.variables, self.functions)
 
     def column(self, expression: str) -> Column:
-        """The expression's value: an array for a sequence, else one item or null."""
+        """The expression's value: an array for a sequence, else one item or null.  JSON and values with a zone are text."""
         v = self.value(expression)
+        if values.zoned(v.t) or v.t.kind == "json":
+            return F.transform(values.arr(v), lambda x: values.shown(x, v.t)) if v.many else values.shown(values.one(v), v.t)
         return values.arr(v) if v.many else values.one(v)
 
     def string(self, expression: str) -> Column:

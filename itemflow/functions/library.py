@@ -13,7 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..errors import EngineError, Unsupported
-from ..plans.values import DECIMAL, EMPTY, T, Val, arr, common, ebv, one, seconds_of, spark_type, text, to
+from ..plans.values import DECIMAL, EMPTY, STAMPS, T, Val, arr, common, ebv, instant, json_number, let, local, one, seconds_of, spark_type, text, to, with_zone, zone, zoned
 from . import regex, udfs
 
 FUNCTIONS: dict[str, tuple[int, int | None, Callable]] = {}
@@ -304,6 +304,8 @@ fn("count", 1)(lambda c, e, v: i(F.size(arr(v))))
 
 
 def numbers(c, v: Val) -> Val:
+    if v.t.kind == "json":
+        return Val(F.transform(arr(v), lambda x: json_number(x)), T("double"), many=True)
     return Val(F.transform(arr(v), lambda x: x.cast("double")), T("double"), many=True) if v.t.kind == "untyped" else Val(arr(v), v.t, many=True)
 
 
@@ -344,6 +346,8 @@ def extreme(name: str):
             return EMPTY
         v = numbers(c, v)
         f = F.array_min if name == "min" else F.array_max
+        if zoned(v.t):
+            return Val(f(F.transform(v.col, lambda x: F.struct(instant(x, v.t).alias("at"), x.alias("x")))).getField("x"), v.t)
         if v.t.kind in ("float", "double"):
             return Val(F.when(F.exists(v.col, lambda x: F.isnan(x)), F.lit(float("nan")).cast(spark_type(v.t))).otherwise(f(v.col)), v.t)
         return Val(f(v.col), v.t)
@@ -378,6 +382,9 @@ def sized(v: Val, low: int, high: int | None, code: str) -> Val:
 
 @fn("distinct-values", 1, 2)
 def _distinct(c, e, v, *k):
+    if zoned(v.t):
+        at = F.transform(arr(v), lambda x: instant(x, v.t))
+        return many(F.filter(arr(v), lambda x, n: F.array_position(at, instant(x, v.t)) == n + 1), v.t)
     return EMPTY if v.t.kind == "empty" else many(F.array_distinct(arr(v)), v.t)
 
 
@@ -635,14 +642,14 @@ fn("array:sort", 1, 3)(lambda c, e, a, collation=None, key=None: Val(sorted_item
 
 for _unit, _part in (("year", "YEAR"), ("month", "MONTH"), ("day", "DAY")):
     for _kind in ("date", "dateTime"):
-        fn(f"{_unit}-from-{_kind}", 1)(lambda c, e, v, p=_part: EMPTY if v.t.kind == "empty" else i(F.extract(F.lit(p), one(v))))
+        fn(f"{_unit}-from-{_kind}", 1)(lambda c, e, v, p=_part: EMPTY if v.t.kind == "empty" else i(F.extract(F.lit(p), local(v))))
 for _unit, _part in (("hours", "HOUR"), ("minutes", "MINUTE")):
     for _kind in ("time", "dateTime"):
-        fn(f"{_unit}-from-{_kind}", 1)(lambda c, e, v, p=_part: EMPTY if v.t.kind == "empty" else i(F.extract(F.lit(p), one(v))))
+        fn(f"{_unit}-from-{_kind}", 1)(lambda c, e, v, p=_part: EMPTY if v.t.kind == "empty" else i(F.extract(F.lit(p), local(v))))
 for _kind in ("time", "dateTime"):
-    fn(f"seconds-from-{_kind}", 1)(lambda c, e, v: EMPTY if v.t.kind == "empty" else Val(F.extract(F.lit("SECOND"), one(v)).cast(DECIMAL), T("decimal")))
-for _kind in ("date", "time", "dateTime"):
-    fn(f"timezone-from-{_kind}", 1)(lambda c, e, v: Val(F.lit(None).cast("interval day to second"), T("dayTimeDuration")))  # columns carry no zone
+    fn(f"seconds-from-{_kind}", 1)(lambda c, e, v: EMPTY if v.t.kind == "empty" else Val(F.extract(F.lit("SECOND"), local(v)).cast(DECIMAL), T("decimal")))
+for _kind in STAMPS:
+    fn(f"timezone-from-{_kind}", 1)(lambda c, e, v: EMPTY if v.t.kind == "empty" else Val(F.when(zone(v).isNotNull(), F.make_dt_interval(F.lit(0), F.lit(0), zone(v))), T("dayTimeDuration")))
 
 
 def months_of(v: Val) -> Column:
@@ -665,18 +672,56 @@ fn("days-from-duration", 1)(lambda c, e, v: i(toward_zero(day_seconds(v) / 86400
 fn("hours-from-duration", 1)(lambda c, e, v: i(toward_zero((day_seconds(v) % 86400) / 3600)))
 fn("minutes-from-duration", 1)(lambda c, e, v: i(toward_zero((day_seconds(v) % 3600) / 60)))
 fn("seconds-from-duration", 1)(lambda c, e, v: Val((day_seconds(v) % 60).cast(DECIMAL), T("decimal")))
-fn("dateTime", 2)(lambda c, e, d, t: Val(one(d).cast("timestamp_ntz") + one(t), T("dateTime")))
+@fn("dateTime", 2)
+def _date_time(c, e, d, t):
+    if d.t.kind == "empty" or t.t.kind == "empty":
+        return EMPTY
+    stamp = local(d).cast("timestamp_ntz") + local(t)
+    if not zoned(d.t) and not zoned(t.t):
+        return Val(stamp, T("dateTime"))
+    differ = zone(d) != zone(t)
+    return with_zone("dateTime", stamp, F.when(differ, F.raise_error(F.lit("FORG0008: two zones")).cast("int")).otherwise(F.coalesce(zone(d), zone(t))))
+
+
 fn("current-dateTime", 0)(lambda c, e: Val(F.localtimestamp(), T("dateTime")))
 fn("current-date", 0)(lambda c, e: Val(F.current_date(), T("date")))
 fn("current-time", 0)(lambda c, e: Val(F.make_dt_interval(F.lit(0), F.hour(F.localtimestamp()), F.minute(F.localtimestamp()), F.extract(F.lit("SECOND"), F.localtimestamp())), T("time")))
 fn("implicit-timezone", 0)(lambda c, e: Val(F.make_dt_interval(), T("dayTimeDuration")))
-for _kind in ("dateTime", "date", "time"):
-    fn(f"adjust-{_kind}-to-timezone", 1, 2)(lambda c, e, v, *zone: v)  # a value without a zone keeps its reading
+
+
+def adjusted(kind: str):
+    @fn(f"adjust-{kind}-to-timezone", 1, 2)
+    def build(c, e, v, *to_zone):
+        """The same instant in another zone; a value without one keeps its reading and gets it; no zone: it goes."""
+        if v.t.kind == "empty":
+            return EMPTY
+        if to_zone and to_zone[0].t.kind == "empty":
+            return Val(local(v), T(kind))
+        seconds = seconds_of(one(to_zone[0])) if to_zone else F.lit(0)
+        bad = (F.abs(seconds) > 14 * 3600) | (seconds % 60 != 0)
+        minutes = F.when(bad, F.raise_error(F.lit("FODT0003: no such zone")).cast("int")).otherwise((seconds / 60).cast("int"))
+
+        def moved(x: Column) -> Column:
+            reading = local(Val(x, v.t))
+            shift = F.coalesce(minutes - zone(Val(x, v.t)), F.lit(0)) * 60
+            if kind == "time":
+                total = F.pmod(seconds_of(reading).cast("decimal(20,6)") + shift, F.lit(86400).cast("decimal(20,6)"))
+                return F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), total.cast("decimal(18,6)"))
+            stamp = reading.cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), shift.cast("decimal(18,6)"))
+            return stamp.cast("date") if kind == "date" else stamp
+
+        return with_zone(kind, let(one(v), moved), minutes)
+
+
+for _kind in STAMPS:
+    adjusted(_kind)
 
 
 @fn("parse-ietf-date", 1)
 def _ietf(c, e, v):
-    return Val(udfs.parse_ietf_date(string(v)), T("dateTime"))
+    from ..plans.columns import cast
+
+    return cast(Val(udfs.parse_ietf_date(string(v)), T("string")), "dateTime")
 
 
 def dated(kind: str):
@@ -686,13 +731,15 @@ def dated(kind: str):
             return EMPTY
         if not isinstance(picture.constant, str):
             raise Unsupported("a picture that is not constant")
-        stamp = one(v) if kind != "date" else one(v).cast("timestamp_ntz")
+        stamp = local(v) if kind != "date" else local(v).cast("timestamp_ntz")
         from .pictures import to_pattern
 
         java = to_pattern(picture.constant)
         if java is not None and kind != "time":
             return s(F.date_format(stamp, java))
         lang = rest[0].constant if rest else None
+        if zoned(v.t):
+            return s(udfs.format_datetime(text(v), F.lit(picture.constant), F.lit(lang or "en")))
         return s(udfs.format_datetime(text(v) if kind == "time" else F.date_format(stamp, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit(picture.constant), F.lit(lang or "en")))
 
 
@@ -720,7 +767,41 @@ fn("default-collation", 0)(lambda c, e: Val(F.lit(CODEPOINT), T("string"), const
 fn("default-language", 0)(lambda c, e: Val(F.lit("en"), T("string"), constant="en"))
 fn("system-property", 1)(lambda c, e, v: s(F.lit({"xsl:version": "3.0", "xsl:vendor": "itemflow", "xsl:is-schema-aware": "no", "xsl:supports-serialization": "yes", "xsl:supports-backwards-compatibility": "yes", "xsl:supports-streaming": "no", "xsl:supports-dynamic-evaluation": "yes", "xsl:xpath-version": "3.1"}.get(str(v.constant), ""))))
 fn("error", 0, 3)(lambda c, e, *a: s(F.raise_error(F.concat(F.lit((str(a[0].constant) if a and a[0].constant else "FOER0000") + ": "), string(a[1]) if len(a) > 1 else F.lit("")))))
-fn("parse-json", 1, 2)(lambda c, e, v, *options: Val(F.from_json(string(v), "map<string,string>"), T("map", (T("string"), T("string")))))
-fn("serialize", 1, 2)(lambda c, e, v, *options: s(F.to_json(one(v)) if v.t.kind in ("map", "struct") else F.to_json(one(v)) if v.t.kind == "array" else F.array_join(F.transform(arr(v), lambda x: text(Val(x, v.t))), " ")))
+@fn("parse-json", 1, 2)
+def _parse_json(c, e, v, *options):
+    """A typed JSON value: a variant.  Objects with a key twice are an error, whatever ``duplicates`` says."""
+    chosen = options[0].constant if options and options[0].t.kind == "map" else {}
+    if chosen is None or chosen.get("escape") or chosen.get("liberal") or "fallback" in chosen:
+        raise Unsupported("options of parse-json besides duplicates")
+    if v.t.kind == "empty":
+        return EMPTY
+    return Val(let(F.parse_json(text(v)), lambda x: F.when(~F.is_variant_null(x), x)), T("json"))
+
+
+@fn("serialize", 1, 2)
+def _serialize(c, e, v, *options):
+    chosen = options[0].constant if options and options[0].t.kind == "map" else {}
+    if chosen is None or set(chosen) - {"method"}:
+        raise Unsupported("serialization parameters besides a constant method")
+    method = chosen.get("method", "xml")
+    if method == "json":
+        if v.t.kind == "empty":
+            return s(F.lit("null"))
+        if v.many:
+            raise EngineError("SERE0023", "a sequence as JSON")
+        if v.t.kind in ("map", "array", "struct", "json"):
+            return s(F.coalesce(F.to_json(one(v)), F.lit("null")))
+        plain = F.when(one(v).isNull(), F.lit("null"))
+        return s(plain.otherwise(text(v)) if v.t.numeric or v.t.kind == "boolean" else plain.otherwise(F.substring(F.to_json(F.array(text(v))), F.lit(2), F.length(F.to_json(F.array(text(v)))) - 2)))
+    if method not in ("xml", "text"):
+        raise Unsupported(f"method {method} in a row")
+    if v.t.kind in ("map", "json") or v.call:
+        raise EngineError("SENR0001", f"a {v.t.kind} by the {method} method")
+    if v.t.kind == "array":
+        v = Val(one(v), v.t.args[0], many=True)
+    escaped = lambda x: F.replace(F.replace(F.replace(x, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")) if method == "xml" else x
+    return s(F.array_join(F.transform(arr(v), lambda x: escaped(text(Val(x, v.t)))), " "))
+
+
 fn("generate-id", 0, 1)(lambda c, e, *a: s(F.concat(F.lit("N"), F.hex(F.xxhash64(*[one(v) for v in a])))))
 fn("local-name-from-QName", 1)(lambda c, e, v: s(F.regexp_replace(text(v), "^.*:", "")))

@@ -9,7 +9,7 @@ import urllib.parse
 
 import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, TimestampType
+from pyspark.sql.types import StringType
 
 from . import pictures
 
@@ -56,11 +56,13 @@ def resolved(relative: str | None, base: str) -> str | None:
     return urllib.parse.urljoin(base, relative) if base else relative
 
 
-def ietf(s: str | None) -> datetime.datetime | None:
+def ietf(s: str | None) -> str | None:
+    """The ISO form of an IETF date, with its zone (GMT where it says none)."""
     if not s or not s.strip():
         return None
     found = email.utils.parsedate_to_datetime(s.strip())
-    return found.astimezone(datetime.UTC).replace(tzinfo=None) if found.tzinfo else found
+    found = found if found.tzinfo else found.replace(tzinfo=datetime.UTC)
+    return found.isoformat().replace("+00:00", "Z")
 
 
 @F.pandas_udf(StringType())
@@ -93,13 +95,9 @@ def resolve_uri(c: pd.Series, base: pd.Series) -> pd.Series:
     return pd.Series([resolved(a, x) for a, x in zip(c, base, strict=True)])
 
 
-@F.pandas_udf(TimestampType())
-def _ietf_stamp(c: pd.Series) -> pd.Series:
-    return pd.to_datetime(pd.Series([ietf(a) for a in c]))
-
-
-def parse_ietf_date(c):
-    return _ietf_stamp(c).cast("timestamp_ntz")
+@F.pandas_udf(StringType())
+def parse_ietf_date(c: pd.Series) -> pd.Series:
+    return c.map(ietf)
 
 
 @F.pandas_udf(StringType())

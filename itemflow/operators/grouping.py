@@ -12,14 +12,14 @@ from pyspark.sql import functions as F
 
 from ..engine import Rows
 from ..errors import EngineError
-from ..plans.values import Val, arr, ebv, one, spark_type, text
+from ..plans.values import Val, arr, comparable, ebv, one, spark_type, text
 
 GROUP = "group_no"
 
 
 def key_column(v: Val) -> Column:
     """A grouping key: equal for equal values; NaN equals itself, -0 equals 0."""
-    c = one(v)
+    c = comparable(v)
     if v.t.kind in ("float", "double"):
         return F.when(c == 0, F.lit(0.0).cast(spark_type(v.t))).otherwise(c)
     return c

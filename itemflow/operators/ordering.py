@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..engine import Rows
 from ..functions import udfs
-from ..plans.values import ebv, one, text
+from ..plans.values import comparable, ebv, one, text
 
 # sorting
 
@@ -24,7 +24,7 @@ def sort_columns(rows: Rows, keys: list[tuple]) -> list[Column]:
     for key in keys:
         expression, options = key if isinstance(key, tuple) else (key, {})
         v = rows.value(expression)
-        c = one(v)
+        c = comparable(v)
         if options.get("data_type") == "number" and v.t.text:
             c = F.coalesce(c.try_cast("double"), F.lit(float("nan")))
             rank = F.when(F.isnan(c), 1).otherwise(2)
@@ -48,6 +48,20 @@ def sort(rows: Rows, *keys, stable: list[str] | None = None) -> DataFrame:
     return rows.df.orderBy(*sort_columns(rows, list(keys)), *[F.col(c) for c in stable or []])
 
 
+def numbered(ordered: DataFrame, name: str) -> DataFrame:
+    """position() over a whole sorted table: rows are counted in each partition of it, and a partition's rows start
+    after those before, so no task sees more than its partition.  The sorted table is written once, as both need it."""
+    from ..scratch import materialize
+
+    at = F.monotonically_increasing_id()
+    placed = materialize(ordered.withColumn("__at", at), "sorted")
+    part = F.shiftright("__at", 33)
+    counts = placed.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))  # a row for each partition
+    before = counts.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
+    place = F.col("__before") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return placed.withColumn("__part", part).join(F.broadcast(before), "__part").withColumn(name, place.cast("bigint")).drop("__part", "__at", "__before")
+
+
 def top(rows: Rows, n: int, *keys, stable: list[str] | None = None) -> DataFrame:
     """sort(...)[position() le n]: each task keeps n rows, no full sort."""
     return sort(rows, *keys, stable=stable).limit(n)

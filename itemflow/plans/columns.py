@@ -8,6 +8,7 @@ Catalyst plans, prunes and generates code for.  What has no column form raises `
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
@@ -15,7 +16,8 @@ from pyspark.sql import functions as F
 
 from ..errors import EngineError, Unsupported
 from . import xpath as X
-from .values import DECIMAL, EMPTY, INTEGERS, NUMERIC, STRINGS, T, Val, arr, common, ebv, of_spark, one, spark_type, text, to
+from .values import DECIMAL, EMPTY, INTEGERS, NUMERIC, STAMPS, STRINGS, T, Val, arr, common, ebv, instant, json_number, json_text, let, local, of_spark, one, spark_type, text, to, with_zone, zone, zoned
+
 
 @dataclass(frozen=True)
 class Env:
@@ -275,6 +277,8 @@ class Compiler:
     def as_number(self, v: Val) -> Val:
         if v.t.kind == "untyped":
             return Val(one(v).cast("double"), T("double"))
+        if v.t.kind == "json":
+            return Val(json_number(one(v)), T("double"))
         return v
 
     def _binary(self, e: X.Binary, env: Env) -> Val:
@@ -318,6 +322,10 @@ class Compiler:
     def temporal(self, op: str, a: Val, b: Val) -> Val:
         x, y, k, l = one(a), one(b), a.t.kind, b.t.kind
         stamps, spans = ("date", "dateTime", "time"), ("dayTimeDuration", "yearMonthDuration")
+        if k in stamps and zoned(a.t) and l in spans:
+            return with_zone(k, self.temporal(op, Val(local(a), T(k)), b).col, zone(a))
+        if k == l and k in stamps and op == "-" and (zoned(a.t) or zoned(b.t)):
+            return Val(instant(x, a.t) - instant(y, b.t), T("dayTimeDuration"))
         if k in stamps and l in spans and op in "+-" and not (k == "time" and l == "yearMonthDuration"):
             out = x + y if op == "+" else x - y
             return Val(out.cast("date") if k == "date" else out, T(k))
@@ -361,11 +369,16 @@ class Compiler:
             return Val(F.exists(arr(a), lambda x: test(x, b.col)), T("boolean"))
         if not a.many:
             return Val(F.exists(arr(b), lambda y: test(a.col, y)), T("boolean"))
-        if e.op == "=" and a.t == b.t and a.t.kind not in ("float", "double"):
+        if e.op == "=" and a.t == b.t and a.t.kind not in ("float", "double", "json") and not zoned(a.t):
             return Val(F.coalesce(F.arrays_overlap(arr(a), arr(b)), F.lit(False)), T("boolean"))
         return Val(F.exists(arr(a), lambda x: F.exists(arr(b), lambda y: test(x, y))), T("boolean"))
 
     def compared(self, op: str, x: Column, s: T, y: Column, t: T) -> Column:
+        if s.kind == "json" or t.kind == "json":
+            to_ = lambda c, other: (json_number(c), T("double")) if other.numeric else (F.try_variant_get(c, "$", "boolean"), T("boolean")) if other.kind == "boolean" else (json_text(c), T("string"))
+            (x, s), (y, t) = to_(x, t) if s.kind == "json" else (x, s), to_(y, s) if t.kind == "json" else (y, t)
+        if s.kind == t.kind and s.kind in STAMPS and (zoned(s) or zoned(t)):
+            x, y = instant(x, s), instant(y, t)
         if s.kind == "untyped" and t.numeric:
             x, s = x.cast("double"), T("double")
         elif t.kind == "untyped" and s.numeric:
@@ -415,6 +428,7 @@ class Compiler:
     # maps, arrays, functions
 
     def _mapcons(self, e: X.MapCons, env: Env) -> Val:
+        constant = {k.value: v.value for k, v in e.entries if isinstance(k, X.Literal) and isinstance(v, X.Literal)}
         if not e.entries:
             return Val(F.create_map().cast("map<string,string>"), T("map", (T("string"), T("string"))))
         pairs = [(self.compile(k, env), self.compile(v, env)) for k, v in e.entries]
@@ -425,7 +439,7 @@ class Compiler:
         value = T("array", (vt,)) if many else vt
         keys = F.array(*[one(to(k, kt)) for k, _ in pairs])
         values = F.array(*[(arr(to(v, vt)) if many else one(to(v, vt)).cast(spark_type(vt))) for _, v in pairs])
-        return Val(F.map_from_arrays(keys, values), T("map", (kt, value)))
+        return Val(F.map_from_arrays(keys, values), T("map", (kt, value)), constant=constant if len(constant) == len(e.entries) else None)
 
     def _arraycons(self, e: X.ArrayCons, env: Env) -> Val:
         vals = [self.compile(m, env) for m in e.members]
@@ -451,10 +465,27 @@ class Compiler:
             if e.key is None:
                 return self.unwrapped_items(one(base), base.t.args[0])
             return self.unwrapped(F.element_at(one(base), one(self.compile(e.key, env)).cast("int")), base.t.args[0])
+        if base.t.kind == "json":
+            return self.json_member(one(base), self.compile(e.key, env) if e.key is not None else None)
         if base.t.kind == "struct" and isinstance(e.key, X.Literal):
             return self.member(base, str(e.key.value))
         raise EngineError("XPTY0004", f"lookup in {base.t.kind}")
 
+    def json_member(self, c: Column, key: Val | None) -> Val:
+        """``?key`` of a JSON object, ``?n`` of a JSON array, ``?*`` of either; JSON's null is the empty sequence."""
+        items = lambda x: F.try_variant_get(x, "$", "array<variant>")
+        entries = lambda x: F.try_variant_get(x, "$", "map<string,variant>")
+        there = lambda x: x.isNotNull() & ~F.is_variant_null(x)
+        if key is None:
+            return Val(F.filter(let(c, lambda x: F.coalesce(items(x), F.map_values(entries(x)), F.array().cast("array<variant>"))), there), T("json"), many=True)
+        if key.t.kind == "integer":
+            n = one(key).cast("int")
+            outside = F.raise_error(F.lit("FOAY0001: no such member")).cast("variant")
+            found = let(items(c), lambda x: F.when(x.isNotNull() & ((n < 1) | (n > F.size(x))), outside).otherwise(F.get(x, n - 1)))
+        else:
+            found = F.try_element_at(entries(c), text(key))
+        return Val(let(found, lambda x: F.when(there(x), x)), T("json"))
+
     def unwrapped(self, c: Column, t: T) -> Val:
         return Val(c, t.args[0], many=True) if t.kind == "array" else Val(c, t)
 
@@ -510,12 +541,25 @@ class Compiler:
         if found is None:
             raise EngineError("XPST0017", f"{name}#{len(args)}")
         low, high, build = found
+        if name.startswith(("map:", "array:")) and args:
+            args = [json_typed(a, name) if a.t.kind == "json" and n == 0 else a for n, a in enumerate(args)]
+        if name in ("sort", "array:sort", "deep-equal", "fold-left", "fold-right") and any(zoned(a.t) for a in args):
+            raise Unsupported(f"{name} of values with a zone")
         if not low <= len(args) <= (high if high is not None else len(args)):
             raise EngineError("XPST0017", f"{name}#{len(args)}")
         return build(self, env, *args)
 
 
+def json_typed(v: Val, name: str) -> Val:
+    """A JSON value as the argument of a map or array function."""
+    if name.startswith("map:"):
+        return Val(F.try_variant_get(one(v), "$", "map<string,variant>"), T("map", (T("string"), T("json"))))
+    return Val(F.try_variant_get(one(v), "$", "array<variant>"), T("array", (T("json"),)))
+
+
 def instance(t: T, wanted: X.SeqType) -> bool:
+    if t.kind == "json" and wanted.kind != "item":
+        raise Unsupported("instance of on a JSON value")
     if wanted.kind in ("item", "empty"):
         return wanted.kind == "item"
     if wanted.kind in ("map", "array"):
@@ -536,10 +580,16 @@ def instance(t: T, wanted: X.SeqType) -> bool:
     return t.kind == name or name == "duration" and t.kind.endswith("Duration")
 
 
+#: The zone at the end of a date or time.
+ZONE_PATTERN = r"(Z|[+-](?:0\d|1[0-3]):[0-5]\d|[+-]14:00)$"
+
+
 def cast(v: Val, name: str, soft: bool = False) -> Val:
     """v as the built-in type; soft: null where the cast fails, else an error with the standard's code."""
     if v.t.kind == "empty":
         return EMPTY
+    if v.t.kind == "json":
+        v = Val(json_number(one(v)), T("double")) if name in INTEGERS or name in NUMERIC else Val(json_text(one(v)), T("string"))
     c, k = one(v), v.t.kind
     failed = lambda kind, code="FORG0001": F.lit(None).cast(kind) if soft else F.raise_error(F.concat(F.lit(f"{code}: cannot cast to xs:{name}: "), F.coalesce(text(v), F.lit("")))).cast(kind)
     if name in STRINGS:
@@ -585,10 +635,12 @@ def cast(v: Val, name: str, soft: bool = False) -> Val:
                 ok = ok & (out <= high)
             out = F.when(out.isNull() | ok, out).otherwise(failed(target))
         return Val(out, T(kind))
-    if name in ("date", "dateTime", "time"):
+    if name in STAMPS:
         target = spark_type(T(name))
         if k == name:
             return v
+        if k in ("date", "dateTime") and zoned(v.t):
+            return with_zone(name, cast(Val(local(v), T(k)), name).col, zone(v))
         if k == "dateTime" and name == "date":
             return Val(c.cast("date"), T("date"))
         if k == "dateTime" and name == "time":
@@ -598,13 +650,19 @@ def cast(v: Val, name: str, soft: bool = False) -> Val:
         if not v.t.text:
             raise EngineError("XPTY0004", f"{k} as {name}")
         s = F.trim(c)
-        pattern = {"date": r"^-?\d{4,}-\d\d-\d\d$", "dateTime": r"^-?\d{4,}-\d\d-\d\dT\d\d:\d\d:\d\d(\.\d+)?$", "time": r"^\d\d:\d\d:\d\d(\.\d+)?$"}[name]
+        offset = F.regexp_extract(s, ZONE_PATTERN, 1)
+        body = F.regexp_replace(s, ZONE_PATTERN, "")
+        pattern = {"date": r"^-?\d{4,}-\d\d-\d\d$", "dateTime": r"^-?\d{4,}-\d\d-\d\dT\d\d:\d\d:\d\d(\.\d+)?$", "time": r"^([01]\d|2[0-3]):[0-5]\d:[0-5]\d(\.\d+)?$"}[name]
         if name == "time":
-            part = lambda n: F.split_part(s, F.lit(":"), F.lit(n))
-            valid = s.rlike(r"^([01]\d|2[0-3]):[0-5]\d:[0-5]\d(\.\d+)?$")
+            part = lambda n: F.split_part(body, F.lit(":"), F.lit(n))
             made = F.make_dt_interval(F.lit(0), part(1).try_cast("int"), part(2).try_cast("int"), part(3).try_cast("decimal(18,6)"))
-            return Val(F.when(c.isNull(), F.lit(None).cast(target)).when(valid, made).otherwise(failed(target)), T("time"))
-        return Val(F.when(c.isNull(), F.lit(None).cast(target)).when(s.rlike(pattern) & s.try_cast(target).isNotNull(), s.try_cast(target)).otherwise(failed(target)), T(name))
+        else:
+            made = body.try_cast(target)
+        reading = F.when(c.isNull(), F.lit(None).cast(target)).when(body.rlike(pattern) & made.isNotNull(), made).otherwise(failed(target))
+        if isinstance(v.constant, str) and not re.search(ZONE_PATTERN, v.constant.strip()):
+            return Val(reading, T(name))
+        minutes = lambda x: F.substring(x, 2, 2).try_cast("int") * 60 + F.substring(x, 5, 2).try_cast("int")
+        return with_zone(name, reading, let(offset, lambda x: F.when(x == "Z", 0).when(x.startswith("-"), -minutes(x)).otherwise(minutes(x))))
     if name in ("dayTimeDuration", "yearMonthDuration"):
         target = spark_type(T(name))
         if k == name:

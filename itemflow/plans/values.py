@@ -15,7 +15,7 @@ DECIMAL = "decimal(38,18)"
 SPARK = {
     "string": "string", "untyped": "string", "anyURI": "string", "integer": "bigint", "decimal": DECIMAL, "float": "float", "double": "double",
     "boolean": "boolean", "date": "date", "dateTime": "timestamp_ntz", "time": "interval day to second", "yearMonthDuration": "interval year to month", "dayTimeDuration": "interval day to second",
-    "hexBinary": "binary", "base64Binary": "binary",
+    "hexBinary": "binary", "base64Binary": "binary", "json": "variant",
 }
 NUMERIC = ("integer", "decimal", "float", "double")
 TEXT = ("string", "untyped", "anyURI")
@@ -105,10 +105,77 @@ def spark_type(t: T) -> str:
         return "string"
     if t.kind not in SPARK:
         raise Unsupported(f"type {t.kind}")
-    return SPARK[t.kind]
+    return f"struct<v:{SPARK[t.kind]},z:int>" if zoned(t) else SPARK[t.kind]
 
 
 EMPTY = Val(None, T("empty"))
+#: Dates and times that may have a zone: a struct of the local reading and the offset in minutes (null: none).
+ZONED = ("zoned",)
+STAMPS = ("date", "dateTime", "time")
+
+
+def let(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f of c, which is evaluated once however often f names it."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
+def zoned(t: T) -> bool:
+    return t.args == ZONED
+
+
+def local(v: Val) -> Column:
+    """The reading of a date or time, whatever its zone."""
+    return one(v).getField("v") if zoned(v.t) else one(v)
+
+
+def zone(v: Val) -> Column:
+    """Offset in minutes; null for none."""
+    return one(v).getField("z") if zoned(v.t) else F.lit(None).cast("int")
+
+
+def with_zone(kind: str, reading: Column, offset: Column) -> Val:
+    return Val(let(F.struct(reading.alias("v"), offset.cast("int").alias("z")), lambda x: F.when(x.getField("v").isNotNull(), x)), T(kind, ZONED))
+
+
+def instant(c: Column, t: T) -> Column:
+    """What dates and times compare by: the reading in UTC, which is the implicit zone."""
+    base = c.getField("v") if zoned(t) else c
+    base = base.cast("timestamp_ntz") if t.kind == "date" else base
+    return base - F.make_dt_interval(F.lit(0), F.lit(0), F.coalesce(c.getField("z"), F.lit(0))) if zoned(t) else base
+
+
+def comparable(v: Val) -> Column:
+    """The item as grouping and sorting compare it."""
+    return instant(one(v), v.t) if zoned(v.t) else json_text(one(v)) if v.t.kind == "json" else one(v)
+
+
+def json_text(c: Column) -> Column:
+    """String of a JSON value: strings, numbers as doubles and booleans; objects and arrays have none."""
+
+    def of(x: Column, kind: Column) -> Column:
+        plain = F.try_variant_get(x, "$", "string")
+        return (
+            F.when(x.isNull() | (kind == "VOID"), F.lit(None).cast("string")).when(kind == "STRING", plain).when(kind == "BOOLEAN", plain)
+            .when(_composite(kind), F.raise_error(F.lit("FOTY0014: a map or array has no string value")).cast("string"))
+            .otherwise(let(F.try_variant_get(x, "$", "double"), lambda n: number(n, "double")))
+        )
+
+    return let(c, lambda x: let(F.schema_of_variant(x), lambda kind: of(x, kind)))
+
+
+def _composite(kind: Column) -> Column:
+    return kind.startswith("OBJECT") | kind.startswith("ARRAY")
+
+
+def json_number(c: Column) -> Column:
+    return F.try_variant_get(c, "$", "double")
+
+
+def shown(c: Column, t: T) -> Column:
+    """An item as a result column has it: zoned values and JSON as text."""
+    if t.kind == "json":
+        return let(c, lambda x: F.when(_composite(F.schema_of_variant(x)), F.to_json(x)).otherwise(json_text(x)))
+    return text(Val(c, t)) if zoned(t) else c
 
 
 def one(v: Val) -> Column:
@@ -149,6 +216,15 @@ def ebv(v: Val) -> Column:
         return F.coalesce((v.col != 0) & ~F.isnan(v.col), F.lit(False))
     if v.t.text:
         return F.coalesce(F.length(v.col) > 0, F.lit(False))
+    if v.t.kind == "json":
+        none = F.raise_error(F.lit("FORG0006: no effective boolean value for a map or array")).cast("boolean")
+
+        def holds(x: Column, kind: Column) -> Column:
+            real = let(json_number(x), lambda n: F.coalesce((n != 0) & ~F.isnan(n), F.lit(False)))
+            said = F.when(x.isNull() | (kind == "VOID"), False).when(kind == "BOOLEAN", F.try_variant_get(x, "$", "boolean"))
+            return said.when(kind == "STRING", F.length(F.try_variant_get(x, "$", "string")) > 0).when(_composite(kind), none).otherwise(real)
+
+        return let(v.col, lambda x: let(F.schema_of_variant(x), lambda kind: holds(x, kind)))
     raise EngineError("FORG0006", f"no effective boolean value for {v.t.kind}")
 
 
@@ -158,6 +234,8 @@ def common(a: T, b: T) -> T:
         return a
     if a.kind == "empty":
         return b
+    if a.kind == b.kind and a.kind in STAMPS:
+        return T(a.kind, ZONED)
     if a.numeric and b.numeric:
         return T(NUMERIC[max(NUMERIC.index(a.kind), NUMERIC.index(b.kind))])
     if a.text and b.text:
@@ -173,6 +251,9 @@ def to(v: Val, t: T) -> Val:
     """v with its items cast to the Spark type of t, a wider type of the same family."""
     if v.t == t or v.t.kind == "empty":
         return replace(v, t=t, col=F.lit(None).cast(f"array<{spark_type(t)}>" if v.many else spark_type(t))) if v.t.kind == "empty" else v
+    if zoned(t):
+        widened = lambda c: with_zone(t.kind, c, F.lit(None)).col
+        return replace(v, t=t, col=F.transform(v.col, widened) if v.many else widened(v.col))
     target = spark_type(t)
     return replace(v, t=t, col=v.col.cast(f"array<{target}>" if v.many else target))
 
@@ -203,6 +284,12 @@ def text(v: Val) -> Column:
         return c
     if v.t.numeric:
         return number(c, k)
+    if k == "json":
+        return json_text(c)
+    if zoned(v.t):
+        two = lambda x: F.lpad(x.cast("int").cast("string"), 2, "0")
+        offset = lambda z: F.when(z.isNull(), "").when(z == 0, "Z").otherwise(F.concat(F.when(z < 0, "-").otherwise("+"), two(F.floor(F.abs(z) / 60)), F.lit(":"), two(F.abs(z) % 60)))
+        return let(c, lambda x: F.concat(text(Val(x.getField("v"), T(k))), offset(x.getField("z"))))
     if k == "boolean":
         return c.cast("string")
     if k == "date":
@@ -210,11 +297,14 @@ def text(v: Val) -> Column:
     if k == "dateTime":
         return F.regexp_replace(F.regexp_replace(F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), r"(\.\d*?)0+$", "$1"), r"\.$", "")
     if k == "time":  # held as the time since midnight
-        total = seconds_of(c)
-        whole = F.floor(total).cast("bigint")
         two = lambda x: F.lpad(x.cast("bigint").cast("string"), 2, "0")
-        rest = number((total - whole).cast(DECIMAL), "decimal")
-        return F.concat(two(whole / 3600), F.lit(":"), two((whole % 3600) / 60), F.lit(":"), two(whole % 60), F.when(total > whole, F.substring(rest, 2, 30)).otherwise(""))
+
+        def clock(total: Column) -> Column:
+            whole = F.floor(total).cast("bigint")
+            rest = number((total - whole).cast(DECIMAL), "decimal")
+            return F.concat(two(whole / 3600), F.lit(":"), two((whole % 3600) / 60), F.lit(":"), two(whole % 60), F.when(total > whole, F.substring(rest, 2, 30)).otherwise(""))
+
+        return let(seconds_of(c), clock)
     if k == "hexBinary":
         return F.hex(c)
     if k == "base64Binary":
@@ -234,12 +324,16 @@ def seconds_of(c: Column) -> Column:
 
 
 def duration_text(c: Column) -> Column:
-    total = seconds_of(c)
-    s = F.abs(total)
-    whole = F.floor(s).cast("bigint")
-    d, h, m = (whole / 86400).cast("bigint"), ((whole % 86400) / 3600).cast("bigint"), ((whole % 3600) / 60).cast("bigint")
-    rest = (s - (d * 86400 + h * 3600 + m * 60)).cast(DECIMAL)
     part = lambda x, unit: F.when(x > 0, F.concat(x.cast("string"), F.lit(unit))).otherwise("")
-    sec = F.when(rest > 0, F.concat(number(rest, "decimal"), F.lit("S"))).otherwise("")
-    clock = F.concat(part(h, "H"), part(m, "M"), sec)
-    return F.when(total == 0, "PT0S").otherwise(F.concat(F.when(total < 0, "-").otherwise(""), F.lit("P"), part(d, "D"), F.when(clock != "", F.concat(F.lit("T"), clock)).otherwise("")))
+
+    def of(total: Column) -> Column:
+        s = F.abs(total)
+        whole = F.floor(s).cast("bigint")
+        d, h, m = (whole / 86400).cast("bigint"), ((whole % 86400) / 3600).cast("bigint"), ((whole % 3600) / 60).cast("bigint")
+        rest = (s - (d * 86400 + h * 3600 + m * 60)).cast(DECIMAL)
+        sec = let(rest, lambda r: F.when(r > 0, F.concat(number(r, "decimal"), F.lit("S"))).otherwise(""))
+        clock = F.concat(part(h, "H"), part(m, "M"), sec)
+        timed = let(clock, lambda x: F.when(x != "", F.concat(F.lit("T"), x)).otherwise(""))
+        return F.when(total == 0, "PT0S").when(total.isNotNull(), F.concat(F.when(total < 0, "-").otherwise(""), F.lit("P"), part(d, "D"), timed))
+
+    return let(c, lambda x: let(seconds_of(x), of))

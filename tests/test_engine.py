@@ -236,3 +236,18 @@ def test_iterate_state(spark):
     got = ordering.iterate(rows, ["p"], ["i"], {"s": 0}, lambda r, s: ({"s": s["s"] + r["i"]}, {"p": r["p"], "i": r["i"], "s": s["s"] + r["i"]}, r["i"] < 3), "p int, i int, s int").collect()
     assert sorted((r.p, r.i, r.s) for r in got) == [(p, i, i * (i + 1) // 2) for p in range(3) for i in range(4)]
     assert ordering.accumulator(rows, ["p"], ["i"], "i").where(F.col("value_after") != F.col("value_before") + F.col("i")).count() == 0
+
+
+def test_zones_and_json_in_columns(spark, data):
+    """Zoned text in a column, zones of both kinds in one column, and typed JSON; errors keep their codes."""
+    df = spark.createDataFrame([(1, "2024-01-01T00:30:00Z", '{"a": [1, "x", null], "b": {"c": 2.5}}'), (2, "2023-12-31T19:30:00-05:00", "[1]"), (3, "2024-01-01T00:30:00", None), (4, None, "null")], "id int, at string, doc string")
+    rows = Rows(df)
+    got = rows.select(id="id", same="xs:dateTime(at) = xs:dateTime('2024-01-01T00:30:00Z')", day="string(xs:date(xs:dateTime(at)))", zone="string(timezone-from-dateTime(xs:dateTime(at)))", value="xs:dateTime(at)").orderBy("id").collect()
+    assert [tuple(r) for r in got] == [(1, True, "2024-01-01Z", "PT0S", "2024-01-01T00:30:00Z"), (2, True, "2023-12-31-05:00", "-PT5H", "2023-12-31T19:30:00-05:00"), (3, True, "2024-01-01", "", "2024-01-01T00:30:00"), (4, False, "", "", None)]
+    json = rows.select(id="id", one="parse-json(doc)?a?1", c="parse-json(doc)?b?c + 1", n="count(parse-json(doc)?*)", raw="parse-json(doc)").orderBy("id").collect()
+    assert [tuple(r) for r in json] == [(1, "1", 3.5, 2, '{"a":[1,"x",null],"b":{"c":2.5}}'), (2, None, None, 1, "[1]"), (3, None, None, 0, None), (4, None, None, 0, None)]
+    grouped = grouping.group_by(rows.where("exists(at)"), {"instant": "xs:dateTime(at)"}, {"n": ("count", ".")}).collect()
+    assert [r.n for r in grouped] == [3]
+    for bad, code in (("serialize(map{'a': 1})", "SENR0001"), ("adjust-dateTime-to-timezone(xs:dateTime(at), xs:dayTimeDuration('PT15H'))", "FODT0003"), ("string(parse-json(doc))", "FOTY0014"), ("xs:dateTime(concat(at, 'x'))", "FORG0001"), ("dateTime(xs:date('2024-01-01Z'), xs:time('10:00:00+01:00'))", "FORG0008")):
+        with pytest.raises(Exception, match=code):
+            rows.select(x=bad).collect()
