@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..errors import EngineError, Unsupported
 from ..plans.values import DECIMAL, EMPTY, STAMPS, T, Val, arr, common, ebv, instant, json_number, let, local, one, seconds_of, spark_type, text, to, with_zone, zone, zoned
-from . import regex, udfs
+from . import collations, regex, udfs
 
 FUNCTIONS: dict[str, tuple[int, int | None, Callable]] = {}
 
@@ -97,6 +97,10 @@ def collated(v: Val, collation: tuple) -> Column:
     name = str(collation[0].constant)
     if name == ASCII:
         return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    if name in collations.COLUMNS:
+        return collations.COLUMNS[name](c)
+    if name in collations.KEYS:
+        return udfs.keyed_by(collations.KEYS[name])(c)
     if "/UCA" in name:
         return udfs.collation_text(c, F.lit(name))
     raise EngineError("FOCH0002", name)

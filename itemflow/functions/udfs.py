@@ -90,6 +90,16 @@ def collation_text(c: pd.Series, name: pd.Series) -> pd.Series:
     return pd.Series([collation_key(a, n) for a, n in zip(c, name, strict=True)])
 
 
+def keyed_by(key):
+    """The column of a caller's collation key."""
+
+    def run(c: pd.Series) -> pd.Series:
+        return c.map(key, na_action="ignore")
+
+    run.__annotations__ = {"c": pd.Series, "return": pd.Series}
+    return F.pandas_udf(run, StringType())
+
+
 @F.pandas_udf(StringType())
 def resolve_uri(c: pd.Series, base: pd.Series) -> pd.Series:
     return pd.Series([resolved(a, x) for a, x in zip(c, base, strict=True)])

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..engine import Rows
-from ..functions import udfs
+from ..functions import collations, udfs
 from ..plans.values import comparable, ebv, one, text
 
 # sorting
@@ -37,7 +37,8 @@ def sort_columns(rows: Rows, keys: list[tuple]) -> list[Column]:
             name = options.get("collation") or "http://www.w3.org/2013/collation/UCA"
             if options.get("case_order") == "upper-first":
                 name += ("?" if "?" not in name else ";") + "caseFirst=upper"
-            c = F.lower(c) if "html-ascii" in name else udfs.collation_text(F.coalesce(c, F.lit("")), F.lit(name))
+            own = collations.COLUMNS.get(name) or (udfs.keyed_by(collations.KEYS[name]) if name in collations.KEYS else None)
+            c = own(c) if own else F.lower(c) if "html-ascii" in name else udfs.collation_text(F.coalesce(c, F.lit("")), F.lit(name))
         down = options.get("order") == "descending"
         out += [rank.desc(), c.desc_nulls_last()] if down else [rank.asc(), c.asc_nulls_first()]
     return out

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import EngineError
+from ..functions import collations
 
 TRANSFORMED = "doc_id long, result string, results map<string,string>, messages array<string>, error string"
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("result", pa.string()), ("results", pa.map_(pa.string(), pa.string())), ("messages", pa.list_(pa.string())), ("error", pa.string())])
@@ -40,10 +41,13 @@ def transform(df: DataFrame, key: str, text: str, stylesheet: str, kind: str = "
     """The stylesheet on each document of a column: doc_id, result, results, messages, error.
 
     kind: xml, html, json or none (no source: the initial template runs for each row).  modules: texts of
-    imported and included modules and packages by URI; documents: of what doc() may read.  Nothing else is
+    imported and included modules and packages by URI; documents: of what doc() may read.  Either is a mapping or a
+    resolver, which runs in the workers: URI to text or None (``sources.resolvers`` has one for HTTP).  Nothing else is
     reachable.  template, mode, function: where to start.  params: values of stylesheet parameters.
     """
 
+    own = collations.known()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from ..sources.documents import parser
         from .serialize import serialize
@@ -51,26 +55,30 @@ def transform(df: DataFrame, key: str, text: str, stylesheet: str, kind: str = "
         from .tree import parse_xml, strip_space
 
         sys.setrecursionlimit(max(sys.getrecursionlimit(), 20_000))
+        collations.KEYS.update(own)
+
+        def text_at(source, uri: str, code: str) -> str:
+            """From a mapping, or from a resolver of the caller: uri to text, None for what isn't there."""
+            found = source(uri) if callable(source) else (source or {}).get(uri)
+            if found is None:
+                raise EngineError(code, uri)
+            return found
 
         def module(uri: str) -> str:
-            if uri not in (modules or {}):
-                raise EngineError("XTSE0165", uri)
-            return modules[uri]
+            return text_at(modules, uri, "XTSE0165")
 
         sheet = SheetCompiler(module, {k: [v] for k, v in (params or {}).items()}).compile(stylesheet)
         parse = parser(kind) if kind != "none" else None
         loaded: dict = {}
 
         def document(uri: str):
-            if uri not in (documents or {}):
-                raise EngineError("FODC0002", uri)
             if uri not in loaded:
-                loaded[uri] = parse_xml(documents[uri], uri)
+                loaded[uri] = parse_xml(text_at(documents, uri, "FODC0002"), uri)
             return loaded[uri]
 
         def one(value: str | None):
             source = parse(value) if parse is not None and value is not None else None
-            r = Run(sheet, source, {k: v if isinstance(v, list) else [v] for k, v in (params or {}).items()}, document, lambda uri, encoding: (documents or {})[uri], None, environment, dynamic)
+            r = Run(sheet, source, {k: v if isinstance(v, list) else [v] for k, v in (params or {}).items()}, document, lambda uri, encoding: text_at(documents, uri, "FOUT1170"), None, environment, dynamic)
             strip = whitespace_stripper(sheet, r.rt)
             if strip and source is not None:
                 strip_space(source, strip)
@@ -92,6 +100,8 @@ def transform(df: DataFrame, key: str, text: str, stylesheet: str, kind: str = "
 def xpath(df: DataFrame, key: str, text: str, expression: str, kind: str = "xml", namespaces: dict | None = None, variables: dict | None = None, strict: bool = False) -> DataFrame:
     """The expression on each document: doc_id, items (their string values, maps and arrays as JSON), error."""
 
+    own = collations.known()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from ..plans import xpath as X
         from ..sources.documents import parser
@@ -100,6 +110,7 @@ def xpath(df: DataFrame, key: str, text: str, expression: str, kind: str = "xml"
         from .serialize import Output, serialize
 
         sys.setrecursionlimit(max(sys.getrecursionlimit(), 20_000))
+        collations.KEYS.update(own)
         program, parse = Compiler(Static(namespaces)).compile(X.parse(expression)), parser(kind)
         bound = {k: v if isinstance(v, list) else [v] for k, v in (variables or {}).items()}
 

@@ -184,3 +184,108 @@ def test_dtd_types_and_entities():
     source = '<!DOCTYPE r [<!NOTATION gif SYSTEM "gif"><!ENTITY pic SYSTEM "p.gif" NDATA gif><!ATTLIST e key ID #IMPLIED to IDREF #IMPLIED>]><r><e key="a"/><e to="a"/></r>'
     out, _ = run(root("<xsl:value-of select=\"count(id('a')), count(idref('a')), unparsed-entity-uri('pic')\"/>"), source)
     assert out == "1 1 p.gif"
+
+
+def code_of(body, **more):
+    with pytest.raises(EngineError) as x:
+        run(body, **more)
+    return x.value.code
+
+
+def test_shadow_attributes():
+    body = '<xsl:param name="which" static="yes" select="\'a\'"/><xsl:variable name="sep" static="yes" select="\'-\'"/><xsl:template _match="{$which}" _priority="{1 + 1}">[<xsl:value-of _select="{concat(\'@\', \'k\')}"/>]</xsl:template><xsl:template match="b" _use-when="{$which = \'b\'}()">never</xsl:template><xsl:template match="b"><xsl:value-of select="(1, 2)" _separator="{$sep}"/></xsl:template>'
+    assert run(body)[0] == "[1][2]1-2"
+
+
+def test_validation_without_schema():
+    assert code_of(root("<o/>") + '<xsl:import-schema/>') == "XTSE1650"
+    for bad in ('<xsl:element name="n" validation="strict"/>', '<o xsl:validation="strict"/>', '<o xsl:type="my:t"/>', '<xsl:copy-of select="." type="t"/>'):
+        assert code_of(root(bad)) == "XTSE1660"
+    assert run(root('<xsl:element name="n" type="xs:integer">42</xsl:element><xsl:copy-of select="r/b" validation="lax"/>'))[0] == '<n>42</n><b k="1">z</b>'
+    for bad in ('<xsl:element name="n" type="xs:integer">abc</xsl:element>', '<n xsl:type="xs:date">2024-02-30</n>', '<n><xsl:attribute name="k" type="xs:boolean">maybe</xsl:attribute></n>', '<n xsl:type="xs:string"><m/></n>'):
+        assert code_of(root(bad)) == "XTTE1540"
+
+
+def test_function_coercion():
+    body = '<xsl:variable name="f" as="function(xs:double) as xs:string" select="function($x) {string($x instance of xs:double)}"/><xsl:value-of select="$f(3)"/>'
+    assert run(root(body))[0] == "true"
+    assert code_of(root('<xsl:variable name="f" as="function(xs:integer) as xs:string" select="function($x) {$x + 1}"/><xsl:value-of select="$f(3)"/>')) == "XPTY0004"
+    assert code_of(root('<xsl:variable name="f" as="function(xs:integer) as xs:string" select="function($x, $y) {\'\'}"/><xsl:value-of select="$f(3)"/>')) == "XTTE0570"
+
+
+def test_package_visibility():
+    lib = {"m": '<xsl:function name="f:shown" visibility="public"><xsl:param name="x"/><xsl:sequence select="f:kept($x) + f:changed()"/></xsl:function><xsl:function name="f:kept" visibility="private"><xsl:param name="x"/><xsl:sequence select="$x * 10"/></xsl:function><xsl:function name="f:changed" visibility="public"><xsl:sequence select="1"/></xsl:function><xsl:function name="f:fixed" visibility="final"><xsl:sequence select="5"/></xsl:function><xsl:expose component="function" names="f:extra" visibility="public"/><xsl:function name="f:extra"><xsl:sequence select="7"/></xsl:function>'}
+    use = '<xsl:use-package name="m">{}</xsl:use-package>'
+    value = lambda inner, e: run(use.format(inner) + root(f'<xsl:value-of select="{e}"/>'), modules=lib)[0]
+    assert value("", "f:shown(2), f:fixed(), f:extra()") == "21 5 7"
+    assert value('<xsl:override><xsl:function name="f:changed" visibility="public"><xsl:sequence select="3"/></xsl:function></xsl:override>', "f:shown(2)") == "23"
+    shown = root('<xsl:value-of select="f:kept(2)"/>')
+    assert code_of(use.format("") + shown, modules=lib) == "XPST0017"
+    assert code_of(use.format('<xsl:accept component="function" names="f:shown" visibility="hidden"/>') + root('<xsl:value-of select="f:shown(2)"/>'), modules=lib) == "XPST0017"
+    assert code_of(use.format('<xsl:accept component="function" names="f:kept" visibility="public"/>') + root(""), modules=lib) == "XTSE3040"
+    override = '<xsl:override><xsl:function name="f:{}"><xsl:sequence select="0"/></xsl:function></xsl:override>'
+    assert code_of(use.format(override.format("fixed")) + root(""), modules=lib) == "XTSE3060"
+    assert code_of(use.format(override.format("none")) + root(""), modules=lib) == "XTSE3058"
+
+
+def test_caller_collations(spark):
+    from itemflow.engine import Rows
+    from itemflow.functions import collations
+    from itemflow.operators import ordering
+    from itemflow.perdoc.spark import xpath
+    from pyspark.sql import functions as F
+
+    collations.register("urn:reversed", lambda s: s[::-1])
+    collations.register("urn:length", lambda s: f"{len(s):05d}", lambda c: F.lpad(F.length(c).cast("string"), 5, "0"))
+    try:
+        df = spark.createDataFrame([(1, "ab"), (2, "ca"), (3, "bbb")], "id int, s string")
+        assert [r.s for r in ordering.sort(Rows(df), ("s", {"collation": "urn:reversed"})).collect()] == ["ca", "ab", "bbb"]
+        assert [r.v for r in Rows(df).select(id="id", v="compare(s, 'xx', 'urn:length')").orderBy("id").collect()] == [0, 0, 1]
+        docs = spark.createDataFrame([(1, "<r><i>ab</i><i>ca</i><i>bbb</i></r>")], "id int, xml string")
+        got = xpath(docs, "id", "xml", "sort(//i/string(), 'urn:reversed'), count(distinct-values(//i, 'urn:length'))", strict=True).first()
+        assert got.items == ["ca", "ab", "bbb", "2"]
+        with pytest.raises(EngineError, match="FOCH0002"):
+            Rows(df).select(v="compare(s, 'x', 'urn:none')").collect()
+    finally:
+        collations.KEYS.clear()
+        collations.COLUMNS.clear()
+
+
+def test_extension_document():
+    _, r = run('<xsl:template match="/" xmlns:exsl="http://exslt.org/common"><xsl:for-each select="r/a"><exsl:document href="{@k}.xml" method="xml" omit-xml-declaration="yes"><xsl:copy-of select="."/></exsl:document></xsl:for-each></xsl:template>')
+    assert r.results == {"1.xml": '<a k="1">x</a>', "2.xml": '<a k="2">y</a>'}
+
+
+def test_resolvers(spark):
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    from itemflow.perdoc.spark import transform
+    from itemflow.sources import resolvers
+
+    class Texts(BaseHTTPRequestHandler):
+        def do_GET(self):
+            here = self.path == "/a/d.xml"
+            self.send_response(200 if here else 302 if self.path == "/a/away" else 404)
+            if self.path == "/a/away":
+                self.send_header("Location", "/b/d.xml")
+            self.end_headers()
+            if here:
+                self.wfile.write("<d>é</d>".encode())
+
+        def log_message(self, *a):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Texts)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        base = f"http://127.0.0.1:{server.server_port}/a/"
+        there = resolvers.http([base])
+        assert there(base + "d.xml") == "<d>é</d>"
+        assert [there(base + x) for x in ("none", "away", "../b/d.xml")] == [None] * 3 and there(base.replace("/a/", "/b/") + "d.xml") is None
+        sheet = f'<xsl:stylesheet version="3.0" xmlns:xsl="http://www.w3.org/1999/XSL/Transform"><xsl:output method="text"/><xsl:template match="/"><xsl:value-of select="doc(\'{base}d.xml\'), doc(\'urn:own\')"/></xsl:template></xsl:stylesheet>'
+        docs = spark.createDataFrame([(1, "<r/>")], "id int, xml string")
+        assert transform(docs, "id", "xml", sheet, documents=resolvers.chain(there, {"urn:own": "<o>own</o>"}), strict=True).first().result == "é own"
+        assert transform(docs, "id", "xml", sheet, documents=there).first().error == "FODC0002"
+    finally:
+        server.shutdown()
