@@ -7,6 +7,7 @@ functions throughout; ``udfs`` adds the few that need Python, as Arrow-batched f
 from __future__ import annotations
 
 import math
+import re as regex_module
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -751,16 +752,49 @@ for _kind in ("dateTime", "date", "time"):
     dated(_kind)
 
 
+def plain_picture(picture: str) -> tuple[bool, int] | None:
+    """Whether digits are grouped by three and how many follow the point, of the pictures that Spark formats itself."""
+    m = regex_module.fullmatch(r"(#,##|#*)0(?:\.(0{1,15}))?", picture)
+    return (m[1] == "#,##", len(m[2] or "")) if m else None
+
+
+def formatted(v: Val, grouped: bool, digits: int) -> Column:
+    """A number with fixed digits after the point, rounded half to even in its decimal form."""
+    c = one(v)
+    if v.t.kind in ("float", "double"):
+        c = c.cast("string").cast("double") if v.t.kind == "float" else c
+        minus = F.when((c == 0) & c.cast("string").startswith("-"), "-").otherwise("")
+        shown = F.concat(minus, F.when(F.abs(c) < 1e19, F.format_number(c.cast(DECIMAL), digits)).otherwise(F.format_number(c, digits)))
+        out = F.when(F.isnan(c), "NaN").when(c == float("inf"), "Infinity").when(c == float("-inf"), "-Infinity").otherwise(shown)
+    else:
+        out = F.format_number(c, digits)
+    return F.coalesce(out if grouped else F.replace(out, F.lit(",")), F.lit("NaN"))
+
+
 @fn("format-number", 2, 3)
 def _format_number(c, e, v, picture, *name):
     if not isinstance(picture.constant, str):
         raise Unsupported("a picture that is not constant")
     v = c.as_number(v)
+    plain = plain_picture(picture.constant)
+    if plain and v.t.numeric and not name:
+        return s(formatted(v, *plain))
     x = F.lit("NaN") if v.t.kind == "empty" else F.coalesce(one(v).cast("string"), F.lit("NaN"))
     return s(udfs.format_number(x, F.lit(picture.constant)))
 
 
-fn("format-integer", 2, 3)(lambda c, e, v, p, *lang: s(udfs.format_integer(one(v), string(p))))
+@fn("format-integer", 2, 3)
+def _format_integer(c, e, v, p, *lang):
+    picture = p.constant if isinstance(p.constant, str) and not lang and v.t.kind == "integer" else ""
+    x = one(v) if v.t.kind != "empty" else F.lit(None).cast("bigint")
+    if regex_module.fullmatch("#*0+", picture):
+        width = picture.count("0")
+        digits = F.abs(x).cast("string")
+        out = F.concat(F.when(x < 0, "-").otherwise(""), F.when(F.length(digits) < width, F.lpad(digits, width, "0")).otherwise(digits))
+        return s(F.coalesce(out, F.lit("")))
+    if picture == "#,##0":
+        return s(F.coalesce(F.format_number(x, 0), F.lit("")))
+    return s(udfs.format_integer(x, string(p)))
 
 
 # URIs, names, JSON, environment

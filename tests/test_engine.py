@@ -251,3 +251,22 @@ def test_zones_and_json_in_columns(spark, data):
     for bad, code in (("serialize(map{'a': 1})", "SENR0001"), ("adjust-dateTime-to-timezone(xs:dateTime(at), xs:dayTimeDuration('PT15H'))", "FODT0003"), ("string(parse-json(doc))", "FOTY0014"), ("xs:dateTime(concat(at, 'x'))", "FORG0001"), ("dateTime(xs:date('2024-01-01Z'), xs:time('10:00:00+01:00'))", "FORG0008")):
         with pytest.raises(Exception, match=code):
             rows.select(x=bad).collect()
+
+
+def test_pictures_that_spark_formats(spark):
+    """Against the general formatter, on ties, large and small numbers, none and the odd ones."""
+    from itemflow.functions import library
+
+    values = [0.0, -0.0, 0.125, 0.375, 1.005, 2.675, -1.015, 1234567.891, -0.001, 1e-7, 123456789012.345, 1e19, 1.5e21, 99.995, float("nan"), float("inf"), float("-inf"), None]
+    df = Rows(spark.createDataFrame([(i, v, None if v is None or v != v or abs(v) > 1e12 else int(v)) for i, v in enumerate(values)], "i int, d double, n long"))
+    for picture in ("#,##0.00", "0", "0.0", "#,##0", "##0.000"):
+        assert library.plain_picture(picture)
+        for r in df.select(i="i", d="d", n="n", x=f"format-number(d, '{picture}')", y=f"format-number(n, '{picture}')", z=f"format-number(xs:decimal(n) div 8, '{picture}')").collect():
+            assert r.x == pictures.format_number("NaN" if r.d is None else str(r.d), picture), (r.d, picture)
+            assert r.y == pictures.format_number("NaN" if r.n is None else str(r.n), picture), (r.n, picture)
+            assert r.z == pictures.format_number("NaN" if r.n is None else f"{__import__('decimal').Decimal(r.n) / 8:f}", picture), (r.n, picture)
+    whole = Rows(spark.createDataFrame([(0,), (7,), (-7,), (12345,), (-1234567,), (None,)], "n long"))
+    for picture in ("000", "0", "#0", "#,##0", "00000000"):
+        for r in whole.select(n="n", x=f"format-integer(n, '{picture}')").collect():
+            assert r.x == ("" if r.n is None else pictures.format_integer(r.n, picture)), (r.n, picture)
+    assert library.plain_picture("0.0#") is None and library.plain_picture("#,##0;(0)") is None
