@@ -11,8 +11,8 @@ matrix product each, keeping k rows for each query.  Scores are exact integers;
 rounding, so the result is exact.
 
 Annuli with many vectors (copies of one vector have one key) are dealt by a hash of the id into parts of about
-``PART`` rows, queries into blocks of about ``QUERIES`` with the same nearest pivot, so that a block visits few annuli;
-a part goes to the blocks that visit its annulus and no others, and a task holds one part and one block.  A third of
+``PART`` rows, queries into blocks of about ``QUERIES`` by their nearest pivot (one pivot's, or those of several that
+have few), so that a block visits few annuli; a part goes to the blocks that visit its annulus and no others, and a task holds one part and one block.  A third of
 all rows in one key is many parts.
 
 Components become floor(scale * x).  Vectors that are null, empty or hold null or non-finite components, and
@@ -197,6 +197,21 @@ def _compare(dim: int, k: int):
     return run
 
 
+def query_blocks(counts: list[int]) -> tuple[list[int], list[int]]:
+    """Of each pivot with so many queries: its first block, and how many it has.  Pivots with few queries share one."""
+    first, n, at, held = [], [], 0, 0
+    for c in counts:
+        if held and held + c > QUERIES:
+            at, held = at + 1, 0
+        first.append(at)
+        n.append(-(-c // QUERIES))
+        if c > QUERIES:
+            at += n[-1]
+        else:
+            held += c
+    return first, n
+
+
 def top_k(vectors: DataFrame, queries: Column, k: int = 10, scale: int = 1024, pivots: int = PIVOTS, sample: int = SAMPLE, annuli: int = ANNULI, part: int = PART) -> DataFrame:
     """query_id, rank, vec_id, score: the k best of all other rows for each row of vectors where ``queries`` holds.
 
@@ -223,9 +238,7 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 10, scale: int = 1024, p
         cells = sorted(tuple(r) for r in asked.groupBy("cell").agg(F.count("*")).collect())
         if not cells:
             continue
-        blocks = [-(-n // QUERIES) for _, n in cells]
-        names_of = [c for c, _ in cells]
-        first, n_blocks = table(zip(names_of, np.cumsum([0, *blocks[:-1]]), strict=True)), table(zip(names_of, blocks, strict=True))
+        first, n_blocks = (table(zip([c for c, _ in cells], x, strict=True)) for x in query_blocks([n for _, n in cells]))
         visits = asked.select("query_id", "q", (first[F.col("cell")] + deal("query_id", n_blocks[F.col("cell")])).alias("block"), F.explode("annuli").alias("annulus"))
         visitors = visits.select("annulus", "block").distinct().groupBy("annulus").agg(F.collect_list("block").alias("blocks"))
         held = keyed.select("vec_id", "q", "annulus", deal("vec_id", n_parts[F.col("annulus")]).alias("part")).join(visitors, "annulus").withColumn("block", F.explode("blocks")).drop("blocks")

@@ -819,6 +819,20 @@ def test_topk(spark):
     assert topk_search.top_k(df.limit(0), F.col("vec_id") % 100 == 0).count() == 0
 
 
+def test_query_blocks(monkeypatch):
+    monkeypatch.setattr(topk_search, "QUERIES", 10)
+    assert topk_search.query_blocks([3, 4, 5, 25, 2, 10]) == ([0, 0, 1, 2, 5, 6], [1, 1, 1, 3, 1, 1])
+    rng = np.random.default_rng(1)
+    for _ in range(50):
+        counts = rng.integers(1, 40, 20).tolist()
+        first, n = topk_search.query_blocks(counts)
+        held = collections.Counter()
+        for c, f, k in zip(counts, first, n, strict=True):
+            for i in range(k):
+                held[f + i] += c / k
+        assert max(held.values()) <= 10 and sorted(held) == list(range(len(held)))
+
+
 def test_topk_blocks_and_large_values(spark, monkeypatch):
     """Many blocks of queries; components whose products pass 2^62 take part; scores that no long holds are an error."""
     monkeypatch.setattr(topk_search, "QUERIES", 7)
