@@ -66,60 +66,73 @@ def ietf(s: str | None) -> str | None:
 
 
 @F.pandas_udf(StringType())
-def encode_for_uri(c: pd.Series) -> pd.Series:
+def python_encode_for_uri(c: pd.Series) -> pd.Series:
     return c.map(encode_uri)
 
 
 @F.pandas_udf(StringType())
-def iri_to_uri(c: pd.Series) -> pd.Series:
+def python_iri_to_uri(c: pd.Series) -> pd.Series:
     return c.map(iri)
 
 
 @F.pandas_udf(StringType())
-def escape_html_uri(c: pd.Series) -> pd.Series:
+def python_escape_html_uri(c: pd.Series) -> pd.Series:
     return c.map(html_uri)
 
 
 @F.pandas_udf(StringType())
-def normalize_unicode(c: pd.Series, form: pd.Series) -> pd.Series:
+def python_normalize_unicode(c: pd.Series, form: pd.Series) -> pd.Series:
     return pd.Series([normalized(a, f) for a, f in zip(c, form, strict=True)])
 
 
 @F.pandas_udf(StringType())
-def collation_text(c: pd.Series, name: pd.Series) -> pd.Series:
+def python_collation_text(c: pd.Series, name: pd.Series) -> pd.Series:
     return pd.Series([collation_key(a, n) for a, n in zip(c, name, strict=True)])
 
 
 def keyed_by(key):
     """The column of a caller's collation key."""
 
-    def run(c: pd.Series) -> pd.Series:
+    def python_key(c: pd.Series) -> pd.Series:
         return c.map(key, na_action="ignore")
 
-    run.__annotations__ = {"c": pd.Series, "return": pd.Series}
-    return F.pandas_udf(run, StringType())
+    python_key.__annotations__ = {"c": pd.Series, "return": pd.Series}
+    return F.pandas_udf(python_key, StringType())
 
 
 @F.pandas_udf(StringType())
-def resolve_uri(c: pd.Series, base: pd.Series) -> pd.Series:
+def python_resolve_uri(c: pd.Series, base: pd.Series) -> pd.Series:
     return pd.Series([resolved(a, x) for a, x in zip(c, base, strict=True)])
 
 
 @F.pandas_udf(StringType())
-def parse_ietf_date(c: pd.Series) -> pd.Series:
+def python_parse_ietf_date(c: pd.Series) -> pd.Series:
     return c.map(ietf)
 
 
 @F.pandas_udf(StringType())
-def format_datetime(c: pd.Series, picture: pd.Series, lang: pd.Series) -> pd.Series:
+def python_format_datetime(c: pd.Series, picture: pd.Series, lang: pd.Series) -> pd.Series:
     return pd.Series([None if a is None else pictures.format_stamp(a, p, x) for a, p, x in zip(c, picture, lang, strict=True)])
 
 
 @F.pandas_udf(StringType())
-def format_number(c: pd.Series, picture: pd.Series) -> pd.Series:
+def python_format_number(c: pd.Series, picture: pd.Series) -> pd.Series:
     return pd.Series([pictures.format_number(a, p) for a, p in zip(c, picture, strict=True)])
 
 
 @F.pandas_udf(StringType())
-def format_integer(c: pd.Series, picture: pd.Series) -> pd.Series:
+def python_format_integer(c: pd.Series, picture: pd.Series) -> pd.Series:
     return pd.Series(["" if pd.isna(a) else pictures.format_integer(int(a), p) for a, p in zip(c, picture, strict=True)])
+
+
+# the functions have names by which a column that holds one is known: Spark takes none into a lambda (``values.let``)
+encode_for_uri = python_encode_for_uri
+iri_to_uri = python_iri_to_uri
+escape_html_uri = python_escape_html_uri
+normalize_unicode = python_normalize_unicode
+collation_text = python_collation_text
+resolve_uri = python_resolve_uri
+parse_ietf_date = python_parse_ietf_date
+format_datetime = python_format_datetime
+format_number = python_format_number
+format_integer = python_format_integer

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..errors import EngineError, Unsupported
 from . import xpath as X
-from .values import DECIMAL, EMPTY, INTEGERS, NUMERIC, STAMPS, STRINGS, T, Val, arr, common, ebv, instant, json_number, json_text, let, local, of_spark, one, spark_type, text, to, with_zone, zone, zoned
+from .values import DECIMAL, EMPTY, INTEGERS, NUMERIC, STAMPS, STRINGS, T, Val, ZONED, arr, common, ebv, instant, json_number, json_text, let, local, of_spark, one, spark_type, text, to, with_zone, zone, zoned
 
 
 @dataclass(frozen=True)
@@ -649,20 +649,24 @@ def cast(v: Val, name: str, soft: bool = False) -> Val:
             return Val(c.cast("timestamp_ntz"), T("dateTime"))
         if not v.t.text:
             raise EngineError("XPTY0004", f"{k} as {name}")
-        s = F.trim(c)
-        offset = F.regexp_extract(s, ZONE_PATTERN, 1)
-        body = F.regexp_replace(s, ZONE_PATTERN, "")
         pattern = {"date": r"^-?\d{4,}-\d\d-\d\d$", "dateTime": r"^-?\d{4,}-\d\d-\d\dT\d\d:\d\d:\d\d(\.\d+)?$", "time": r"^([01]\d|2[0-3]):[0-5]\d:[0-5]\d(\.\d+)?$"}[name]
-        if name == "time":
+
+        def reading(body: Column) -> Column:
+            if name != "time":
+                return F.when(body.rlike(pattern), body.try_cast(target))
             part = lambda n: F.split_part(body, F.lit(":"), F.lit(n))
-            made = F.make_dt_interval(F.lit(0), part(1).try_cast("int"), part(2).try_cast("int"), part(3).try_cast("decimal(18,6)"))
-        else:
-            made = body.try_cast(target)
-        reading = F.when(c.isNull(), F.lit(None).cast(target)).when(body.rlike(pattern) & made.isNotNull(), made).otherwise(failed(target))
+            return F.when(body.rlike(pattern), F.make_dt_interval(F.lit(0), part(1).try_cast("int"), part(2).try_cast("int"), part(3).try_cast("decimal(18,6)")))
+
         if isinstance(v.constant, str) and not re.search(ZONE_PATTERN, v.constant.strip()):
-            return Val(reading, T(name))
+            made = reading(F.trim(c))
+            return Val(F.when(c.isNull() | made.isNotNull(), made).otherwise(failed(target)), T(name))
         minutes = lambda x: F.substring(x, 2, 2).try_cast("int") * 60 + F.substring(x, 5, 2).try_cast("int")
-        return with_zone(name, reading, let(offset, lambda x: F.when(x == "Z", 0).when(x.startswith("-"), -minutes(x)).otherwise(minutes(x))))
+        offset = lambda x: F.when(x == "Z", 0).when(x.startswith("-"), -minutes(x)).otherwise(minutes(x))
+        # the text is evaluated once, as it may be a long expression itself
+        parsed = let(F.trim(c), lambda s: F.struct(s.isNull().alias("none"), let(F.regexp_replace(s, ZONE_PATTERN, ""), reading).alias("v"), let(F.regexp_extract(s, ZONE_PATTERN, 1), offset).alias("z")))
+        bad = F.struct(failed(target).alias("v"), F.lit(None).cast("int").alias("z"))
+        made = lambda x: F.when(x.getField("v").isNotNull(), F.struct(x.getField("v").alias("v"), x.getField("z").cast("int").alias("z")))
+        return Val(let(parsed, made if soft else lambda x: made(x).when(~x.getField("none"), bad)), T(name, ZONED))
     if name in ("dayTimeDuration", "yearMonthDuration"):
         target = spark_type(T(name))
         if k == name:

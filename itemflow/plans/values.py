@@ -115,7 +115,10 @@ STAMPS = ("date", "dateTime", "time")
 
 
 def let(c: Column, f: Callable[[Column], Column]) -> Column:
-    """f of c, which is evaluated once however often f names it."""
+    """f of c, which is evaluated once however often f names it; but for columns with Python functions, which Spark
+    evaluates once anyway and takes into no lambda."""
+    if "python_" in str(c):
+        return f(c)
     return F.get(F.transform(F.array(c), f), F.lit(0))
 
 
