@@ -389,6 +389,14 @@ EXPRESSIONS: dict[str, tuple[str, str]] = {
     "xpath_set_operators": ("count(//part[@size = 7] | //part[@size = 9] | //part[@size = 7]), count(//part intersect //part[@size = 7]), string-join((//part except //part[@size > 9])/@id, ' ')", "[(count(*) FILTER (p_size IN (7, 9)))::VARCHAR, (count(*) FILTER (p_size = 7))::VARCHAR, coalesce(string_agg('p' || p_partkey, ' ' ORDER BY p_partkey) FILTER (p_size <= 9), '')]"),
     "xpath_random_permutation": ("let $r := random-number-generator(count(//part)) return (sum($r?permute(//part/@size/xs:integer(.))), $r?number ge 0 and $r?number lt 1, $r?number = random-number-generator(count(//part))?number)", "[sum(p_size)::VARCHAR, 'true', 'true']"),
     "xpath_namespaces": ("string-join(sort(in-scope-prefixes(/parts)), ' '), namespace-uri-for-prefix('xml', /parts), count(//namespace::*[name() = 'xml'])", "['xml', 'http://www.w3.org/XML/1998/namespace', (2 * count(*) + 1)::VARCHAR]"),
+    "xpath_ids": ("let $ids := //part/@id/string(), $d := parse-xml(concat('<!DOCTYPE r [<!ATTLIST a k ID #IMPLIED><!ATTLIST b r IDREF #IMPLIED>]><r>', string-join(//part/concat('<a k=\"', @id, '\"/><b r=\"', @id, '\"/>'), ''), '</r>')) return (count(id($ids, $d)), count(idref(subsequence($ids, 1, 2), $d)), id($ids[1], $d)/@k/string(), element-with-id($ids[last()], $d)/@k/string())", "[count(*)::VARCHAR, least(count(*), 2)::VARCHAR, 'p' || min(p_partkey), 'p' || max(p_partkey)]"),
+    "xpath_lang": ("let $d := parse-xml(concat('<r xml:lang=\"en-GB\"><a>', count(//part), '</a><b xml:lang=\"de\">', max(//@size/xs:integer(.)), '</b></r>')) return ($d//*[lang('en')]/name(), $d//a[lang('EN')]/string(), $d//b[lang('de')]/string())", "['r', 'a', count(*)::VARCHAR, max(p_size)::VARCHAR]"),
+    "xpath_node_values": ("string((//name)[1]), data((//part)[1]/@size), number((//part)[1]/@size) * 2, count(//part[nilled(.)]), empty(document-uri(/)), count((//part)[1]/@size/..)", "[arg_min(p_name, p_partkey), arg_min(p_size, p_partkey)::VARCHAR, (2 * arg_min(p_size, p_partkey))::VARCHAR, '0', 'true', '1']"),
+    "xpath_serialize": ("serialize((//part)[1]), serialize(map{'n': count(//part)}, map{'method': 'json'}), serialize((//part)[1]/@size/xs:integer(.) + 1)", "['<part id=\"p' || min(p_partkey) || '\" size=\"' || arg_min(p_size, p_partkey) || '\"><name>' || arg_min(p_name, p_partkey) || '</name></part>', '{\"n\":' || count(*) || '}', (arg_min(p_size, p_partkey) + 1)::VARCHAR]"),
+    "xpath_node_types": ("(//part)[1] instance of element(part), //@size instance of attribute(size)+, //part[@size = 7] instance of element()?, (/) instance of document-node(), ((//part)[1] treat as element(part))/@id/string()", "['true', 'true', (count(*) FILTER (p_size = 7) <= 1)::VARCHAR, 'true', 'p' || min(p_partkey)]"),
+    "xpath_fold_merge": ("fold-left(//part/@size/xs:integer(.), 0, function($a, $s) {$a + $s}), map:size(map:merge(//part ! map{string(@size): 1})), array:size(array{//part[@size < 20]})", "[sum(p_size)::VARCHAR, count(DISTINCT p_size)::VARCHAR, (count(*) FILTER (p_size < 20))::VARCHAR]"),
+    "xpath_environment": ("empty(environment-variable('ITEMFLOW_NONE')), count(available-environment-variables()[. = 'ITEMFLOW_NONE']), count(//part)", "['true', '0', count(*)::VARCHAR]"),
+    "xpath_round_trip": ("let $x := json-to-xml(serialize(map{'sizes': array{//part/@size/xs:integer(.)}}, map{'method': 'json'})) return (count($x//*:number), xml-to-json($x))", "[count(*)::VARCHAR, '{\"sizes\":[' || string_agg(p_size::VARCHAR, ',' ORDER BY p_partkey) || ']}']"),
     "xpath_general_steps": ("string-join(//part[@size = 7]/(name, @size)/string(), ','), count(//part/(1 to 2)), //part[last()]/preceding-sibling::part[1]/@id/string()", "list_filter([coalesce(string_agg('7,' || p_name, ',' ORDER BY p_partkey) FILTER (p_size = 7), ''), (2 * count(*))::VARCHAR, CASE WHEN count(*) > 1 THEN 'p' || list_extract(list(p_partkey ORDER BY p_partkey DESC), 2) END], lambda x: x IS NOT NULL)"),
 }
 
