@@ -8,7 +8,8 @@
 4. Components by alternating large-star and small-star.  In buckets that still hold several components, the members
    outside the largest one meet all members of others: as pairs where they are few or the bucket is small, and
    inside a join that gives out links only where they are many.  So no pair of a bucket goes uncompared unless its
-   documents are joined already.
+   documents are joined already.  That join works in blocks of some ``BLOCK`` members a side, so no task reads more
+   of a bucket, however large it is.
 
 Two texts with similarity 0.85 share no band with probability (1 - 0.85**5)**25 < 1e-6, and their signatures fall
 below the floor with a probability of at most 1e-7, in buckets of any size: pairs that leave the join have signatures of
@@ -22,10 +23,11 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import U, Words, distinct_per_doc, long_array, materialize, mix, slices, unused
@@ -34,6 +36,8 @@ SHINGLE = 5
 BANDS, ROWS = 25, 5
 #: Bits of the longer signature of documents in crowded buckets.
 LONG = 512
+#: Members of a crowded bucket on each side of a block of its comparison.
+BLOCK = 1_024
 
 
 def _coefficients(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -224,15 +228,19 @@ def near_links(docs: DataFrame, percent: int = 85, crowd: int = 64) -> tuple[Dat
         sets = materialize(docs.join(needed.hint("merge"), "doc_id", "left_semi").mapInArrow(_arrays(bands, rows), "rep long, x array<long>, sign array<long>, keys array<long>"), "sets")
         every = materialize(open_.join(sets, "rep"), "open")
         words = range(LONG // 64)
-        a = every.where("root != main").select(*[F.col(k).alias(f"{k}_") for k in key], F.col("rep").alias("a"), F.col("root").alias("ra"), F.col("keys").alias("ka"), F.col("x").alias("xa"), *[F.get("sign", F.lit(i)).alias(f"p{i}") for i in words])
-        b = every.select(*key, F.col("rep").alias("b"), "root", (F.col("root") == F.col("main")).alias("of_main"), "keys", "x", *[F.get("sign", F.lit(i)).alias(f"q{i}") for i in words])
+        block = lambda m: F.ceil(F.col(m) / BLOCK).cast("int")
+        one_of = lambda m: F.pmod(F.xxhash64("rep"), block(m)).cast("int")
+        each_of = lambda m: F.explode(F.sequence(F.lit(0), block(m) - 1))
+        a = every.where("root != main").select(*[F.col(k).alias(f"{k}_") for k in key], one_of("rest").alias("i_"), each_of("members").alias("j_"), F.col("rep").alias("a"), F.col("root").alias("ra"), F.col("keys").alias("ka"), F.col("x").alias("xa"), *[F.get("sign", F.lit(i)).alias(f"p{i}") for i in words])
+        b = every.select(*key, each_of("rest").alias("i"), one_of("members").alias("j"), F.col("rep").alias("b"), "root", (F.col("root") == F.col("main")).alias("of_main"), "keys", "x", *[F.get("sign", F.lit(i)).alias(f"q{i}") for i in words])
         off = sum((F.bit_count(F.col(f"p{i}").bitwiseXOR(F.col(f"q{i}"))) for i in words), F.lit(0))
         both = F.size(F.array_intersect("x", "xa"))
         # a pair is compared in the first bucket it shares: those before were compared as well
         first = F.array_position(F.zip_with("keys", "ka", lambda p, q: p == q), F.lit(True)) == F.col("band") + 1
         # both stands once: Spark computes what stands twice ahead, for pairs that fail the tests before it as well
         alike = (off <= allowed(LONG, percent)) & first & ((100 + percent) * both >= percent * (F.size("x") + F.size("xa")))
-        on = (F.col("band") == F.col("band_")) & (F.col("key") == F.col("key_")) & (F.col("root") != F.col("ra")) & (F.col("of_main") | (F.col("a") < F.col("b"))) & alike
+        on = reduce(Column.__and__, [F.col(k) == F.col(f"{k}_") for k in (*key, "i", "j")])
+        on = on & (F.col("root") != F.col("ra")) & (F.col("of_main") | (F.col("a") < F.col("b"))) & alike
         return materialize(a.join(b, on).select("a", "b").distinct(), "links")
 
     # one order for all bands
@@ -245,7 +253,7 @@ def near_links(docs: DataFrame, percent: int = 85, crowd: int = 64) -> tuple[Dat
     left = met.where("n > 2").select("rep", "s1", "s2", *key, "n")
     named = materialize(left.join(root.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep")), "named")
     sizes = named.groupBy(*key, "root").agg(F.count("*").alias("c")).groupBy(key).agg(F.max(F.struct("c", "root")).alias("main"), F.sum("c").alias("members"), F.count("*").alias("roots"))
-    several = sizes.where("roots > 1").select(*key, F.col("main.root").alias("main"), (F.col("members") - F.col("main.c")).alias("rest"))
+    several = sizes.where("roots > 1").select(*key, F.col("main.root").alias("main"), "members", (F.col("members") - F.col("main.c")).alias("rest"))
     left = materialize(named.join(several, key), "open")
     few = (F.col("n") <= crowd) | (F.col("rest") <= crowd // 8)
     whole, large = left.where(few), left.where(~few)

@@ -542,6 +542,25 @@ def test_near_dedup(spark, rows):
     assert near_dedup.near_dedup(frame(spark, [])).count() == 0
 
 
+def test_crowded_buckets_by_blocks(spark, rows, monkeypatch):
+    """Every bucket that holds several components is compared inside the join, in blocks of three members a side."""
+    rng = random.Random(10)
+    base = words(rng, 150)
+    own = [list(base) for _ in range(40)]
+    for i, w in enumerate(own):  # alike to some, not to all
+        for _ in range(1 + i % 4):
+            w[rng.randrange(len(w))] = f"edit{i}"
+    all_rows = rows + [(500 + i, " ".join(w)) for i, w in enumerate(own)]
+    written, write = [], near_dedup.materialize
+    monkeypatch.setattr(near_dedup, "BLOCK", 3)
+    monkeypatch.setattr(near_dedup, "materialize", lambda df, name: (written.append(name), write(df, name))[1])
+    classes, links = near_dedup.near_links(frame(spark, all_rows, True), crowd=0)
+    root = {r.node: r.root for r in near_dedup.components(links).collect()}
+    assert written.count("open") == 2  # the join was taken
+    got = [(r.doc_id, r.n_shingles, None if r.doc_id is None else root.get(r.rep, r.doc_id if r.rep is None else r.rep)) for r in classes.collect()]
+    assert sorted(got, key=repr) == sorted((x[:3] for x in brute_components(all_rows)), key=repr)
+
+
 @pytest.mark.parametrize(("bits", "percent"), [(125, 85), (512, 85), (108, 80), (512, 80)])
 def test_signature_allowance(bits, percent):
     p, most = (100 - percent) / 200, near_dedup.allowed(bits, percent)
