@@ -243,9 +243,9 @@ def near_links(docs: DataFrame, percent: int = 85, crowd: int = 64) -> tuple[Dat
         on = on & (F.col("root") != F.col("ra")) & (F.col("of_main") | (F.col("a") < F.col("b"))) & alike
         return materialize(a.join(b, on).select("a", "b").distinct(), "links")
 
-    # one order for all bands
+    # one order for all bands; written before its join, so that Spark may split a bucket that many documents share
     lead = F.min(F.struct(F.xxhash64("rep").alias("h"), F.col("rep").alias("rep2"), F.col("s1").alias("t1"), F.col("s2").alias("t2")))
-    leaders = buckets.groupBy(key).agg(lead.alias("l"), F.count("*").alias("n")).where("n > 1").select(*key, "n", "l.rep2", "l.t1", "l.t2")
+    leaders = materialize(buckets.groupBy(key).agg(lead.alias("l"), F.count("*").alias("n")).where("n > 1").select(*key, "n", "l.rep2", "l.t1", "l.t2"), "leaders")
     met = materialize(buckets.join(leaders, key), "met")
     tried = materialize(candidates(met), "pairs")
     links = confirmed(tried)
@@ -253,7 +253,7 @@ def near_links(docs: DataFrame, percent: int = 85, crowd: int = 64) -> tuple[Dat
     left = met.where("n > 2").select("rep", "s1", "s2", *key, "n")
     named = materialize(left.join(root.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep")), "named")
     sizes = named.groupBy(*key, "root").agg(F.count("*").alias("c")).groupBy(key).agg(F.max(F.struct("c", "root")).alias("main"), F.sum("c").alias("members"), F.count("*").alias("roots"))
-    several = sizes.where("roots > 1").select(*key, F.col("main.root").alias("main"), "members", (F.col("members") - F.col("main.c")).alias("rest"))
+    several = materialize(sizes.where("roots > 1").select(*key, F.col("main.root").alias("main"), "members", (F.col("members") - F.col("main.c")).alias("rest")), "several")
     left = materialize(named.join(several, key), "open")
     few = (F.col("n") <= crowd) | (F.col("rest") <= crowd // 8)
     whole, large = left.where(few), left.where(~few)
