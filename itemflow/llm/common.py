@@ -69,11 +69,23 @@ def written(spark: SparkSession, path: str) -> str:
     return path
 
 
+#: Shuffles of a statement go when it ends, not when the driver happens to collect garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` to a new table in the shared folder and read it: cuts the lineage and survives lost executors."""
+    """Write ``df`` to a new table in the shared folder and read it: cuts the lineage and survives lost executors.
+
+    Nothing reads the shuffles behind the table again, so they go once it is written.
+    """
     spark = df.sparkSession
     path = written(spark, f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}")
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
