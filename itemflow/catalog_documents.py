@@ -311,7 +311,13 @@ def document_xpath(e):
     return e.xpath(_xml(e), "doc_id", "xml", "(max(//part/@size/xs:integer(.)), count(//part))", strict=True).select("doc_id", "items")
 
 
-@query()
+_DECODED = "regexp_replace(replace(replace(replace({}, '&middot;', '·'), '&copy;', '©'), '&quot;', '\"'), '&amp;?', '&', 'g')"
+
+
+@query(f"""SELECT page_id AS doc_id, CAST(NULL AS VARCHAR) AS error, [
+  trim(regexp_replace({_DECODED.format("regexp_extract(html, '<title>([^<]*)</title>', 1)")}, '[ \\t\\r\\n]+', ' ', 'g')),
+  len(regexp_extract_all(regexp_extract(html, '(?s)<article.*?</article>'), '<p[ >]'))::VARCHAR,
+  {_DECODED.format("regexp_replace(regexp_extract(html, '(?s)<footer[^>]*>(.*?)</footer>', 1), '<[^>]*>', '', 'g')")}] AS items FROM pages""")
 def page_titles(e):
     return e.xpath(e.table("pages"), "page_id", "html", "normalize-space(//title), count(//article//p), //footer/string()", kind="html")
 
