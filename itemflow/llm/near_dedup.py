@@ -8,8 +8,8 @@
 4. Components by alternating large-star and small-star.  In buckets that still hold several components, the members
    outside the largest one meet all members of others: as pairs where they are few or the bucket is small, and
    inside a join that gives out links only where they are many.  So no pair of a bucket goes uncompared unless its
-   documents are joined already.  That join works in blocks of some ``BLOCK`` members a side, so no task reads more
-   of a bucket, however large it is.
+   documents are joined already.  That join works in blocks of some ``BLOCK`` members a side, dealt to tasks as they
+   are, so a task holds a few blocks, however large their buckets are.
 
 Two texts with similarity 0.85 share no band with probability (1 - 0.85**5)**25 < 1e-6, and their signatures fall
 below the floor with a probability of at most 1e-7, in buckets of any size: pairs that leave the join have signatures of
@@ -241,6 +241,8 @@ def near_links(docs: DataFrame, percent: int = 85, crowd: int = 64) -> tuple[Dat
         alike = (off <= allowed(LONG, percent)) & first & ((100 + percent) * both >= percent * (F.size("x") + F.size("xa")))
         on = reduce(Column.__and__, [F.col(k) == F.col(f"{k}_") for k in (*key, "i", "j")])
         on = on & (F.col("root") != F.col("ra")) & (F.col("of_main") | (F.col("a") < F.col("b"))) & alike
+        # dealt by block here, as Spark would split both sides of a block again and make a task of each pair of parts
+        a, b = a.repartition(*[f"{k}_" for k in (*key, "i", "j")]), b.repartition(*key, "i", "j")
         return materialize(a.join(b, on).select("a", "b").distinct(), "links")
 
     # one order for all bands; written before its join, so that Spark may split a bucket that many documents share

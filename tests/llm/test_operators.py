@@ -561,6 +561,37 @@ def test_crowded_buckets_by_blocks(spark, rows, monkeypatch):
     assert sorted(got, key=repr) == sorted((x[:3] for x in brute_components(all_rows)), key=repr)
 
 
+def test_blocks_are_not_split_again(spark, monkeypatch):
+    """However small the parts are that Spark would split tables into, a block of a crowded bucket is one task's."""
+    rng = random.Random(10)
+    base = words(rng, 150)
+    own = [list(base) for _ in range(200)]
+    for i, w in enumerate(own):
+        for _ in range(1 + i % 4):
+            w[rng.randrange(len(w))] = f"edit{i}"
+    tiny = {"skewJoin.skewedPartitionThresholdInBytes": "4k", "skewJoin.skewedPartitionFactor": "1.1", "advisoryPartitionSizeInBytes": "4k", "coalescePartitions.enabled": "false", "autoBroadcastJoinThreshold": "-1"}
+    write, plans = near_dedup.materialize, []
+
+    def planned(df, name):
+        if name == "links" and "xa" in df._jdf.queryExecution().optimizedPlan().toString():
+            df.collect()
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, name)
+
+    monkeypatch.setattr(near_dedup, "BLOCK", 64)
+    monkeypatch.setattr(near_dedup, "materialize", planned)
+    for k, v in tiny.items():
+        spark.conf.set(f"spark.sql.adaptive.{k}", v)
+    try:
+        links = near_dedup.near_links(frame(spark, [(500 + i, " ".join(w)) for i, w in enumerate(own)]), crowd=0)[1].count()
+    finally:
+        for k in tiny:
+            spark.conf.unset(f"spark.sql.adaptive.{k}")
+    assert links and len(plans) == 1 and "SortMergeJoin" in plans[0]
+    assert "skew=true" not in plans[0] and "skewed" not in plans[0]
+    assert plans[0].split("== Initial Plan ==")[0].count("Exchange") == 3  # both sides by block, and the links
+
+
 @pytest.mark.parametrize(("bits", "percent"), [(125, 85), (512, 85), (108, 80), (512, 80)])
 def test_signature_allowance(bits, percent):
     p, most = (100 - percent) / 200, near_dedup.allowed(bits, percent)
