@@ -10,7 +10,8 @@ every pair of equal windows in one shard:
   document owns: copies cost one row each, however many there are;
 * the distinct segments of an anchor are a reference shard: a task builds its suffix automaton, whose states know the
   smallest document they occur in, and streams the segments through it.  The matching statistics give each window's
-  first document, in runs, and each document's segments are joined to the runs of theirs;
+  first document, in runs, and each document's segments are joined to the runs of theirs, which are one row, so that
+  this join makes no more rows than there are segments;
 * an anchor with more than ``hot`` distinct segments, or 32 words for each of those, is too much for one automaton:
   its windows are compared by digests, one row for each that a segment has, pre-aggregated before the shuffle, so that
   no group meets in one task.
@@ -23,6 +24,7 @@ doc_ids count as one document; rows without a doc_id stay whole; other columns o
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -184,7 +186,7 @@ def shard_runs(rows: dict[int, tuple[int, int, str]], window: int) -> list[tuple
     return out
 
 
-RUNS = "anchor long, content long, a int, b int, first long"
+RUNS = "anchor long, content long, runs array<struct<a:int,b:int,first:long>>"
 
 
 def _shards(window: int):
@@ -192,22 +194,28 @@ def _shards(window: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done(found: list[tuple]) -> pa.RecordBatch:
-            cols = list(zip(*found, strict=True)) or [[]] * 5
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()), strict=True)], names=["anchor", "content", "a", "b", "first"])
+            cols = list(zip(*found, strict=True)) or [[]] * 3
+            kinds = (pa.int64(), pa.int64(), pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32()), ("first", pa.int64())])))
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["anchor", "content", "runs"])
+
+        def runs_of(anchor: int, group: dict) -> list[tuple]:
+            """A row for each segment that has runs."""
+            by_content = itertools.groupby(shard_runs(group, window), key=lambda r: r[0])
+            return [(anchor, content, [{"a": a, "b": b, "first": first} for _, a, b, first in some]) for content, some in by_content]
 
         at, group, found = None, {}, []
         for batch in batches:
             for anchor, content, *row in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 if anchor != at:
                     if group:
-                        found += [(at, *r) for r in shard_runs(group, window)]
+                        found += runs_of(at, group)
                     at, group = anchor, {}
                 group[content] = tuple(row)
-            if len(found) > 20_000:
+            if len(found) > 5_000:
                 yield done(found)
                 found = []
         if group:
-            found += [(at, *r) for r in shard_runs(group, window)]
+            found += runs_of(at, group)
         yield done(found)
 
     return run
@@ -219,7 +227,10 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, window: int = 50, hot: int = 4096) -> DataFrame:
-    """(doc_id, tkey, s, e): word ranges of ``keyed`` documents covered by windows that a smaller doc_id has too."""
+    """(doc_id, tkey, spans): word ranges (s, e) of ``keyed`` documents covered by windows that a smaller doc_id has too.
+
+    A document has a row for each of its segments that has such windows.
+    """
     row, same = ["doc_id", "tkey"], ["anchor", "content"]
     index = materialize(docs.mapInArrow(_index(window), SEGMENTS), "segments")
     shared = index.groupBy("anchor").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("most")).where("owner < most").select("anchor")
@@ -236,10 +247,11 @@ def repeated_spans(docs: DataFrame, window: int = 50, hot: int = 4096) -> DataFr
     by_shard = cold.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_shards(window), RUNS)
     digests = pieces.where("digests is not null").select(*same, "owner", "most", F.explode("digests").alias("d")).select(*same, "owner", "most", "d.digest", "d.at")
     owners = digests.groupBy("anchor", "digest").agg(F.min("owner").alias("first"), F.max("most").alias("last")).where("first < last").drop("last")
-    by_digest = digests.join(owners, ["anchor", "digest"]).where("first < most").select(*same, F.explode("at").alias("a"), "first").select(*same, "a", (F.col("a") + 1).alias("b"), "first")
-    runs = by_shard.unionByName(by_digest)
-    covered = found.join(runs, same).where("first < doc_id")
-    return covered.select(*row, (F.col("start") + F.col("a")).alias("s"), (F.col("start") + F.col("b") + (window - 1)).alias("e"))
+    single = F.transform("at", lambda a: F.struct(a.alias("a"), (a + 1).alias("b"), F.col("first")))
+    by_digest = digests.join(owners, ["anchor", "digest"]).where("first < most").select(*same, single.alias("runs")).groupBy(same).agg(F.flatten(F.collect_list("runs")).alias("runs"))
+    covered = found.join(by_shard.unionByName(by_digest), same).withColumn("runs", F.filter("runs", lambda r: r["first"] < F.col("doc_id")))
+    span = lambda r: F.struct((F.col("start") + r["a"]).alias("s"), (F.col("start") + r["b"] + (window - 1)).alias("e"))
+    return covered.where(F.size("runs") > 0).select(*row, F.transform("runs", span).alias("spans"))
 
 
 def keep_mask(n: int, spans: list[dict] | None) -> np.ndarray:
@@ -271,5 +283,5 @@ def substring_dedup(docs: DataFrame, window: int = 50, hot: int = 4096) -> DataF
     Rows that share a doc_id don't cut each other, only smaller doc_ids do.  Rows without a doc_id stay whole.
     """
     docs = keyed(docs)
-    spans = repeated_spans(docs.where("doc_id is not null"), window, hot).groupBy("doc_id", "tkey").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+    spans = repeated_spans(docs.where("doc_id is not null"), window, hot).groupBy("doc_id", "tkey").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     return docs.join(spans, ["doc_id", "tkey"], "left").select("doc_id", "text", "spans").mapInArrow(_cut, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")

@@ -71,6 +71,22 @@ def test_substring_dedup(spark, rows, hot):
         assert hashlib.sha256(b" ".join((r.kept_text or "").encode().split())).hexdigest() == r.kept_sha256
 
 
+@pytest.mark.parametrize("hot", [4096, 2])
+def test_spans_stay_one_row_a_segment(spark, rows, hot, monkeypatch):
+    """The join of segments and runs gives no segment twice, in however many surroundings a passage stands."""
+    rng = random.Random(4)
+    passages = [words(rng, 120), words(rng, 120)]
+    mixed = [words(rng, rng.randrange(30)) + p[rng.randrange(40) : rng.randrange(80, 120)] + words(rng, 20) for p in passages for _ in range(40)]
+    texts = rows + [(700 + i, " ".join(w)) for i, w in enumerate(mixed)]
+    kept, write = {}, substring_dedup.materialize
+    monkeypatch.setattr(substring_dedup, "materialize", lambda df, name: kept.setdefault(name, write(df, name)))
+    spans = substring_dedup.repeated_spans(substring_dedup.keyed(frame(spark, texts)).where("doc_id is not null"), hot=hot)
+    assert 0 < spans.count() <= kept["shared"].count()
+    monkeypatch.undo()
+    got = substring_dedup.substring_dedup(frame(spark, texts), hot=hot).collect()
+    assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got), key=repr) == removed(texts, 50)
+
+
 def test_substring_dedup_empty(spark):
     assert substring_dedup.substring_dedup(frame(spark, [])).count() == 0
 
